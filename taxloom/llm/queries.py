@@ -8,23 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
+from .chroma import aligned, fingerprints
+from .forest import nearest
 from .line_dedup import repeated_lines
 from .ngram_join import ngram_join
 from .packing import pack
 from .pieces import piece_digests
 from .quality import quality_scores
+from .shards import kd_shards
+from .warc import archive_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's UTF-8 bytes are the 8-bit samples of its media column, at 2,756 a second; every 50th document is aligned with all."""
+    media = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("audio"))
+    found = aligned(fingerprints(media, rate=2_756, frame=512), F.col("media_id") % 50 == 0)
+    return found.withColumnRenamed("media_id", "doc_id")
+
+
+def op2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_index(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+
+
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +74,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns.unionByName(hard)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_pieces, op6_ngram_join, op7_packing, op8_line_dedup, op9_quality, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma, op2_forest, op3_pieces, op4_warc, op5_kd_shards, op6_ngram_join, op7_packing, op8_line_dedup, op9_quality, op10_chat)}
 
 ORACLES: dict[str, str] = {
     "op10_chat": r"""
