@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import settle
+from .scratch import runtime_filters, settle
 from .shingles import Shingles, pieces
 
 #: (hashes compared so far, least matches with which a pair goes on).
@@ -234,10 +234,11 @@ def classes(texts: DataFrame, sigs: DataFrame, shingle: Callable, hashes: int, r
     texts: (node long, text string), any number of rows for a node, read anew for the texts in question only.
     """
     loose = candidates(sigs, hashes, rows, floors)
-    wanted = loose.join(loose.groupBy("root").agg(F.count("*").alias("n")), "root")
+    wanted = settle(loose.join(loose.groupBy("root").agg(F.count("*").alias("n")), "root")).where("n > 1")  # true of all; a filter is what lets Spark make a runtime filter of it
     own = sigs.join(loose.select("node"), "node", "left_semi").dropDuplicates(["node"])
     text = texts.join(wanted, "node").select("node", "text", "root", "n").mapInArrow(once, "node long, text string, root long, n long")
     dealt = _dealt(text, "root", F.col("n"), block).join(own, "node").select("root", "bi", "bj", "own", "node", "sig", "text")
-    found = settle(dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_verifier(shingle, hashes, floors, threshold), "a long, b long, links long"))
+    with runtime_filters(texts.sparkSession):  # most texts have no near text; they needn't be shuffled to learn that
+        found = settle(dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_verifier(shingle, hashes, floors, threshold), "a long, b long, links long"))
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     return components(found.where("b is not null").select("a", "b")).join(links, "node")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,21 @@ def discard(*settled: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Spark's own Bloom filters of a join's smaller side, of 8 MB at most, on inputs of any size.
+FILTERS = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "256MB"}
+
+
+@contextlib.contextmanager
+def runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within may drop rows of a join's larger side before its shuffle, if a Bloom filter says that they meet none."""
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in FILTERS.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
