@@ -1,4 +1,214 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import money as M
+from .operators import matters as T
+from .operators import reconcile as R
+from .operators import talk as K
+from .plans.dimensions import BUCKETS, BY_NAME, PENALTY_STAGES
+from .sources.views import AS_ON, view, view_sql
+from .streaming.lockout import lockouts_batch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _as_on() -> F.Column:
+    return F.lit(AS_ON).cast("date")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _bucket_sql() -> str:
+    test = lambda text, words: " OR ".join(f"contains({text}, {_quoted(w)})" for w in words)
+    said = [f"WHEN {test('lower(status)', w)} THEN '{b}'" for b, _, _, w in BUCKETS if w]
+    about = [f"WHEN {test("lower(supplier_name || ' ' || invoice_no)", w)} THEN '{b}'" for b, _, _, w in BUCKETS if b in BY_NAME]
+    return f"CASE {' '.join(said + about)} ELSE 'unreconciled' END"
+
+
+def _amount_sql(c: str) -> str:
+    number = rf"TRY_CAST(nullif(regexp_extract(replace({c}, ',', ''), '-?\d+(?:\.\d+)?'), '') AS DECIMAL(18,2))"
+    return rf"CASE WHEN regexp_matches(trim({c}), '^\(.*\)$') THEN -abs({number}) ELSE {number} END"
+
+
+_d, _b, _p, _t = (_amount_sql(c) for c in ("difference", "amount_books", "amount_2a", "tax_amount"))
+LINES = f"lines AS (SELECT *, coalesce(abs({_d}), abs(({_b}) - ({_p})), abs({_b}), abs({_p}), abs({_t})) AS amount, {_bucket_sql()} AS bucket FROM ({view_sql('register_lines')}))"
+DIMENSION = "buckets AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', {_quoted(n)}, '{s}')" for b, n, s, _ in BUCKETS) + ") v(bucket, label, strength))"
+
+
+@query(f"""WITH {LINES}, {DIMENSION}, sums AS (SELECT recon_id, bucket, sum(amount) AS amount, count(*) AS lines FROM lines WHERE amount >= 1 GROUP BY ALL)
+    SELECT recon_id, row_number() OVER (PARTITION BY recon_id ORDER BY amount DESC, bucket) AS rank, bucket, label, strength, CAST(amount AS DOUBLE) AS amount, lines,
+        round(CAST(amount AS DOUBLE) / CAST(sum(amount) OVER (PARTITION BY recon_id) AS DOUBLE), 6) AS share FROM sums JOIN buckets USING (bucket)""")
+def reconciliation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.summary(view(spark, sf_dir, "register_lines"))
+
+
+@query(f"""WITH {LINES}, sums AS (SELECT recon_id, supplier_gstin, sum(amount) AS amount, count(*) AS lines FROM lines WHERE amount >= 1 AND trim(supplier_gstin) <> '' GROUP BY ALL)
+    SELECT recon_id, row_number() OVER (PARTITION BY recon_id ORDER BY amount DESC, supplier_gstin) AS rank, supplier_gstin, CAST(amount AS DOUBLE) AS amount, lines FROM sums QUALIFY rank <= 5""")
+def top_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_exposures(view(spark, sf_dir, "register_lines"))
+
+
+@query(f"""WITH {LINES}, c AS (SELECT *, coalesce(amount >= 1, FALSE) AS ok FROM lines)
+    SELECT recon_id, CAST(sum(amount) FILTER (ok) AS DOUBLE) AS total, count(*) FILTER (ok) AS counted, count(*) FILTER (NOT ok) AS skipped,
+        count(DISTINCT supplier_gstin) FILTER (ok AND trim(supplier_gstin) <> '') AS suppliers,
+        coalesce(CAST(sum(amount) FILTER (ok AND bucket = 'unreconciled') AS DOUBLE) / CAST(sum(amount) FILTER (ok) AS DOUBLE) > 0.25, FALSE) AS mostly_open,
+        count(*) FILTER (trim(status) <> '') = 0 AS no_status FROM c GROUP BY recon_id""")
+def register_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.registers(view(spark, sf_dir, "register_lines"))
+
+
+MATTERS = f"m AS ({view_sql('matters')})"
+_s = "replace(upper(trim(section)), ' ', '')"
+SCHEME = f"CASE WHEN starts_with({_s}, '74A') THEN CASE WHEN fraud THEN '74A_fraud' ELSE '74A_non_fraud' END WHEN starts_with({_s}, '74') THEN '74' WHEN starts_with({_s}, '73') THEN '73' END"
+STAGES = "stages AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, '{c}', {d}, {e}, {'NULL' if w is None else w})" for a, b, c, d, e, w in PENALTY_STAGES) + ") v(scheme, ordinal, stage, percent, floored, days))"
+
+
+@query(f"""WITH {MATTERS}, {STAGES} SELECT matter_id, scheme, ordinal, stage, percent,
+        CAST(CASE WHEN floored THEN greatest(tax * percent / 100, 10000) ELSE tax * percent / 100 END AS DOUBLE) AS amount, CAST(notice_date + CAST(days AS INT) AS DATE) AS deadline
+    FROM (SELECT *, {SCHEME} AS scheme FROM m WHERE tax > 0) JOIN stages USING (scheme)""")
+def penalty_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.penalty_stages(view(spark, sf_dir, "matters"))
+
+
+_days = f"(DATE '{AS_ON}' - notice_date)"
+_fy = r"CASE WHEN regexp_matches(period, '20\d{2}\s*[-–/]\s*\d{2,4}') THEN regexp_extract(period, '(20\d{2})', 1) || '-' || right(regexp_extract(period, '20\d{2}\s*[-–/]\s*(\d{2,4})', 1), 2) END"
+_ok = f"(starts_with(trim(section), '73') AND coalesce({_fy} IN ('2017-18', '2018-19', '2019-20'), FALSE))"
+
+
+@query(f"""WITH {MATTERS} SELECT matter_id,
+        CASE WHEN tax > 0 AND notice_date IS NOT NULL THEN CAST((CAST(tax * 100 AS HUGEINT) * CASE WHEN itc_utilised THEN 24 ELSE 18 END * greatest({_days}, 0) + 18250) // 36500 AS DOUBLE) / 100 END AS interest,
+        CASE WHEN tax > 0 THEN CAST(CASE WHEN penalty_only THEN tax * 0.25 ELSE least(tax * 0.10, 200000000) END AS DOUBLE) END AS predeposit,
+        CASE WHEN notice_date IS NULL THEN NULL WHEN DATE '{AS_ON}' <= notice_date + INTERVAL 3 MONTH THEN 'in_time' WHEN DATE '{AS_ON}' <= notice_date + INTERVAL 4 MONTH THEN 'condonable' ELSE 'time_barred' END AS limitation,
+        CAST(notice_date + INTERVAL 3 MONTH AS DATE) AS appeal_by, {_fy} AS fy,
+        CASE WHEN NOT {_ok} THEN 'ineligible' WHEN tax_paid THEN 'paid' WHEN NOT tax_paid THEN 'unpaid' ELSE 'confirm_payment' END AS amnesty,
+        CASE WHEN tax IS NULL THEN 'an undisclosed amount' {' '.join(f"WHEN tax < {c} THEN '{b}'" for c, b in M.BANDS)} ELSE '{M.TOP_BAND}' END AS band FROM m""")
+def matter_computations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.computed(view(spark, sf_dir, "matters"), _as_on())
+
+
+DUE = f"""due AS (SELECT matter_id, status, due_date, due_date - DATE '{AS_ON}' AS days FROM m),
+    bands AS (SELECT *, CASE WHEN days IS NULL THEN 'none' WHEN days < 0 THEN 'overdue' WHEN days <= 3 THEN 'critical' WHEN days <= 7 THEN 'urgent' ELSE 'due' END AS band,
+        CASE WHEN days IS NULL THEN 'No reply date on file' WHEN days < 0 THEN 'OVERDUE by ' || abs(days) || ' day' || CASE WHEN days = -1 THEN '' ELSE 's' END
+            WHEN days = 0 THEN 'Due TODAY' WHEN days = 1 THEN 'Due tomorrow' ELSE days || ' days remaining' END AS words FROM due)"""
+
+
+@query(f"WITH {MATTERS}, {DUE} SELECT matter_id, status, due_date, days, band, words FROM bands")
+def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.deadlines(view(spark, sf_dir, "matters"), _as_on())
+
+
+@query(f"WITH {MATTERS}, {DUE} SELECT *, row_number() OVER (ORDER BY days, matter_id) AS rank FROM bands WHERE status <> 'filed' AND band IN ('overdue', 'critical', 'urgent') QUALIFY rank <= 10")
+def worst_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.worst_first(view(spark, sf_dir, "matters"), _as_on())
+
+
+@query(f"WITH {MATTERS}, {DUE} SELECT band, count(*) AS matters, band IN ('overdue', 'critical', 'urgent') AS attention FROM bands WHERE status <> 'filed' GROUP BY band")
+def deadline_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.deadline_position(view(spark, sf_dir, "matters"), _as_on())
+
+
+@query(f"WITH {MATTERS} SELECT matter_id, due_date AS starts, due_date + 1 AS ends, due_date - 2 AS alarm, 'Reply due: ' || section AS summary FROM m WHERE due_date IS NOT NULL")
+def deadline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.deadline_events(view(spark, sf_dir, "matters"))
+
+
+@query(f"""WITH {MATTERS}, s AS (SELECT 'state' AS kind, state AS name, * FROM m WHERE state <> '' UNION ALL SELECT 'section', section, * FROM m UNION ALL SELECT 'all', '', * FROM m)
+    SELECT kind, name, count(*) AS matters, sum(cost_cents) AS cost_cents, count(*) FILTER (status = 'complete') AS completed FROM s GROUP BY kind, name""")
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.dashboard(view(spark, sf_dir, "matters"))
+
+
+@query(f"""WITH {MATTERS}, n AS (SELECT *, coalesce(nullif(argued, 0), limbs) AS n FROM m)
+    SELECT tier, median(CAST(cost_cents AS DOUBLE) / n) AS rate_cents, count(*) AS samples FROM n WHERE status = 'complete' AND cost_cents > 0 AND n > 0 GROUP BY tier""")
+def observed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.observed_rates(view(spark, sf_dir, "matters"))
+
+
+def _limbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.create_map(*[x for h in ("igst", "cgst", "sgst") for x in (F.lit(h), F.col(h))])
+    return view(spark, sf_dir, "limbs").select("matter_id", "posture", heads.alias("heads"))
+
+
+LIMBS = f"l AS ({view_sql('limbs')})"
+
+
+@query(f"""WITH {LIMBS}, t AS (SELECT matter_id, coalesce(posture, 'undecided') IN ('contested', 'partial', 'undecided') AS a, coalesce(igst, 0) + coalesce(cgst, 0) + coalesce(sgst, 0) AS v FROM l)
+    SELECT matter_id, count(*) FILTER (a) AS argued, count(*) FILTER (NOT a) AS settled, CAST(coalesce(sum(v) FILTER (a), 0) AS DOUBLE) AS argued_amount, CAST(sum(v) AS DOUBLE) AS amount FROM t GROUP BY matter_id""")
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.triage(_limbs(spark, sf_dir))
+
+
+@query(f"""WITH {LIMBS}, h AS (SELECT matter_id, 'igst' AS head, igst AS v FROM l UNION ALL SELECT matter_id, 'cgst', cgst FROM l UNION ALL SELECT matter_id, 'sgst', sgst FROM l)
+    SELECT matter_id, head, CAST(sum(v) AS DOUBLE) AS amount FROM h WHERE v IS NOT NULL GROUP BY matter_id, head""")
+def head_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.head_totals(_limbs(spark, sf_dir))
+
+
+@query(f"WITH c AS ({view_sql('calls')}) SELECT run_id, stage, count(*) AS calls, coalesce(sum(tokens), 0) AS tokens, coalesce(sum(cost_micros), 0) AS cost_micros FROM c GROUP BY run_id, stage")
+def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.spend(view(spark, sf_dir, "calls"))
+
+
+@query("""WITH e AS (SELECT event_id % 6 AS k FROM events) SELECT CASE k WHEN 0 THEN 'not_json' WHEN 1 THEN 'refused' WHEN 2 THEN 'no_completion' WHEN 3 THEN 'starved' WHEN 4 THEN 'empty' ELSE 'ok' END AS outcome, count(*) AS calls FROM e GROUP BY 1""")
+def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "calls").groupBy(K.call_outcome(F.col("body")).alias("outcome")).agg(F.count("*").alias("calls"))
+
+
+@query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS back, length(text) AS chars
+    FROM conversations WHERE role = 'user' OR (role = 'assistant' AND trim(text) <> '') QUALIFY back <= 12""")
+def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.recent_history(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query(r"""WITH e AS (SELECT len(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b')) AS n FROM documents) SELECT 'EMAIL' AS label, sum(n) AS matches, count(*) AS texts FROM e WHERE n > 0""")
+def email_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.audit_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").where("label = 'EMAIL'")
+
+
+@query()
+def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.audit_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+@query("SELECT count(*) AS texts FROM documents")
+def scrubbed_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold no identifier after scrubbing: all."""
+    clean, _ = K.guarded(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text")
+    return clean.agg(F.count("*").alias("texts"))
+
+
+REVIEWS = """WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['A', 'B', 'C'] WHEN 1 THEN ['C', 'X', 'A'] ELSE ['B'] END AS ranking FROM events)"""
+
+
+@query(f"""{REVIEWS}, p AS (SELECT unnest(ranking) AS label, generate_subscripts(ranking, 1) - 1 AS pos, len(ranking) AS n FROM r)
+    SELECT 'model-' || label AS model, round(avg(CASE WHEN n = 1 THEN 0.5 ELSE CAST(pos AS DOUBLE) / (n - 1) END), 6) AS mean_place, count(*) AS rankings FROM p WHERE label <> 'X' GROUP BY label""")
+def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = F.expr("CASE event_id % 3 WHEN 0 THEN array('A', 'B', 'C') WHEN 1 THEN array('C', 'X', 'A') ELSE array('B') END")
+    models = F.expr("map('A', 'model-A', 'B', 'model-B', 'C', 'model-C')")
+    return K.aggregate_rankings(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("review_id"), arrays.alias("ranking"), models.alias("models")))
+
+
+@query()
+def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are failures and sign-ups successes of a user."""
+    tries = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('error', 'signup')")
+    return lockouts_batch(tries.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") == "signup").alias("success")))
