@@ -86,7 +86,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, trees: int = 3
             x, q = np.stack(rows["v"].to_numpy()), np.stack(queries["v"].to_numpy())
             ids, asking = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
             forest = Forest(x, trees, seed)
-            for i, runs in enumerate(forest.candidates(q, int(np.ceil(share * len(x))))):
+            least = max(int(np.ceil(share * len(x))), (k + 1) * trees)  # the second: of k + 1 rows at least, as each stands once in a tree
+            for i, runs in enumerate(forest.candidates(q, least)):
                 hit = np.zeros(len(x), bool)
                 for r in runs:
                     hit[r] = True
