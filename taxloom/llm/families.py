@@ -160,7 +160,7 @@ def _verifier(shingle: Callable[[list[str | None]], Shingles], hashes: int, floo
         first = held = 0
         for i, s in enumerate(sizes):
             held += s
-            if held >= 1 << 21:
+            if held >= 1 << 19:
                 yield first, i + 1
                 first, held = i + 1, 0
         if first < len(sizes):

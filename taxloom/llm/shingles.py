@@ -87,7 +87,7 @@ def signatures(shingles: Shingles, hashes: int, seed: int = 7) -> np.ndarray:
     return out
 
 
-def pieces(texts: list[str | None], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[str | None], chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many characters each, so that memory doesn't follow the batch."""
     first = held = 0
     for i, text in enumerate(texts):
