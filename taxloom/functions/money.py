@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,11 +18,20 @@ ARGUED = ("contested", "partial", "undecided")
 AMNESTY_YEARS = ("2017-18", "2018-19", "2019-20")
 
 
+def plain_number(cell: Column) -> Column:
+    """The first number of a cell without its commas, else null."""
+    return F.regexp_extract(F.replace(cell, F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?", 0).try_cast(MONEY)
+
+
+def signed(cell: Column, number: Column) -> Column:
+    """The number, below zero if the cell stands in brackets."""
+    text = F.trim(cell)
+    return F.when(F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")")), -F.abs(number)).otherwise(number).cast(MONEY)
+
+
 def parse_amount(cell: Column) -> Column:
     """The first number of a cell without its commas; brackets around the cell make it negative; else null."""
-    text = F.trim(cell)
-    number = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?", 0).try_cast(MONEY)
-    return F.when(text.rlike(r"^\(.*\)$"), -F.abs(number)).otherwise(number).cast(MONEY)
+    return signed(cell, plain_number(cell))
 
 
 def amount_in_issue(difference: Column, books: Column, portal: Column, tax: Column) -> Column:
@@ -30,18 +39,29 @@ def amount_in_issue(difference: Column, books: Column, portal: Column, tax: Colu
     return F.coalesce(F.abs(difference), F.abs(books - portal), F.abs(books), F.abs(portal), F.abs(tax)).cast(MONEY)
 
 
-def classify(status: Column, name: Column, invoice: Column) -> Column:
-    """The first bucket that has a keyword in the status; else, for three buckets, in the name and number; else unreconciled."""
-    said = F.lower(F.coalesce(status, F.lit("")))
-    about = F.lower(F.concat_ws(" ", name, invoice))
-    tests = [(said, b, words) for b, _, _, words in BUCKETS] + [(about, b, words) for b, _, _, words in BUCKETS if b in BY_NAME]
+def folded(*columns: str) -> Column:
+    """Columns in lower case, a space between, nulls left out."""
+    return F.lower(F.concat_ws(" ", *columns))
+
+
+def bucket_of(said: Column, about: Column) -> Column:
+    """The first bucket that has a keyword in said; else, for three buckets, in about; else unreconciled. Both are in lower case.
+
+    A keyword counts anywhere, within a word too. One pattern for each bucket keeps the generated code small.
+    """
     chain = F
-    for text, bucket, words in tests:
-        if words:
-            chain = chain.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words)), bucket)
+    for text, names in ((said, [b for b, *_ in BUCKETS]), (about, BY_NAME)):
+        for bucket, _, _, words in BUCKETS:
+            if words and bucket in names:
+                chain = chain.when(text.rlike("|".join(re.escape(w) for w in words)), bucket)
     return chain.otherwise("unreconciled")
 
 
+def classify(status: Column, name: Column, invoice: Column) -> Column:
+    """bucket_of() a line's status, and its supplier's name and invoice number."""
+    return bucket_of(F.lower(F.coalesce(status, F.lit(""))), F.lower(F.concat_ws(" ", name, invoice)))
+
+
 def amount_band(amount: Column) -> Column:
     chain = F.when(amount.isNull(), NO_BAND)
     for ceiling, label in BANDS:

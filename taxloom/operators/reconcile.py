@@ -11,19 +11,34 @@ from ..plans.dimensions import buckets
 IMMATERIAL = 1.0
 
 
+FIGURES = ("difference", "amount_books", "amount_2a", "tax_amount")
+
+
 def classified(lines: DataFrame) -> DataFrame:
-    """Adds amount (null or under a rupee: immaterial) and bucket to register lines. Narrow: nothing is shuffled."""
-    figure = [M.parse_amount(F.col(c)) for c in ("difference", "amount_books", "amount_2a", "tax_amount")]
-    return lines.withColumn("amount", M.amount_in_issue(*figure)).withColumn("bucket", M.classify(F.col("status"), F.col("supplier_name"), F.col("invoice_no")))
+    """Adds amount (null or under a rupee: immaterial) and bucket to register lines. Narrow: nothing is shuffled.
+
+    What later expressions use more than once is projected first: Catalyst keeps such projections apart, so
+    each cell is read by its patterns once.
+    """
+    read = lines.withColumns({f"_{c}": M.plain_number(F.col(c)) for c in FIGURES} | {"_said": M.folded("status"), "_about": M.folded("supplier_name", "invoice_no")})
+    signed = read.withColumns({f"_{c}": M.signed(F.col(c), F.col(f"_{c}")) for c in FIGURES})
+    whole = signed.withColumn("amount", M.amount_in_issue(*[F.col(f"_{c}") for c in FIGURES])).withColumn("bucket", M.bucket_of(F.col("_said"), F.col("_about")))
+    return whole.drop("_said", "_about", *[f"_{c}" for c in FIGURES])
 
 
 def material() -> F.Column:
     return F.coalesce(F.col("amount") >= IMMATERIAL, F.lit(False))
 
 
+def _summed(lines: DataFrame, *by: str) -> DataFrame:
+    """Amount and count of the material lines by key. The test stands in the aggregates: as a filter, it would be pushed below the projections with all patterns in it, and be worked out twice."""
+    sums = lines.groupBy(*by).agg(F.sum(F.when(material(), F.col("amount"))).alias("amount"), F.count_if(material()).alias("lines"))
+    return sums.where("lines > 0")
+
+
 def summary(lines: DataFrame) -> DataFrame:
     """Amount, count and share by register and bucket, largest first; the window runs over the few aggregated rows."""
-    sums = classified(lines).where(material()).groupBy("recon_id", "bucket").agg(F.sum("amount").alias("amount"), F.count("*").alias("lines"))
+    sums = _summed(classified(lines), "recon_id", "bucket")
     whole = Window.partitionBy("recon_id")
     ranked = sums.withColumn("share", F.round(F.col("amount").cast("double") / F.sum("amount").over(whole).cast("double"), 6)).withColumn("rank", F.row_number().over(whole.orderBy(F.desc("amount"), "bucket")))
     return ranked.join(F.broadcast(buckets(lines.sparkSession)), "bucket").select("recon_id", "rank", "bucket", "label", "strength", F.col("amount").cast("double").alias("amount"), "lines", "share")
@@ -31,7 +46,7 @@ def summary(lines: DataFrame) -> DataFrame:
 
 def by_supplier(lines: DataFrame) -> DataFrame:
     """Amount in issue by register and supplier; blank suppliers go before the shuffle."""
-    return classified(lines).where(material() & (F.trim("supplier_gstin") != "")).groupBy("recon_id", "supplier_gstin").agg(F.sum("amount").alias("amount"), F.count("*").alias("lines"))
+    return _summed(classified(lines.where(F.trim("supplier_gstin") != "")), "recon_id", "supplier_gstin")
 
 
 def top_exposures(lines: DataFrame, k: int = 5, mask: bool = False) -> DataFrame:
