@@ -64,6 +64,17 @@ VIEWS: dict[str, tuple[list, dict[str, str]]] = {
             "body": """CASE event_id % 6 WHEN 0 THEN 'upstream timeout' WHEN 1 THEN '{"error": {"code": 429}}' WHEN 2 THEN '{"choices": []}' WHEN 3 THEN '{"choices": [{"finish_reason": "length", "message": {"content": ""}}]}' WHEN 4 THEN '{"choices": [{"finish_reason": "stop", "message": {"content": " "}}]}' ELSE '{"choices": [{"finish_reason": "stop", "message": {"content": "' || event_type || '"}}]}' END""",
         },
     ),
+    "notices": (
+        ["orders"],
+        {
+            "notice_id": "o_orderkey",
+            "text": """CASE o_orderkey % 3 WHEN 0 THEN 'FORM GST DRC - 01' WHEN 1 THEN 'FORM GST ASMT-10' ELSE 'FORM GST DRC-01A' END || chr(10) || 'Reference No : ZD' || lpad(CAST(o_orderkey AS STRING), 12, '0') || 'F   Date : ' || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '/' || CAST(year(o_orderdate) AS STRING)
+                || chr(10) || 'GSTIN : ' || lpad(CAST(o_custkey % 40 AS STRING), 2, '0') || 'AAAAA' || lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') || 'A1Z5' || chr(10) || 'Name : Trader ' || CAST(o_custkey AS STRING) || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Tax Period : FY 2019-20' END
+                || chr(10) || 'Section under which notice is issued : 73 (1)' || chr(10) || '1. Excess credit' || chr(10) || 'More was claimed than section 16(2) allows; see rule 36 (4).' || chr(10) || 'Difference  ' || CAST(o_orderkey % 900 + 10 AS STRING) || '  ' || CAST(o_orderkey % 900 + 10 AS STRING) || '  ' || CAST(o_custkey % 70 AS STRING) || '.50  0  ' || CAST(2 * (o_orderkey % 900 + 10) + o_custkey % 70 AS STRING) || '.50'
+                || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '2. Late fee' || chr(10) || 'Difference of Rs. 1,' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || chr(10) || '1. not a limb' ELSE '' END
+                || chr(10) || 'You are to submit a reply on or before 30/06/2025.' || chr(10) || 'Total demand  ' || CAST(2 * (o_orderkey % 900 + 10) + o_custkey % 70 + CASE WHEN o_orderkey % 2 = 0 THEN 1000 + o_orderkey % 1000 ELSE 0 END + CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE 0 END AS STRING) || '.50'""",
+        },
+    ),
 }
 
 
