@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import money as M
+from .operators import citations as C
+from .operators import evaluate as E
 from .operators import matters as T
 from .operators import notices as N
 from .operators import reconcile as R
@@ -253,3 +255,74 @@ def notice_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CHECKED} SELECT count(*) AS notices, count(*) AS segmented, count(*) AS checkable, count(*) FILTER (reconciles) AS reconciled, 0 AS scans, sum(limbs) AS limbs FROM k")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.corpus_report(N.checked(view(spark, sf_dir, "notices")))
+
+
+_key = r"lower(trim(regexp_replace(citation, '\s+', ' ', 'g')))"
+CITED = rf"""a AS ({view_sql('authorities')}), s AS (SELECT *, {_key} AS key FROM a WHERE trim(citation) <> ''),
+    o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY matter_id, key ORDER BY source, place, citation) = 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY matter_id ORDER BY source, place, key) - 1 AS position FROM o QUALIFY position < 25),
+    v AS ({view_sql('verdicts')}), j AS (SELECT n.matter_id, n.position, n.key, n.citation, n.source,
+        CASE WHEN upper(v.status) NOT IN ('VERIFIED', 'SUPERSEDED', 'UNVERIFIED', 'NOT_FOUND') OR v.status IS NULL OR (upper(v.status) = 'VERIFIED' AND n.source = 1) THEN 'UNVERIFIED' ELSE upper(v.status) END AS status, v.note FROM n LEFT JOIN v USING (matter_id, position))"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of source 1 are marked as yet to be verified."""
+    found = C.collected(view(spark, sf_dir, "authorities")).withColumn("certainty", F.when(F.col("source") == 1, "to_verify").otherwise("settled"))
+    return C.judged(found, view(spark, sf_dir, "verdicts"))
+
+
+@query(f"WITH {CITED} SELECT matter_id, position, key, citation, source FROM n")
+def collected_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.collected(view(spark, sf_dir, "authorities"))
+
+
+@query(f"WITH {CITED} SELECT matter_id, position, key, status, note FROM j")
+def judged_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("matter_id", "position", "key", "status", "note")
+
+
+@query(f"""WITH {CITED} SELECT matter_id, count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status = 'SUPERSEDED') AS superseded, count(*) FILTER (status = 'UNVERIFIED') AS unverified,
+    count(*) FILTER (status = 'NOT_FOUND') AS not_found, count(*) AS total FROM j GROUP BY matter_id""")
+def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.verification(_judged(spark, sf_dir))
+
+
+@query(f"WITH {CITED} SELECT matter_id, citation, place FROM s WHERE (matter_id, key) IN (SELECT (matter_id, key) FROM j WHERE status = 'VERIFIED')")
+def filable_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.filable(view(spark, sf_dir, "authorities"), _judged(spark, sf_dir)).select("matter_id", "citation", "place")
+
+
+@query(f"WITH {CITED}, w AS (SELECT *, {_key} AS key FROM a) SELECT matter_id, count(*) AS withheld FROM w WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.matter_id = w.matter_id AND j.key = w.key AND status = 'VERIFIED') GROUP BY matter_id")
+def withheld_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.withheld(view(spark, sf_dir, "authorities"), _judged(spark, sf_dir)).groupBy("matter_id").agg(F.count("*").alias("withheld"))
+
+
+@query(f"WITH {CITED}, g AS (SELECT matter_id, key, bool_or(status = 'VERIFIED') AS ok, min(status) AS status FROM j GROUP BY ALL), t AS (SELECT DISTINCT matter_id, key FROM s) SELECT matter_id, key, coalesce(status, 'not covered') AS status FROM t LEFT JOIN g USING (matter_id, key) WHERE ok IS NOT TRUE")
+def prose_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = view(spark, sf_dir, "authorities").select("matter_id", F.concat(F.lit("See "), "citation", F.lit(", as held.")).alias("text"))
+    return C.prose_gaps(texts, _judged(spark, sf_dir)).select("matter_id", "key", "status")
+
+
+RATED = f"""i AS ({view_sql('results')}), r AS (SELECT matter_id, expected, CASE WHEN text LIKE 'We%' OR text LIKE 'Oppose%' THEN 'contest' WHEN text LIKE 'Settle%' THEN 'concede' WHEN text LIKE 'Contest%' THEN 'mixed' END AS inferred,
+        CASE WHEN text LIKE 'Oppose%' THEN 0.5 WHEN text LIKE '%limb%' THEN 0.5 ELSE 0.0 END AS keyword_rate, text LIKE '%pay the demand%' AS bad FROM i),
+    p AS (SELECT *, CASE WHEN bad THEN FALSE WHEN expected IS NULL OR inferred IS NULL THEN NULL ELSE inferred = expected OR inferred = 'mixed' OR expected = 'mixed' END AS passed FROM r)"""
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = {"keywords": F.array(F.lit("Time Barred"), F.lit("limb")), "forbidden": F.array(F.lit("pay the demand"))}
+    return E.position_scores(view(spark, sf_dir, "results").withColumns(words))
+
+
+@query(f"WITH {RATED} SELECT matter_id, inferred, keyword_rate, passed FROM p")
+def position_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rated(spark, sf_dir).drop("must_not")
+
+
+@query(f"WITH {RATED} SELECT count(*) AS matters, count(*) FILTER (passed) AS passed, round(avg(CAST(passed AS INT)), 3) AS pass_rate, round(avg(keyword_rate), 3) AS keyword_rate FROM p")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.scorecard(_rated(spark, sf_dir), ["keyword_rate"])
+
+
+@query(f"WITH {CITED}, z AS (SELECT matter_id, count(*) AS n, count(*) FILTER (status = 'VERIFIED') AS ok, count(*) FILTER (status = 'NOT_FOUND') AS bad FROM j GROUP BY matter_id) SELECT matter_id, round(ok / n, 3) AS rate, bad = 0 AS passed FROM z")
+def citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.integrity(C.verification(_judged(spark, sf_dir)))

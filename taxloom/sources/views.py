@@ -75,6 +75,34 @@ VIEWS: dict[str, tuple[list, dict[str, str]]] = {
                 || chr(10) || 'You are to submit a reply on or before 30/06/2025.' || chr(10) || 'Total demand  ' || CAST(2 * (o_orderkey % 900 + 10) + o_custkey % 70 + CASE WHEN o_orderkey % 2 = 0 THEN 1000 + o_orderkey % 1000 ELSE 0 END + CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE 0 END AS STRING) || '.50'""",
         },
     ),
+    "authorities": (
+        ["lineitem"],
+        {
+            "matter_id": "l_orderkey",
+            "source": "l_linenumber % 3",
+            "place": "l_linenumber",
+            "citation": "CASE l_partkey % 4 WHEN 0 THEN '(2023)  ' WHEN 1 THEN '[2024] ' WHEN 2 THEN '(2023) ' ELSE '' END || CASE WHEN l_partkey % 4 = 3 THEN '' ELSE CAST(l_suppkey % 3 AS STRING) || ' GSTL ' || CAST(l_linenumber % 3 + 100 AS STRING) END",
+            "certainty": "CASE WHEN l_suppkey % 5 = 0 THEN 'to_verify' ELSE 'settled' END",
+        },
+    ),
+    "verdicts": (
+        ["orders"],
+        {
+            "matter_id": "o_orderkey",
+            "position": "o_orderkey % 3",
+            "status": "CASE o_orderkey % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'VERIFIED' WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'maybe' ELSE 'SUPERSEDED' END",
+            "note": "CASE WHEN o_orderkey % 5 = 4 THEN 'overruled' END",
+            "as_of": "o_orderdate",
+        },
+    ),
+    "results": (
+        ["orders"],
+        {
+            "matter_id": "o_orderkey",
+            "text": "CASE o_orderkey % 6 WHEN 0 THEN 'We CONTEST and resist it' WHEN 1 THEN 'Settle: pay the demand' WHEN 2 THEN 'Contest one limb, concede one' WHEN 3 THEN 'No view' WHEN 4 THEN 'Oppose; time barred' END",
+            "expected": "CASE o_orderkey % 4 WHEN 0 THEN 'contest' WHEN 1 THEN 'concede' WHEN 2 THEN 'mixed' END",
+        },
+    ),
 }
 
 
