@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import money as M
 from .operators import citations as C
+from .operators import desk as D
 from .operators import evaluate as E
 from .operators import matters as T
 from .operators import notices as N
@@ -326,3 +327,56 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CITED}, z AS (SELECT matter_id, count(*) AS n, count(*) FILTER (status = 'VERIFIED') AS ok, count(*) FILTER (status = 'NOT_FOUND') AS bad FROM j GROUP BY matter_id) SELECT matter_id, round(ok / n, 3) AS rate, bad = 0 AS passed FROM z")
 def citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.integrity(C.verification(_judged(spark, sf_dir)))
+
+
+@query(f"""WITH {MATTERS}, n AS (SELECT *, coalesce(nullif(argued, 0), limbs) AS n FROM m), r AS (SELECT tier, median(CAST(cost_cents AS DOUBLE) / n) / 100 AS rate, count(*) AS samples FROM n WHERE status = 'complete' AND cost_cents > 0 AND n > 0 GROUP BY tier),
+    c AS (SELECT matter_id, m.tier, coalesce(samples >= 3, FALSE) AS learned, CASE WHEN samples >= 3 THEN rate * greatest(argued, 1) WHEN m.tier = 'draft' THEN 0.02 * greatest(argued, 1) + 0.01 ELSE 0.18 * greatest(argued, 1) + 0.12 END AS cost FROM m LEFT JOIN r USING (tier))
+    SELECT matter_id, tier, learned, round(cost, 4) AS usd, round(cost * 0.55, 4) AS low, round(cost * 1.45, 4) AS high, round(cost * 88, 2) AS inr FROM c""")
+def run_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matters = view(spark, sf_dir, "matters")
+    rates = T.observed_rates(matters).select("tier", (F.col("rate_cents") / 100).alias("rate"), "samples")
+    return D.estimates(matters, rates)
+
+
+SHEETS = f"h AS ({view_sql('sheets')})"
+
+
+@query(f"""WITH {SHEETS}, x AS (SELECT *, CASE WHEN annexure IS NULL THEN 1 ELSE 0 END AS bare FROM h),
+    p AS (SELECT matter_id, index, 0 AS at, 'no_posture' AS problem FROM x WHERE coalesce(posture, 'undecided') = 'undecided'
+        UNION ALL SELECT matter_id, index, 1, 'paid_without_reference' FROM x WHERE posture IN ('agreed_paid', 'paid_under_protest') AND coalesce(trim(payment_ref), '') = ''
+        UNION ALL SELECT matter_id, index, 2, 'partial_without_split' FROM x WHERE posture = 'partial' AND accepted IS NULL AND disputed IS NULL
+        UNION ALL SELECT matter_id, index, 3, 'split_off' FROM x WHERE posture = 'partial' AND coalesce(accepted, 0) + coalesce(disputed, 0) > 0 AND abs(coalesce(accepted, 0) + coalesce(disputed, 0) - total) > 1
+        UNION ALL SELECT matter_id, index, 4, 'no_annexure' FROM x WHERE bare = 1 UNION ALL SELECT matter_id, index, 5, 'evidence_gap' FROM x WHERE bare = 1)
+    SELECT problem, count(*) AS limbs, count(DISTINCT matter_id) AS matters FROM p GROUP BY problem""")
+def limb_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.problems(_sheets(spark, sf_dir)).groupBy("problem").agg(F.count("*").alias("limbs"), F.count_distinct("matter_id").alias("matters"))
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = {"annexures": F.array_compact(F.array("annexure")), "evidence_required": F.array(F.lit("ledger")), "evidence_held": F.when(F.col("annexure").isNotNull(), F.array(F.lit("ledger")))}
+    return view(spark, sf_dir, "sheets").withColumns(arrays)
+
+
+@query(f"WITH {SHEETS}, a AS (SELECT matter_id, index, annexure FROM h WHERE annexure IS NOT NULL) SELECT *, row_number() OVER (PARTITION BY matter_id ORDER BY index, annexure) AS number FROM a")
+def annexures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.annexures(_sheets(spark, sf_dir))
+
+
+@query(f"""WITH {SHEETS}, k AS (SELECT matter_id, index, min(total) AS total FROM h GROUP BY ALL), a AS (SELECT o_orderkey AS matter_id, o_orderkey % 4 + 1 AS index, CASE o_orderkey % 3 WHEN 0 THEN 'contested' WHEN 1 THEN 'partial' ELSE 'bogus' END AS posture FROM orders)
+    SELECT matter_id, index, total, CASE WHEN posture IN ('contested', 'partial') THEN posture ELSE 'undecided' END AS posture, posture IS NOT NULL AS answered FROM k FULL JOIN a USING (matter_id, index)""")
+def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limbs = view(spark, sf_dir, "sheets").groupBy("matter_id", "index").agg(F.min("total").alias("total")).withColumn("heading", F.lit(None).cast("string"))
+    answers = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS matter_id", "o_orderkey % 4 + 1 AS index", "CASE o_orderkey % 3 WHEN 0 THEN 'contested' WHEN 1 THEN 'partial' ELSE 'bogus' END AS posture")
+    return D.merged(limbs, answers, []).select("matter_id", "index", "total", "posture", "answered")
+
+
+@query("SELECT CASE event_id % 6 WHEN 0 THEN TRUE ELSE FALSE END AS degraded, count(*) AS calls FROM events GROUP BY 1")
+def recovered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.recovered(view(spark, sf_dir, "calls"), "body").groupBy("degraded").agg(F.count("*").alias("calls"))
+
+
+@query()
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as boxes of pages of a hundred."""
+    boxes = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id div 100 AS page_id", "CAST(event_id % 100 * 9 AS DOUBLE) AS top", "CAST(user_id AS DOUBLE) AS left", "event_type AS text", "0.7 + user_id % 30 / 100.0 AS confidence")
+    return D.page_quality(D.page_lines(boxes))

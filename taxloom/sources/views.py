@@ -103,6 +103,19 @@ VIEWS: dict[str, tuple[list, dict[str, str]]] = {
             "expected": "CASE o_orderkey % 4 WHEN 0 THEN 'contest' WHEN 1 THEN 'concede' WHEN 2 THEN 'mixed' END",
         },
     ),
+    "sheets": (
+        ["lineitem"],
+        {
+            "matter_id": "l_orderkey",
+            "index": "l_linenumber",
+            "posture": "CASE l_partkey % 7 WHEN 0 THEN 'explained' WHEN 1 THEN 'contested' WHEN 2 THEN 'agreed_paid' WHEN 3 THEN 'paid_under_protest' WHEN 4 THEN 'partial' WHEN 5 THEN 'undecided' END",
+            "payment_ref": "CASE WHEN l_suppkey % 2 = 0 THEN 'DRC-03' ELSE ' ' END",
+            "accepted": "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_partkey % 50 END",
+            "disputed": "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 25 END",
+            "total": "l_partkey % 50 + 25 + CASE WHEN l_suppkey % 4 = 0 THEN 9 ELSE 0 END",
+            "annexure": "CASE WHEN l_partkey % 5 <> 0 THEN 'Annexure ' || CAST(l_suppkey AS STRING) END",
+        },
+    ),
 }
 
 
