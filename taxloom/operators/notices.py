@@ -168,3 +168,13 @@ def merge_sets(found: DataFrame) -> DataFrame:
 def limb_document(counts: DataFrame) -> DataFrame:
     """counts: set_id, doc_no, limbs. The document with the most limbs supplies a set's limbs; the earliest of equals."""
     return counts.groupBy("set_id").agg(F.max_by("doc_no", F.struct("limbs", -F.col("doc_no"))).alias("doc_no"), F.max("limbs").alias("limbs"))
+
+
+def typed(limbs: DataFrame, catalogue: list[tuple[str, list[str]]]) -> DataFrame:
+    """Adds type to limbs: each pattern of a catalogue entry scores 10 in the heading, else 1 in the body; the highest score wins, the first of equals; none at 0."""
+    score = lambda p: F.when(F.coalesce(F.col("heading"), F.lit("")).rlike(p), 10).when(F.coalesce(F.col("body"), F.lit("")).rlike(p), 1).otherwise(0)
+    entries = [F.struct(F.aggregate(F.array(*[score(p) for p in patterns]), F.lit(0), lambda a, x: a + x).alias("score"), F.lit(-i).alias("before"), F.lit(name).alias("type")) for i, (name, patterns) in enumerate(catalogue) if patterns]
+    if not entries:
+        return limbs.withColumn("type", F.lit(None).cast("string"))
+    best = limbs.withColumn("_best", F.array_max(F.array(*entries)))
+    return best.withColumn("type", F.when(F.col("_best.score") > 0, F.col("_best.type"))).drop("_best")

@@ -90,3 +90,9 @@ def parse_ranking(text: Column) -> Column:
     tail = F.when(tail == "", text).otherwise(tail)
     listed = F.regexp_extract_all(tail, F.lit(r"\d+\.\s*(Response [A-Z])"), F.lit(1))
     return F.array_distinct(F.when(F.size(listed) > 0, listed).otherwise(F.regexp_extract_all(tail, F.lit("Response [A-Z]"), F.lit(0))))
+
+
+def restore(text: Column, tokens: Column) -> Column:
+    """The text with each token of a map replaced by what it stands for; the longest tokens first."""
+    pairs = F.reverse(F.array_sort(F.transform(F.map_entries(tokens), lambda e: F.struct(F.length(e["key"]).alias("n"), e["key"].alias("key"), e["value"].alias("value")))))
+    return F.when(tokens.isNull(), text).otherwise(F.aggregate(pairs, text, lambda t, e: F.replace(t, e["key"], F.coalesce(e["value"], F.lit("")))))
