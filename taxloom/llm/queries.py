@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's UTF-8 bytes are the 8-bit samples of its media column, at 2,756 a second; every 50th document is aligned with all."""
     media = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("audio"))
-    found = aligned(fingerprints(media, rate=2_756, frame=512), F.col("media_id") % 50 == 0)
+    found = aligned(fingerprints(media, rate=2_756, frame=64), F.col("media_id") % 50 == 0)
     return found.withColumnRenamed("media_id", "doc_id")
 
 

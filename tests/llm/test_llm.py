@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxloom.llm import chat, chroma, forest, packing, quality, shards, warc
+from taxloom.llm import chat, chroma, forest, packing, quality, queries, shards, warc
 from taxloom.llm.components import components
 from taxloom.llm.families import posterior_floors
 from taxloom.llm.line_dedup import drop_repeated_lines, repeated_lines
@@ -235,6 +235,14 @@ def test_chroma(spark):
     assert chroma.aligned(chroma.fingerprints(media.limit(0)), F.lit(True)).count() == 0
 
 
+def test_chroma_short(spark, tmp_path):
+    texts = [words(1, 60)[:200], words(1, 60)[:200], words(2, 60)[:300], words(2, 60)[:300] + " end", "ab", "ab", "", None, "cd"]
+    docs(spark, texts, [0, 1, 50, 51, 100, 101, 150, 151, 200]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.QUERIES["op1_chroma"](spark, str(tmp_path)).where("doc_id is not null").collect()}
+    assert {i: got[i].n_same for i in (0, 50, 100, 150, 200)} == {0: 1, 50: 0, 100: 1, 150: 1, 200: 0}
+    assert {i: got[i].n_aligned for i in (0, 50, 100, 150, 200)} == {0: 0, 50: 1, 100: 0, 150: 0, 200: 0} and got[0].n_items > 1 and got[100].n_items == 0
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, SF)
