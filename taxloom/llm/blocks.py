@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,3 +22,13 @@ def against(rows: DataFrame, queries: DataFrame, key: Column, run: Callable[[pd.
     right = queries.withColumn("qb", F.pmod(F.xxhash64(key), F.lit(m)).cast("int")).withColumn("rb", spread(n))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, should both tables come from one
     return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(run, schema)
+
+
+def paired(rows: DataFrame, queries: DataFrame, key: Column, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, row_block: int, query_block: int) -> DataFrame:
+    """Like against(), for tables of the same columns and a run that hands its result on in pieces: it gets both blocks in one, told apart by the column asks."""
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (queries, query_block)))
+    block = lambda k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.withColumn("asks", F.lit(False)).withColumn("rb", block(n)).withColumn("qb", spread(m))
+    right = queries.withColumn("asks", F.lit(True)).withColumn("rb", spread(n)).withColumn("qb", block(m))
+    return left.unionByName(right).groupBy("rb", "qb").applyInPandas(run, schema)

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
-from .chroma import aligned, fingerprints
+from .chroma import alignments, catalogue, fingerprints, members
 from .forest import nearest
 from .line_dedup import repeated_lines
 from .ngram_join import ngram_join
 from .packing import pack
 from .pieces import piece_digests
 from .quality import quality_scores
+from .scratch import settle
 from .shards import kd_shards
 from .warc import archive_index
 
@@ -24,10 +25,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's UTF-8 bytes are the 8-bit samples of its media column, at 2,756 a second; every 50th document is aligned with all."""
+    """Each document's UTF-8 bytes are the 8-bit samples of its media column, at 2,756 a second; every 50th document is aligned with all.
+
+    Rows with a doc_id: each document, with its recording, and n_aligned if it's a query. Rows without: each alignment of a query's recording with a partner.
+    """
     media = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("audio"))
-    found = aligned(fingerprints(media, rate=2_756, frame=64), F.col("media_id") % 50 == 0)
-    return found.withColumnRenamed("media_id", "doc_id")
+    is_query = F.col("media_id") % 50 == 0
+    known, recordings = catalogue(fingerprints(media, rate=2_756, frame=64))
+    pairs = settle(alignments(known, recordings, is_query))
+    counts = pairs.groupBy("recording").agg(F.count("*").alias("n")).withColumn("is_query", F.lit(True))
+    rows = members(known, recordings).withColumn("is_query", is_query).join(counts, ["recording", "is_query"], "left")
+    rows = rows.withColumn("n_aligned", F.when(F.col("is_query"), F.coalesce("n", F.lit(0)))).drop("n", "is_query").withColumnRenamed("media_id", "doc_id")
+    return rows.unionByName(pairs, allowMissingColumns=True)
 
 
 def op2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

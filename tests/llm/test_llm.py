@@ -243,6 +243,18 @@ def test_chroma_short(spark, tmp_path):
     assert {i: got[i].n_aligned for i in (0, 50, 100, 150, 200)} == {0: 0, 50: 1, 100: 0, 150: 0, 200: 0} and got[0].n_items > 1 and got[100].n_items == 0
 
 
+def test_chroma_pairs(spark, tmp_path):
+    base = words(1, 120)
+    texts = [base, base, *[base + " " + words(100 + i, 10) for i in range(30)], words(2, 120)]
+    docs(spark, texts, [0, *range(51, 83)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_chroma"](spark, str(tmp_path)).collect()
+    kind = {x.doc_id: x.recording for x in got if x.doc_id is not None}
+    pairs = [x for x in got if x.doc_id is None]
+    assert len(kind) == 33 and kind[0] == kind[51] and {x.recording for x in pairs} == {kind[0]}
+    assert sorted(x.partner for x in pairs) == sorted({kind[i] for i in range(52, 82)}) and len(pairs) > 20
+    assert next(x.n_aligned for x in got if x.doc_id == 0) == len(pairs) and all(x.offset == 0 and x.votes > 1 and x.bit_error <= 0.15 for x in pairs)
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, SF)
