@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,8 +35,8 @@ def _choose(nodes: dict[int, Node], pick) -> Column:
     return chain
 
 
-def _cut(rows: DataFrame, nodes: dict[int, Node], extent: dict[str, int]) -> DataFrame:
-    """Splits each of nodes along its widest dimension at the weighted median of its keys (or the like fraction, for an odd number of shards).
+def _cut(rows: DataFrame, nodes: dict[int, Node], extent: dict[str, int], room: list[float]) -> DataFrame:
+    """Splits each of nodes along its widest dimension at the weighted median of its keys (or the fraction that its left shards have of the room).
 
     A key is a coordinate and 24 bits of a hash. It is found in three steps of 12 bits; a step sums bytes by
     node and cell in one pass, and at most 4096 sums of each node reach the driver.
@@ -58,7 +59,8 @@ def _cut(rows: DataFrame, nodes: dict[int, Node], extent: dict[str, int]) -> Dat
         for r in within.groupBy("node", F.pmod(F.floor(F.col("key") / shift), F.lit(CELLS)).alias("cell")).agg(F.sum("size").alias("bytes")).collect():
             sums.setdefault(r.node, []).append((r.cell, r.bytes))
         for k, n in nodes_now.items():
-            target = total[k] * (n.shards // 2) / n.shards
+            mine = room[n.first : n.first + n.shards]
+            target = total[k] * (sum(mine[: n.shards // 2]) / sum(mine) if sum(mine) else n.shards // 2 / n.shards)
             cells = sorted(sums[k])
             for i, (cell, size) in enumerate(cells):
                 if n.below + size > target or i == len(cells) - 1:
@@ -73,6 +75,20 @@ def _cut(rows: DataFrame, nodes: dict[int, Node], extent: dict[str, int]) -> Dat
     return rows.withColumn("key", key_all).withColumn("node", F.when(F.col("key").isNull() | left, F.col("node")).otherwise(right)).drop("key")
 
 
+def _place(groups: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int]]:
+    """The shard of each (hash, bytes), the largest first into the emptiest shard, and the bytes that each shard then holds."""
+    held = [(0, s) for s in range(shards)]
+    at = {}
+    for w, h in sorted(((w, h) for h, w in groups), reverse=True):
+        load, s = heapq.heappop(held)
+        heapq.heappush(held, (load + w, s))
+        at[h] = s
+    loads = [0] * shards
+    for load, s in held:
+        loads[s] = load
+    return at, loads
+
+
 def kd_shards(docs: DataFrame, *, shards: int = 24, together: float = 0.02, slot_rows: int = 20_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document, under the law `bytes`.
 
@@ -81,9 +97,10 @@ def kd_shards(docs: DataFrame, *, shards: int = 24, together: float = 0.02, slot
     whole table's extent) at the distributed weighted median, for an odd number of shards at the fraction of
     its left part, until each leaf is a shard. Rows of one coordinate are ordered by a hash of the text.
 
-    Equal texts stay in one shard: they share the least language and source of their group, and the hash. Only a group of more
-    bytes than `together` of a shard is cut like single documents, ordered by doc_id too; so sizes stay near
-    equal however large a group is. Slots count from 0 without gaps in a shard. grown_shard is null under this law.
+    Equal texts stay in one shard: they share the least language and source of their group, and the hash. A group of more
+    bytes than `together` of a shard is placed before the tree is cut, the largest first into the emptiest shard, and the cuts leave its
+    room (at most shards / together groups reach the driver). Only a group that no shard can hold, of more bytes than an equal share of the table, is cut like single
+    documents, ordered by doc_id too. Slots count from 0 without gaps in a shard. grown_shard is null under this law.
 
     Null and empty texts have size 8; null lang, source or doc_id are a value of their own. Repeated rows are documents of their
     own. With fewer rows than shards, some shards are empty. Other columns are ignored. Empty table: no rows.
@@ -97,25 +114,30 @@ def kd_shards(docs: DataFrame, *, shards: int = 24, together: float = 0.02, slot
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     )
-    groups = light.groupBy("h").agg(F.sum("size").alias("w"), F.min("lang").alias("lang"), F.min("source").alias("source"))
-    whole = light.agg(F.sum("size").alias("w"), F.count("*").alias("n")).first()
+    groups = settle(light.groupBy("h").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source")))
+    whole = groups.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
+    share = (whole.w or 0) / shards
+    big = groups.where((F.col("n") > 1) & (F.col("w") > together * share) & (F.col("w") <= share)).select("h", "w").collect()
+    at, loads = _place([(r.h, r.w) for r in big], shards)
+    room = [max(0.0, share - x) for x in loads]
+    fixed = docs.sparkSession.createDataFrame(list(at.items()), "h long, fixed int")
     code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit("\0"))), F.lit(CELLS)).cast("int")
-    tie = F.when(F.col("w") > together * (whole.w or 0) / shards, F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h"))
+    tie = F.when(F.col("w") > share, F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h"))
     rows = (
         light.drop("lang", "source")
-        .join(groups, "h")
-        .select("doc_id", "size", "text_crc32", "h", F.least(F.floor(F.log2("size") * 128), F.lit(CELLS - 1)).cast("int").alias("c_size"), code("lang").alias("c_lang"), code("source").alias("c_source"), F.pmod(tie, F.lit(CELLS * CELLS)).alias("tie"))
+        .join(groups.drop("n").join(F.broadcast(fixed), "h", "left"), "h")
+        .select(F.coalesce(-1 - F.col("fixed"), F.lit(0)).alias("node"), "doc_id", "size", "text_crc32", "h", F.least(F.floor(F.log2("size") * 128), F.lit(CELLS - 1)).cast("int").alias("c_size"), code("lang").alias("c_lang"), code("source").alias("c_source"), F.pmod(tie, F.lit(CELLS * CELLS)).alias("tie"))
     )
-    placed, leaves = settle(rows.withColumn("node", F.lit(0))), [Node(0, shards)]
+    placed, leaves = settle(rows), [Node(0, shards)]  # a row of a placed group has the node -1 - shard, which is never cut
     extent = placed.agg(*[(F.max(c) - F.min(c)).alias(c) for c in DIMENSIONS]).first().asDict()
     extent = {c: v or 0 for c, v in extent.items()}
     while any(n.shards > 1 for n in leaves):
         cut = {n.first: n for n in leaves if n.shards > 1}
-        before, placed = placed, settle(_cut(placed, cut, extent))
+        before, placed = placed, settle(_cut(placed, cut, extent, room))
         discard(before)
         leaves = [x for n in leaves for x in ([n] if n.shards == 1 else [Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)])]
-    parts = max(1, -(-whole.n // (shards * slot_rows)))
-    placed = settle(placed.select("doc_id", "size", "text_crc32", "h", F.col("node").cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)).alias("part")))
+    parts = max(1, -(-(whole.n or 0) // (shards * slot_rows)))
+    placed = settle(placed.select("doc_id", "size", "text_crc32", "h", F.when(F.col("node") < 0, -1 - F.col("node")).otherwise(F.col("node")).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(parts)).alias("part")))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
     slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "h")) - 1

@@ -197,6 +197,17 @@ def test_shards(spark, odd):
     assert {r["count"] for r in shards.kd_shards(copies, shards=24).groupBy("shard").count().collect()} <= set(range(15, 26))
 
 
+def test_shards_keep_groups(spark):
+    texts = [words(i, 30) for i in range(600)] + [words(1000, 30)] * 40 + [words(1001, 30)] * 70 + [words(1002, 500)] * 2 + [words(1003, 30)] * 300
+    got = shards.kd_shards(docs(spark, texts), shards=8).collect()
+    size, held = {}, {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + r.size
+        held.setdefault(r.doc_id, r.shard)
+    assert all(len({held[i] for i in range(a, b)}) == 1 for a, b in ((600, 640), (640, 710), (710, 712))) and len(got) == len(texts)
+    assert len({held[i] for i in range(712, 1012)}) > 1 and len(size) == 8 and max(size.values()) < 1.1 * min(size.values())  # no shard holds the last group
+
+
 def test_forest(spark):
     r = np.random.default_rng(1)
     rows = [(i, r.standard_normal(16).tolist(), "x") for i in range(500)]
