@@ -63,7 +63,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    """Near copies (classes of ngram_join) are one cluster; a text has one class, since equal texts are one member."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("node", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    texts = docs.select(F.col("node").alias("doc_id"), "text")  # the class of a text, also where doc_id is null or repeated
+    classes = ngram_join(texts).select(F.col("doc_id").alias("node"), F.col("class_id").alias("cluster")).distinct()
+    return pack(docs.join(classes, "node", "left"), cluster="cluster")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,15 @@ def test_packing(spark, odd):
     assert max(fill.values()) <= 100 and packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_near_copies(spark, tmp_path):
+    base = words(1, 80)
+    texts = [base, base + " one", base + " two", base, words(2, 30), words(3, 30)]
+    docs(spark, texts, [1, 2, None, 3, 4, 4]).withColumn("source", F.expr("uuid()")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op7_packing"](spark, str(tmp_path)).collect()
+    family = [x.bin_id for x in got if x.doc_id in (None, 1, 2, 3)]
+    assert len(got) == 6 and len(family) == len(set(family)) == 4
+
+
 def test_pieces(spark, odd):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("piece_bpe_32k.model")
