@@ -16,6 +16,13 @@ def test_registers(spark, tmp_path):
     assert (got["b.csv", 1].difference, got["b.csv", 1].status) == ("12.5", "RCM")
 
 
+def test_wide_register(spark, tmp_path):
+    fill = [f"extra column {i}" for i in range(60)]
+    (tmp_path / "wide.csv").write_text("\n".join(",".join(r) for r in (["GSTIN", "Invoice No", *fill, "Status"], ["29AAAAA0001A1Z5", "7", *["x"] * 60, "timing"])))
+    got = files.read_registers(spark, str(tmp_path)).first()
+    assert (got.supplier_gstin, got.invoice_no, got.status) == ("29AAAAA0001A1Z5", "7", "timing")
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"intake": {"gstin": "g"}}))
     (tmp_path / "y.json").write_text("{broken")
