@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 # Words that show a position.
 CONTEST = ["contest", "resist", "defend", "challenge", "oppose", "reject the"]
 CONCEDE = ["concede", "accept the demand", "pay the demand", "settle", "voluntary payment", "avail the amnesty", "discharge the liability"]
-#: Words that say nothing of a document.
-STOP = ["and", "for", "from", "of", "the", "with"]
+# Words that say nothing of a document.
+STOP = [
+    "the", "for", "of", "and", "a", "an", "in", "on", "with", "its", "every", "listing", "report", "data", "tax", "period", "first", "month", "each",
+    "that", "this", "was", "were", "is", "are", "to", "by", "from", "at",
+]
 TERMS = 8
 
 
@@ -72,7 +75,7 @@ def matched_limbs(expected: DataFrame, produced: DataFrame) -> DataFrame:
 
 def terms(document: Column) -> Column:
     """The first words of a document's name that say something; repeats are kept."""
-    words = F.regexp_extract_all(F.lower(document), F.lit("[a-z0-9]{3,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(document), F.lit(r"[a-z0-9/()\-]{2,}"), F.lit(0))
     return F.slice(F.filter(words, lambda w: ~w.isin(*STOP)), 1, TERMS)
 
 

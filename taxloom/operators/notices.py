@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, financial_year
+from ..plans.dimensions import NOTICE_TYPES, notice_types
 from ..plans.places import places
+from .limbs import Catalogue, figure_of, head_order, limbs_of, money, printed_total
 
-# Form codes of notices; a hyphen stands for any run of spaces and hyphens.
-FORMS = ["ADT-01", "ADT-02", "ASMT-10", "ASMT-13", "DRC-01", "DRC-01A", "DRC-01B", "DRC-01C", "DRC-03", "DRC-06", "DRC-07", "MOV-07", "REG-17", "RFD-08"]
 # Patterns of identifiers and provisions.
 GSTIN = r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]{3})\b"
 PORTAL_ID = r"[A-Z]{2}\d{10,14}[A-Z0-9]"
 PROVISION = r"(\d{1,3}[A-Z]?(?:\s*\(\s*[0-9a-zA-Z]{1,3}\s*\))*)"
-DATE = r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b"
+WORDED = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)?\s+(january|february|march|april|may|june|july|august|september|october|november|december)\s*,?\s+(\d{4})\b"
+DATE = r"(?:\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b|" + WORDED.removeprefix("(?i)").replace("(\\d", "(?:\\d").replace("(january", "(?:january") + ")"
 SCAN_CHARS = 200
 #: Fields that a notice should state.
 FIELDS = ("gstin", "reference", "form", "section", "period", "name", "notice_date", "due_date")
-#: Order of the heads in a row of figures.
-ROW_HEADS = ("sgst", "cgst", "igst", "cess")
 
 
 def tidy(text: Column) -> Column:
@@ -38,7 +37,7 @@ def every(text: Column, pattern: str, group: int = 1) -> Column:
 
 def form_code(text: Column) -> Column:
     """The longest known code that the text names."""
-    codes = sorted(FORMS, key=len, reverse=True)
+    codes = sorted((code for code, _, _ in NOTICE_TYPES if code != "OTHER"), key=len, reverse=True)
     return F.coalesce(*[F.when(text.rlike(r"(?i)\b" + c.replace("-", r"[\s-]*") + r"\b"), c) for c in codes])
 
 
@@ -48,12 +47,11 @@ def provisions(text: Column, word: str = r"(?:section|sec\.?|u/s)") -> Column:
 
 
 def as_date(day: Column) -> Column:
-    """d.m.y by dots, slashes or hyphens; a day that isn't in the calendar is null."""
-    return F.try_to_date(F.regexp_replace(day, "[.-]", "/"), "d/M/yyyy")
-
-
-def money(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit("")).try_cast(MONEY)
+    """d.m.y by dots, slashes or hyphens, or with the month's name (14th June, 2026); a day that isn't in the calendar is null."""
+    word = lambda g: F.regexp_extract(day, WORDED, g)
+    month = F.ceil(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(word(2), F.lit(3)))) / 3)
+    worded = F.when(word(2) != "", F.concat_ws("/", word(1), month.cast("string"), word(3)))
+    return F.try_to_date(F.coalesce(worded, F.regexp_replace(day, "[.-]", "/")), "d/M/yyyy")
 
 
 def fields(notices: DataFrame) -> DataFrame:
@@ -72,7 +70,7 @@ def fields(notices: DataFrame) -> DataFrame:
         "notice_date": as_date(first(t, rf"(?i)(?<!reply )\bdate\s*:\s*({DATE})")),
         "due_date": as_date(F.coalesce(first(t, rf"(?i)(?:reply by|due date)\s*:?\s*({DATE})"), first(t, rf"(?i)\b(?:reply|respond|submit|furnish|appear)\b[^\n]{{0,200}}?on or before\s+({DATE})"))),
         "window_days": first(t, r"(?i)within\s+(\d{1,3})\s+days\s+(?:of|from)[^.\n]{0,40}receipt").try_cast("int"),
-        "dates": F.array_distinct(F.array_compact(F.transform(every(t, DATE, 0), as_date))),
+        "dates": F.array_distinct(F.array_compact(F.transform(every(t, f"(?i){DATE}", 0), as_date))),
         "amounts": F.array_compact(F.transform(every(t, r"(?:Rs\.?|INR|₹)\s*([\d,]*\d(?:\.\d+)?)"), money)),
         "scan_like": F.length(tidy(t)) < SCAN_CHARS,
     })
@@ -86,61 +84,45 @@ def with_jurisdiction(df: DataFrame) -> DataFrame:
     return df.withColumn("code", F.left("gstin", F.lit(2))).join(F.broadcast(places(df.sparkSession)), "code", "left").drop("code")
 
 
-def limbs(notices: DataFrame) -> DataFrame:
-    """(notice_id, index, heading, body) of each limb.
-
-    "Defect - N" headings count alone where there are any, else numbered ones. A heading whose number doesn't
-    exceed the last kept one is part of that limb's body. What stands before the first heading is no limb.
-    """
-    t = F.col("text")
-    mark = F.when(t.rlike(r"(?im)^\s*Defect\s*-\s*\d+"), F.lit(r"(?im)^(?=\s*Defect\s*-\s*\d+)")).otherwise(F.lit(r"(?m)^(?=\d{1,2}\.\s+\D)"))
-    head = r"(?is)^\s*(?:Defect\s*-\s*)?(\d{1,2})[.:\s]*([^\n]*)\n?(.*)$"
-    parts = F.transform(F.filter(F.split(t, mark), lambda p: p.rlike(r"(?is)^\s*(?:Defect\s*-\s*\d+|\d{1,2}\.\s+\D)")), lambda p: F.struct(F.regexp_extract(p, head, 1).cast("int").alias("index"), F.trim(F.regexp_extract(p, head, 2)).alias("heading"), F.regexp_extract(p, head, 3).alias("body"), p.alias("all")))
-    none = F.lit(None).cast("array<struct<index:int,heading:string,body:string,all:string>>")
-    empty = F.coalesce(none, F.array().cast("array<struct<index:int,heading:string,body:string,all:string>>"))
+def with_reply_form(df: DataFrame) -> DataFrame:
+    """Adds statute and reply_form of the notice's form; a form that isn't known has those of OTHER."""
+    known = F.broadcast(notice_types(df.sparkSession))
+    other = next(x for x in NOTICE_TYPES if x[0] == "OTHER")
+    hit = F.col("code").isNotNull()
+    joined = df.join(known, F.col("form") == F.col("code"), "left")
+    return joined.withColumns({"statute": F.when(hit, F.col("statute")).otherwise(other[1]), "reply_form": F.when(hit, F.col("reply_form")).otherwise(other[2])}).drop("code")
 
-    def add(kept: Column, p: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        longer = F.struct(last["index"].alias("index"), last["heading"].alias("heading"), F.concat(last["body"], p["all"]).alias("body"), last["all"].alias("all"))
-        return F.when((F.size(kept) == 0) | (p["index"] > last["index"]), F.array_append(kept, p)).otherwise(F.array_append(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), longer))
 
-    found = notices.select("notice_id", F.explode(F.aggregate(parts, empty, add)).alias("l"))
-    return found.select("notice_id", "l.index", "l.heading", "l.body")
+def limbs(notices: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
+    """(notice_id, index, heading, body, pre, head_order) of each limb; see limbs_of(). pre, the text before all limbs, stands with the first only."""
+    read = notices.select("notice_id", tidy(F.col("text")).alias("t")).select("notice_id", head_order(F.col("t")).alias("head_order"), limbs_of(F.col("t"), catalogue).alias("got"))
+    return read.select("notice_id", "head_order", "got.pre", F.posexplode("got.limbs").alias("at", "l")).select("notice_id", "l.index", "l.heading", "l.body", F.when(F.col("at") == 0, F.col("pre")).alias("pre"), "head_order")
 
 
 def figures(limbs: DataFrame) -> DataFrame:
-    """Adds heads (map), total and basis to limbs.
+    """Adds heads (map), total, basis and label to limbs(): basis tells which reading of figure_of() it is, unread, with null figures, if none."""
+    read = limbs.withColumn("_f", figure_of(F.col("body"), F.col("pre"), F.col("head_order")))
+    return read.withColumns({"heads": F.col("_f.heads"), "total": F.col("_f.total"), "basis": F.coalesce("_f.basis", F.lit("unread")), "label": F.col("_f.label")}).drop("_f", "pre", "head_order")
 
-    basis is checked where the last row of differences ends in five numbers of which four sum up to the
-    fifth (within 2 rupees and 0.5 %), lump where it only has a number of 100 or more, else unread, with null figures.
-    """
-    rows = every(F.col("body"), r"(?im)^[^\n]*\bdifference\b[^\n]*$", 0)
-    read = limbs.withColumn("_n", F.array_compact(F.transform(every(F.try_element_at(rows, F.lit(-1)), r"\d[\d,]*(?:\.\d+)?", 0), money))).withColumn("_five", F.when(F.size("_n") >= 5, F.slice("_n", -5, 5)))
-    at = lambda i: F.try_element_at("_five", F.lit(i))
-    checked = F.coalesce((F.abs(at(1) + at(2) + at(3) + at(4) - at(5)) <= F.least(F.lit(2), at(5) * F.lit(0.005).cast("decimal(4,3)"))) & (at(5) >= 10), F.lit(False))
-    most = F.array_max("_n")
-    heads = F.create_map(*[x for i, h in enumerate(ROW_HEADS) for x in (F.lit(h), at(i + 1))])
-    read = read.withColumn("basis", F.when(checked, "checked").when(most >= 100, "lump").otherwise("unread"))
-    read = read.withColumn("heads", F.when(F.col("basis") == "checked", heads).when(F.col("basis") == "lump", F.create_map(F.lit("unallocated"), most)))
-    return read.withColumn("total", F.when(F.col("basis") == "checked", at(5)).when(F.col("basis") == "lump", most)).drop("_n", "_five")
-
-
-def printed_total(text: Column) -> Column:
-    """The figure of the last row whose label ends in a phrase for the whole demand."""
-    rows = every(text, r"(?im)^\s*(?:total demand|total amount payable|grand total)\D*?([\d,]*\d(?:\.\d+)?)\s*$")
-    return money(F.try_element_at(rows, F.lit(-1)))
 
-
-def checked(notices: DataFrame) -> DataFrame:
+def checked(notices: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
     """A row for each notice: its limbs, their sum, the printed total, whether the two agree within 2 rupees, and flags, worst first.
 
-    Only figures are shuffled, by notice_id. A printed total that just repeats one of several limbs is no total.
+    One scan of the texts, without a shuffle. A printed total that just repeats a limb is no total.
     """
-    stated = fields(notices).select("notice_id", "missing", "window_days", "due_date", "scan_like", printed_total(F.col("text")).alias("printed"))
-    sums = figures(limbs(notices)).groupBy("notice_id").agg(F.count("*").alias("limbs"), F.sum("total").alias("limb_sum"), F.count_if(F.col("basis") == "unread").alias("unread"), F.collect_set("total").alias("each"))
-    joined = stated.join(sums, "notice_id", "left").fillna({"limbs": 0, "unread": 0})
-    echo = (F.col("limbs") > 1) & F.exists("each", lambda x: F.abs(x - F.col("printed")) <= 2)
-    joined = joined.withColumn("printed", F.when(F.coalesce(echo, F.lit(False)), None).otherwise(F.col("printed"))).withColumn("reconciles", F.abs(F.col("printed") - F.col("limb_sum")) <= 2)
+    t = F.col("text")
+    stated = fields(notices).select("notice_id", "missing", "window_days", "due_date", "scan_like", printed_total(t).alias("printed"), head_order(t).alias("order"), limbs_of(t, catalogue).alias("got"))
+    total = F.transform("got.limbs", lambda l, i: figure_of(l["body"], F.when(i == 0, F.col("got.pre")), F.col("order"))["total"])
+    read = stated.select("notice_id", "missing", "window_days", "due_date", "scan_like", "printed", total.alias("each"))
+    known = F.array_compact("each")
+    echo = F.exists("each", lambda x: F.abs(x - F.col("printed")) <= 2)
+    joined = read.withColumns({
+        "limbs": F.coalesce(F.size("each"), F.lit(0)).cast("long"),
+        "limb_sum": F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast(MONEY), lambda a, x: (a + x).cast(MONEY))),
+        "unread": F.size("each") - F.size(known),
+        "printed": F.when(F.coalesce(echo, F.lit(False)), None).otherwise(F.col("printed")),
+    }).withColumn("limbs", F.greatest("limbs", F.lit(0)))
+    joined = joined.withColumn("reconciles", F.abs(F.col("printed") - F.col("limb_sum")) <= 2)
     flags = [
         F.when(F.col("limbs") == 0, "no_limbs"), F.when(~F.col("reconciles"), "does_not_reconcile"), F.when(F.col("unread") > 0, "unread_figures"), F.when(F.col("scan_like"), "scan"),
         F.when(F.col("window_days").isNotNull() & F.col("due_date").isNull(), "window_without_date"), F.when(F.size("missing") > 0, "fields_missing"), F.when(F.col("printed").isNull(), "no_printed_total"),

@@ -84,12 +84,17 @@ def aggregate_rankings(reviews: DataFrame) -> DataFrame:
     return known.groupBy("model").agg(F.round(F.avg("share"), 6).alias("mean_place"), F.count("*").alias("rankings"))
 
 
-def parse_ranking(text: Column) -> Column:
-    """Labels "Response X" of a referee's text: after the last header the numbered ones, else any; each once."""
-    tail = F.regexp_extract(text, r"(?s)^.*(?:FINAL RANKING|Final Ranking|final ranking):?(.*)$", 1)
-    tail = F.when(tail == "", text).otherwise(tail)
+# Headers of a closing ranking.
+RANKING_HEADERS = ["ORDER OF MERIT:", "FINAL RANKING:", "RANKING:"]
+
+
+def parse_ranking(text: Column, valid: Column | None = None) -> Column:
+    """Labels "Response X" of a referee's text: after the last header the numbered ones, else any; each once, and, if valid (an array) is given, only those in it."""
+    tail = F.regexp_extract(text, rf"(?s)^.*(?:{'|'.join(RANKING_HEADERS)})(.*)$", 1)
+    tail = F.when(text.rlike("|".join(RANKING_HEADERS)), tail).otherwise(text)
     listed = F.regexp_extract_all(tail, F.lit(r"\d+\.\s*(Response [A-Z])"), F.lit(1))
-    return F.array_distinct(F.when(F.size(listed) > 0, listed).otherwise(F.regexp_extract_all(tail, F.lit("Response [A-Z]"), F.lit(0))))
+    found = F.array_distinct(F.when(F.size(listed) > 0, listed).otherwise(F.regexp_extract_all(tail, F.lit("Response [A-Z]"), F.lit(0))))
+    return found if valid is None else F.filter(found, lambda x: F.array_contains(valid, x))
 
 
 def restore(text: Column, tokens: Column) -> Column:

@@ -37,6 +37,42 @@ PENALTY_STAGES: list[tuple[str, int, str, int, bool, int | None]] = [
     ("74A_fraud", 3, "on_order", 100, False, None),
 ]
 
+# Form codes of notices, their statute, and the form of the reply.
+NOTICE_TYPES: list[tuple[str, str, str | None]] = [
+    ("ASMT-10", "Section 61 read with Rule 99", "ASMT-11"),
+    ("DRC-01A", "Section 73(5)/74(5) read with Rule 142(1A)", "DRC-01A Part B"),
+    ("DRC-01", "Section 73 / 74 / 74A read with Rule 142(1)", "DRC-06"),
+    ("DRC-07", "Section 73/74 read with Rule 142(5)", "APL-01 (appeal)"),
+    ("ADT-01", "Section 65 read with Rule 101", None),
+    ("ADT-02", "Section 65(6) read with Rule 101(5)", None),
+    ("RFD-08", "Section 54 read with Rule 92(3)", "RFD-09"),
+    ("REG-17", "Section 29 read with Rule 22", "REG-18"),
+    ("DRC-01C", "Rule 88D", "DRC-01C Part B"),
+    ("MOV-07", "Section 129 read with Rule 138", None),
+    ("ASMT-11", "Section 61(2) read with Rule 99(2)", "ASMT-11"),
+    ("ASMT-12", "Section 61(3) read with Rule 99(3)", None),
+    ("ASMT-13", "Section 62 read with Rule 100(1)", "Return under s.62(2)"),
+    ("ASMT-14", "Section 63 read with Rule 100(2)", "ASMT-15"),
+    ("DRC-01B", "Rule 88C", "DRC-01B Part B"),
+    ("DRC-03", "Section 73(5)/74(5) read with Rule 142(2)/(3)", None),
+    ("DRC-06", "Rule 142(4)", "DRC-06"),
+    ("DRC-13", "Section 79(1)(c) read with Rule 145", "DRC-14 / representation"),
+    ("APL-01", "Section 107 read with Rule 108", "APL-01"),
+    ("APL-05", "Section 112 read with Rule 110", "APL-05"),
+    ("ADT-04", "Section 66 read with Rule 102", None),
+    ("RFD-06", "Section 54 read with Rule 92", "APL-01 (appeal)"),
+    ("REG-03", "Rule 9(2)", "REG-04"),
+    ("REG-23", "Rule 23(3)", "REG-24"),
+    ("REG-31", "Rule 21A", None),
+    ("MOV-06", "Section 129(1) read with Rule 140", "MOV-09 representation"),
+    ("MOV-09", "Section 129(3)", "APL-01 (appeal)"),
+    ("MOV-10", "Section 130 read with Rule 141", None),
+    ("SUMMONS-70", "Section 70", None),
+    ("SPL-01", "Section 128A", "SPL-01 / SPL-02"),
+    ("ARA-01", "Section 97 read with Rule 104", None),
+    ("OTHER", "As specified in the notice", None),
+]
+
 
 def buckets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, k, label, strength) for i, (k, label, strength, _) in enumerate(BUCKETS)], "ordinal int, bucket string, label string, strength string")
@@ -44,3 +80,7 @@ def buckets(spark: SparkSession) -> DataFrame:
 
 def penalty_stages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PENALTY_STAGES, "scheme string, ordinal int, stage string, percent int, floored boolean, window int")
+
+
+def notice_types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NOTICE_TYPES, "code string, statute string, reply_form string")

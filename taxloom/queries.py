@@ -17,7 +17,7 @@ from .operators import reconcile as R
 from .operators import talk as K
 from .plans.dimensions import BUCKETS, BY_NAME, PENALTY_STAGES
 from .plans.places import PLACES
-from .sources.views import AS_ON, view, view_sql
+from .sources.views import AS_ON, FIRST, HEAD, OFF, SECOND, view, view_sql
 from .streaming.lockout import lockouts_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,41 +219,50 @@ def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lockouts_batch(tries.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") == "signup").alias("success")))
 
 
-_first = "2 * (o_orderkey % 900 + 10) + o_custkey % 70 + 0.5"
+_scan = "o_orderkey % 29 = 0"
+_told = lambda e: f"CASE WHEN NOT {_scan} THEN {e} END"
+_window = "o_orderkey % 23 = 0"
+_missing = f"concat_ws(',', CASE WHEN {_scan} THEN 'gstin,reference,section' END, CASE WHEN {_scan} OR o_orderkey % 7 = 0 THEN 'period' END, CASE WHEN {_scan} THEN 'name,notice_date,due_date' END)"
 
 
-@query(f"""SELECT o_orderkey AS notice_id, lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') || 'AAAAA' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'A1Z5' AS gstin, 'ZD' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || 'F' AS reference,
-    CASE o_orderkey % 3 WHEN 0 THEN 'DRC-01' WHEN 1 THEN 'ASMT-10' ELSE 'DRC-01A' END AS form, '73(1)' AS section, '16(2)' AS sections, '36(4)' AS rules, CASE WHEN o_orderkey % 7 <> 0 THEN '2019-20' END AS period, 'Trader ' || o_custkey AS name,
-    CAST(o_orderdate AS DATE) AS notice_date, DATE '2025-06-30' AS due_date, CASE WHEN o_orderkey % 7 = 0 THEN 'period' ELSE '' END AS missing FROM orders""")
+@query(f"""SELECT o_orderkey AS notice_id, {_told("lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') || 'AAAAA' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'A1Z5'")} AS gstin, {_told("'ZD' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || 'F'")} AS reference,
+    CASE WHEN {_scan} OR o_orderkey % 3 = 0 THEN 'DRC-01' WHEN o_orderkey % 3 = 1 THEN 'ASMT-10' ELSE 'DRC-01A' END AS form, {_told("'73(1)'")} AS section, coalesce({_told("'16(2)'")}, '') AS sections, coalesce({_told("'36(4)'")}, '') AS rules,
+    CASE WHEN NOT {_scan} AND o_orderkey % 7 <> 0 THEN '2019-20' END AS period, {_told("'Trader ' || o_custkey")} AS name, {_told('CAST(o_orderdate AS DATE)')} AS notice_date, CASE WHEN NOT {_scan} AND NOT {_window} THEN DATE '2025-06-30' END AS due_date, {_missing} AS missing FROM orders""")
 def notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = N.fields(view(spark, sf_dir, "notices"))
     return found.select("notice_id", "gstin", "reference", "form", "section", F.array_join("sections", ",").alias("sections"), F.array_join("rules", ",").alias("rules"), "period", "name", "notice_date", "due_date", F.array_join("missing", ",").alias("missing"))
 
 
-@query("WITH p AS (SELECT o_orderkey AS notice_id, lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') AS code FROM orders), q(code, state, high_court) AS (VALUES " + ", ".join(f"('{c}', '{s}', '{h}')" for c, s, h in PLACES) + ") SELECT notice_id, state, high_court FROM p LEFT JOIN q USING (code)")
+@query(f"WITH p AS (SELECT o_orderkey AS notice_id, {_told("lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0')")} AS code FROM orders), q(code, state, high_court) AS (VALUES " + ", ".join(f"('{c}', '{s}', '{h}')" for c, s, h in PLACES) + ") SELECT notice_id, state, high_court FROM p LEFT JOIN q USING (code)")
 def jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.with_jurisdiction(N.fields(view(spark, sf_dir, "notices"))).select("notice_id", "state", "high_court")
 
 
-@query(f"""SELECT o_orderkey AS notice_id, 1 AS index, 'Excess credit' AS heading, 'checked' AS basis, CAST({_first} AS DOUBLE) AS total, CAST(o_orderkey % 900 + 10 AS DOUBLE) AS cgst FROM orders
-    UNION ALL SELECT o_orderkey, 2, 'Late fee', 'lump', CAST(1000 + o_orderkey % 1000 AS DOUBLE), NULL FROM orders WHERE o_orderkey % 2 = 0""")
+@query(f"""WITH o AS (SELECT * FROM orders WHERE NOT {_scan})
+    SELECT o_orderkey AS notice_id, 1 AS index, 'Excess credit claimed' AS heading, CASE WHEN o_orderkey % 17 = 0 THEN 'unread' ELSE ['labelled', 'labelled', 'paired', 'each_head', 'unallocated'][o_orderkey % 5 + 1] END AS basis, CAST({FIRST} AS DOUBLE) AS total,
+        CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 5 < 4 THEN CAST({HEAD} AS DOUBLE) END AS cgst, CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 5 < 2 THEN CAST(o_custkey % 70 + 0.5 AS DOUBLE) END AS igst FROM o
+    UNION ALL SELECT o_orderkey, 2, 'Late fee for delay', 'unallocated', CAST({SECOND} AS DOUBLE), NULL, NULL FROM o WHERE o_orderkey % 2 = 0""")
 def notice_limbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = N.figures(N.limbs(view(spark, sf_dir, "notices")))
-    return read.select("notice_id", "index", "heading", "basis", F.col("total").cast("double").alias("total"), F.try_element_at("heads", F.lit("cgst")).cast("double").alias("cgst"))
+    head = lambda h: F.try_element_at("heads", F.lit(h)).cast("double").alias(h)
+    return read.select("notice_id", "index", "heading", "basis", F.col("total").cast("double").alias("total"), head("cgst"), head("igst"))
 
 
-_sum = f"{_first} + CASE WHEN o_orderkey % 2 = 0 THEN 1000 + o_orderkey % 1000 ELSE 0 END"
-_off = "o_orderkey % 11 = 0"
-CHECKED = f"k AS (SELECT o_orderkey AS notice_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS limbs, CAST({_sum} AS DOUBLE) AS limb_sum, CAST({_sum} + CASE WHEN {_off} THEN 9 ELSE 0 END AS DOUBLE) AS printed, NOT ({_off}) AS reconciles, concat_ws(',', CASE WHEN {_off} THEN 'does_not_reconcile' END, CASE WHEN o_orderkey % 7 = 0 THEN 'fields_missing' END) AS flags FROM orders)"
+CHECKED = f"""r AS (SELECT *, {_scan} AS scan, {FIRST} AS one, {SECOND} AS two, {OFF} AS more FROM orders),
+    s AS (SELECT *, CASE WHEN one IS NULL AND two IS NULL THEN NULL ELSE coalesce(one, 0) + coalesce(two, 0) END AS sums, coalesce(one, 0) + coalesce(two, 0) + more AS said FROM r),
+    e AS (SELECT *, CASE WHEN scan OR said < 10 OR coalesce(abs(said - one) <= 2, FALSE) OR coalesce(abs(said - two) <= 2, FALSE) THEN NULL ELSE said END AS kept FROM s),
+    k AS (SELECT o_orderkey AS notice_id, CASE WHEN scan THEN 0 WHEN two IS NULL THEN 1 ELSE 2 END AS limbs, CASE WHEN NOT scan THEN CAST(sums AS DOUBLE) END AS limb_sum, CAST(kept AS DOUBLE) AS printed, abs(kept - sums) <= 2 AS reconciles,
+        concat_ws(',', CASE WHEN scan THEN 'no_limbs' END, CASE WHEN abs(kept - sums) > 2 THEN 'does_not_reconcile' END, CASE WHEN NOT scan AND one IS NULL THEN 'unread_figures' END, CASE WHEN scan THEN 'scan' END, CASE WHEN NOT scan AND {_window} THEN 'window_without_date' END,
+            CASE WHEN scan OR o_orderkey % 7 = 0 THEN 'fields_missing' END, CASE WHEN kept IS NULL THEN 'no_printed_total' END) AS flags, scan FROM e)"""
 
 
-@query(f"WITH {CHECKED} SELECT * FROM k")
+@query(f"WITH {CHECKED} SELECT * EXCLUDE (scan) FROM k")
 def notice_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = N.checked(view(spark, sf_dir, "notices"))
     return got.select("notice_id", "limbs", F.col("limb_sum").cast("double").alias("limb_sum"), F.col("printed").cast("double").alias("printed"), "reconciles", F.array_join("flags", ",").alias("flags"))
 
 
-@query(f"WITH {CHECKED} SELECT count(*) AS notices, count(*) AS segmented, count(*) AS checkable, count(*) FILTER (reconciles) AS reconciled, 0 AS scans, sum(limbs) AS limbs FROM k")
+@query(f"WITH {CHECKED} SELECT count(*) AS notices, count(*) FILTER (limbs > 0) AS segmented, count(reconciles) AS checkable, count(*) FILTER (reconciles) AS reconciled, count(*) FILTER (scan) AS scans, sum(limbs) AS limbs FROM k")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.corpus_report(N.checked(view(spark, sf_dir, "notices")))
 

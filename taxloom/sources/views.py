@@ -7,6 +7,34 @@ from pyspark.sql import functions as F
 
 AS_ON = "1998-06-01"
 
+_n = lambda e: f"CAST({e} AS STRING)"
+#: Figures of a notice: a head's, the third head's whole part, a lump, its limbs' totals (null where unread or absent), and what is added to the printed total.
+HEAD, THIRD, LUMP = "(o_orderkey % 900 + 10)", "(o_custkey % 70)", "(1000 + o_orderkey % 1000)"
+FIRST = f"CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 5 < 2 THEN 2 * {HEAD} + {THIRD} + 0.5 WHEN o_orderkey % 5 < 4 THEN 2 * {HEAD} ELSE {LUMP} END"
+SECOND = f"CASE WHEN o_orderkey % 2 = 0 THEN {LUMP} END"
+OFF = "CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE 0 END"
+_lump = f"'1,' || lpad({_n('o_orderkey % 1000')}, 3, '0')"
+_third = f"{_n(THIRD)} || '.50'"
+_total = f"{_n(f'2 * {HEAD} + {THIRD}')} || '.50'"
+_heading = lambda n, name: f"CASE o_orderkey % 3 WHEN 0 THEN '{n}. {name}' WHEN 1 THEN 'Defect - {n}: {name}' ELSE '• {name} :' END || chr(10)"
+_printed = f"coalesce({FIRST}, 0) + coalesce({SECOND}, 0) + {OFF}"
+_whole = f"{_n(f'CAST(floor({_printed}) AS BIGINT)')} || CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 5 < 2 THEN '.50' ELSE '.00' END"
+_filler = "The returns of the period were examined together with the records that are on file in this office, and what was found is put before the taxpayer for an answer in writing."
+#: A notice of one or two limbs: three kinds of headings, five of figures, or none; two ends of its operative part; scans without text.
+NOTICE = f"""CASE WHEN o_orderkey % 29 = 0 THEN 'FORM GST DRC-01' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'FORM GST DRC - 01' WHEN 1 THEN 'FORM GST ASMT-10' ELSE 'FORM GST DRC-01A' END
+    || chr(10) || 'Name : Trader ' || {_n('o_custkey')} || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Tax Period : FY 2019-20' || chr(10) END
+    || 'Reference No : ZD' || lpad({_n('o_orderkey')}, 12, '0') || 'F   Date : ' || lpad({_n('day(o_orderdate)')}, 2, '0') || '/' || lpad({_n('month(o_orderdate)')}, 2, '0') || '/' || {_n('year(o_orderdate)')}
+    || chr(10) || 'GSTIN : ' || lpad({_n('o_custkey % 40')}, 2, '0') || 'AAAAA' || lpad({_n('o_custkey % 10000')}, 4, '0') || 'A1Z5'
+    || chr(10) || 'Section under which notice is issued : 73 (1)' || chr(10) || 'This is under section 16(2) and rule 36 (4). {_filler} {_filler}' || chr(10)
+    || {_heading(1, 'Excess credit claimed')} || CASE WHEN o_orderkey % 17 = 0 THEN 'What was claimed stands in the annexure.' ELSE CASE o_orderkey % 5
+        WHEN 0 THEN 'As returned and as allowed:' || chr(10) || 'Difference  ' || {_n(HEAD)} || '  ' || {_n(HEAD)} || '  ' || {_third} || '  0  ' || {_total}
+        WHEN 1 THEN 'IGST CGST SGST CESS' || chr(10) || '1 2 3 4 5' || chr(10) || 'Excess claimed ' || {_third} || ' ' || {_n(HEAD)} || ' ' || {_n(HEAD)} || ' 0 ' || {_total}
+        WHEN 2 THEN 'S.No | No of GSTR-1 filed late' || chr(10) || '1 2 3 4' || chr(10) || '1 9 ' || {_n(HEAD)} || ' ' || {_n(HEAD)}
+        WHEN 3 THEN 'A penalty of Rs. ' || {_n(HEAD)} || '/- each under CGST and SGST is due.'
+        ELSE '5 Difference (Highest of 1 to 3)-4 ' || {_lump} END END
+    || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || {_heading(2, 'Late fee for delay')} || 'Difference of Rs. ' || {_lump} || chr(10) || '1. not a limb here' ELSE '' END
+    || chr(10) || CASE WHEN o_orderkey % 4 < 2 THEN 'Proper officer' ELSE 'The total tax payable on account of these deficiencies is arrived at below.' END || chr(10) || '{_filler}' || chr(10) || 'Total tax payable  0  0  ' || {_whole} || '  0  ' || {_whole}
+    || chr(10) || CASE WHEN o_orderkey % 23 = 0 THEN 'A reply is due within 30 days of receipt.' ELSE 'You are to submit a reply on or before 30/06/2025.' END END"""
 #: Each view: the tables it joins (first, then (table, left column, right column)), and its columns.
 VIEWS: dict[str, tuple[list, dict[str, str]]] = {
     "register_lines": (
@@ -64,17 +92,7 @@ VIEWS: dict[str, tuple[list, dict[str, str]]] = {
             "body": """CASE event_id % 6 WHEN 0 THEN 'upstream timeout' WHEN 1 THEN '{"error": {"code": 429}}' WHEN 2 THEN '{"choices": []}' WHEN 3 THEN '{"choices": [{"finish_reason": "length", "message": {"content": ""}}]}' WHEN 4 THEN '{"choices": [{"finish_reason": "stop", "message": {"content": " "}}]}' ELSE '{"choices": [{"finish_reason": "stop", "message": {"content": "' || event_type || '"}}]}' END""",
         },
     ),
-    "notices": (
-        ["orders"],
-        {
-            "notice_id": "o_orderkey",
-            "text": """CASE o_orderkey % 3 WHEN 0 THEN 'FORM GST DRC - 01' WHEN 1 THEN 'FORM GST ASMT-10' ELSE 'FORM GST DRC-01A' END || chr(10) || 'Reference No : ZD' || lpad(CAST(o_orderkey AS STRING), 12, '0') || 'F   Date : ' || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '/' || CAST(year(o_orderdate) AS STRING)
-                || chr(10) || 'GSTIN : ' || lpad(CAST(o_custkey % 40 AS STRING), 2, '0') || 'AAAAA' || lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') || 'A1Z5' || chr(10) || 'Name : Trader ' || CAST(o_custkey AS STRING) || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Tax Period : FY 2019-20' END
-                || chr(10) || 'Section under which notice is issued : 73 (1)' || chr(10) || '1. Excess credit' || chr(10) || 'More was claimed than section 16(2) allows; see rule 36 (4).' || chr(10) || 'Difference  ' || CAST(o_orderkey % 900 + 10 AS STRING) || '  ' || CAST(o_orderkey % 900 + 10 AS STRING) || '  ' || CAST(o_custkey % 70 AS STRING) || '.50  0  ' || CAST(2 * (o_orderkey % 900 + 10) + o_custkey % 70 AS STRING) || '.50'
-                || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '2. Late fee' || chr(10) || 'Difference of Rs. 1,' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || chr(10) || '1. not a limb' ELSE '' END
-                || chr(10) || 'You are to submit a reply on or before 30/06/2025.' || chr(10) || 'Total demand  ' || CAST(2 * (o_orderkey % 900 + 10) + o_custkey % 70 + CASE WHEN o_orderkey % 2 = 0 THEN 1000 + o_orderkey % 1000 ELSE 0 END + CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE 0 END AS STRING) || '.50'""",
-        },
-    ),
+    "notices": (["orders"], {"notice_id": "o_orderkey", "text": NOTICE}),
     "authorities": (
         ["lineitem"],
         {
