@@ -24,9 +24,9 @@ def against(rows: DataFrame, queries: DataFrame, key: Column, run: Callable[[pd.
     return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(run, schema)
 
 
-def paired(rows: DataFrame, queries: DataFrame, key: Column, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, row_block: int, query_block: int) -> DataFrame:
-    """Like against(), for tables of the same columns and a run that hands its result on in pieces: it gets both blocks in one, told apart by the column asks."""
-    n, m = (max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (queries, query_block)))
+def paired(rows: DataFrame, queries: DataFrame, key: str, size: Column, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, row_block: int, query_block: int) -> DataFrame:
+    """Like against(), for tables of the same columns and a run that hands its result on in pieces: it gets both blocks in one, told apart by the column asks. Blocks are of about so much size."""
+    n, m = (max(1, -(-int(df.agg(F.sum(size)).first()[0] or 0) // most)) for df, most in ((rows, row_block), (queries, query_block)))
     block = lambda k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = rows.withColumn("asks", F.lit(False)).withColumn("rb", block(n)).withColumn("qb", spread(m))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import runtime_filters, settle
+from .scratch import discard, hub_join, runtime_filters, settle
 from .shingles import Shingles, pieces
 
 #: (hashes compared so far, least matches with which a pair goes on).
@@ -133,19 +133,23 @@ def candidates(sigs: DataFrame, hashes: int, rows: int, floors: Floors, block: i
     width = 2 * rows
     bands = [F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(hashes // rows)]
     keys = sigs.select("node", F.explode(F.array(*bands)).alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "n")
-    members = settle(keys.join(crowded, "key").distinct())
-    own = sigs.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    dealt = _dealt(members, "key", F.col("n"), block).join(own, "node").select("key", "bi", "bj", "node", "sig")
-    links = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_linker(hashes, floors), "a long, b long")
-    return settle(components(links))
+    with runtime_filters(sigs.sparkSession):  # most buckets hold one text; their rows needn't be shuffled twice
+        crowded = settle(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "n")).where("n > 1")
+        members = settle(keys.join(crowded, "key").distinct())
+        own = sigs.join(members.select("node").distinct().where("node is not null"), "node", "left_semi").dropDuplicates(["node"])
+        dealt = _dealt(members, "key", F.col("n"), block).join(own, "node").select("key", "bi", "bj", "node", "sig")
+        links = settle(dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_linker(hashes, floors), "a long, b long"))
+    found = settle(components(links))
+    discard(crowded, members, links)
+    return found
 
 
-def _verifier(shingle: Callable[[list[str | None]], Shingles], hashes: int, floors: Floors, threshold: float) -> Callable:
-    """mapInArrow function from members (root, bi, bj, own, node, sig, text) to (a, b, links).
+def _verifier(shingle: Callable[[list[str | None]], Shingles], hashes: int, floors: Floors, threshold: float, counting: bool) -> Callable:
+    """mapInArrow function from members (root, bi, bj, own, node, group, sig, text) to (a, b, links).
 
     Each pair of different texts is looked at in one task: pruned by signatures, then its exact
-    Jaccard similarity is compared. Out go a forest of the links (a, b, 0) and each text's links found here (a, null, links).
+    Jaccard similarity is compared. Out go a forest of the links (a, b, 0) and, if counting, each text's links found here (a, null, links).
+    Without counting, texts of one group, or already connected in the task, aren't compared.
     """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,7 @@ def _verifier(shingle: Callable[[list[str | None]], Shingles], hashes: int, floo
 
     def _verified(table: pa.Table, starts: np.ndarray, texts: list) -> Iterator[pa.RecordBatch]:
         nodes, owns, sigs = table.column("node").to_numpy(), table.column("own").to_numpy(), _matrix(table.column("sig"), hashes)
-        bi, bj = table.column("bi").to_numpy(), table.column("bj").to_numpy()
+        bi, bj, groups = (table.column(c).to_numpy() for c in ("bi", "bj", "group"))
         sets: list[np.ndarray] = []
         for a, b in pieces(texts):
             values, at = shingle(texts[a:b])
@@ -182,11 +186,14 @@ def _verifier(shingle: Callable[[list[str | None]], Shingles], hashes: int, floo
             vocabulary, ids = np.unique(np.concatenate(own), return_inverse=True)
             size = np.array([len(x) for x in own])
             ends = np.cumsum(size)
-            links, tree, there = np.zeros(len(order), np.int64), list(range(len(order))), np.zeros(len(vocabulary), np.int64)
+            links, there = np.zeros(len(order), np.int64), np.zeros(len(vocabulary), np.int64)
+            label = np.arange(len(order)) if counting else np.unique(groups[order], return_inverse=True)[1]
             for x in range(len(order) - 1):
                 rest = np.arange(x + 1, len(order))
                 if cross:
                     rest = rest[owns[order[rest]] != owns[order[x]]]
+                if not counting:
+                    rest = rest[label[rest] != label[x]]
                 rest = rest[agreeing(sigs[order[x]], sigs[order[rest]], floors)]
                 rest = rest[np.minimum(size[rest], size[x]) >= threshold * np.maximum(size[rest], size[x])]
                 if not len(rest):
@@ -199,17 +206,10 @@ def _verifier(shingle: Callable[[list[str | None]], Shingles], hashes: int, floo
                 links[x] += len(near)
                 links[near] += 1
                 for y in near.tolist():
-                    p, q = x, y
-                    while tree[p] != p:
-                        tree[p] = tree[tree[p]]
-                        p = tree[p]
-                    while tree[q] != q:
-                        tree[q] = tree[tree[q]]
-                        q = tree[q]
-                    if p != q:
-                        tree[max(p, q)] = min(p, q)
+                    if label[x] != label[y]:
+                        label[label == label[y]] = label[x]
                         out_a.append(nodes[order[x]]), out_b.append(nodes[order[y]]), out_n.append(0)
-            for x in np.flatnonzero(links):
+            for x in np.flatnonzero(links) if counting else ():
                 out_a.append(nodes[order[x]]), out_b.append(None), out_n.append(links[x])
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_a, out_b, out_n)], ["a", "b", "links"])
 
@@ -228,17 +228,43 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-def classes(texts: DataFrame, sigs: DataFrame, shingle: Callable, hashes: int, rows: int, floors: Floors, threshold: float, block: int = 256) -> DataFrame:
-    """(node, root, links) of every text with a near text: its class's least node, and its number of links.
+def classes(texts: DataFrame, sigs: DataFrame, shingle: Callable, hashes: int, rows: int, floors: Floors, threshold: float, block: int = 256, counting: bool = True) -> DataFrame:
+    """(node, root, links) of every text with a near text: its class's least node, and its number of links (null unless counting).
 
-    texts: (node long, text string), any number of rows for a node, read anew for the texts in question only.
+    texts: (node long, text string), any number of rows for a node, read anew for the texts in question only. Counting
+    compares all pairs of a family. Else a family is dealt once, each block with the family's first text, which mostly connects it;
+    only where a family of several blocks stays in parts are the parts compared, each text outside the largest with all others.
     """
+    spark = texts.sparkSession
     loose = candidates(sigs, hashes, rows, floors)
-    wanted = settle(loose.join(loose.groupBy("root").agg(F.count("*").alias("n")), "root")).where("n > 1")  # true of all; a filter is what lets Spark make a runtime filter of it
-    own = sigs.join(loose.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    text = texts.join(wanted, "node").select("node", "text", "root", "n").mapInArrow(once, "node long, text string, root long, n long")
-    dealt = _dealt(text, "root", F.col("n"), block).join(own, "node").select("root", "bi", "bj", "own", "node", "sig", "text")
-    with runtime_filters(texts.sparkSession):  # most texts have no near text; they needn't be shuffled to learn that
-        found = settle(dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_verifier(shingle, hashes, floors, threshold), "a long, b long, links long"))
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    return components(found.where("b is not null").select("a", "b")).join(links, "node")
+    wanted = settle(hub_join(loose, loose.groupBy("root").agg(F.count("*").alias("n")), "root", "n"))
+    asked = wanted.where("n > 1")  # true of all; a filter is what lets Spark make a runtime filter of it
+    own = sigs.join(loose.select("node").where("node is not null"), "node", "left_semi").dropDuplicates(["node"])
+
+    def verified(members: DataFrame) -> DataFrame:
+        """members: node, text, root, bi, bj, own, group."""
+        dealt = members.join(own, "node").select("root", "bi", "bj", "own", "node", "group", "sig", "text")
+        with runtime_filters(spark):  # most texts have no near text; they needn't be shuffled to learn that
+            return settle(dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_verifier(shingle, hashes, floors, threshold, counting), "a long, b long, links long"))
+
+    text = lambda of: texts.join(of, "node").select("node", "text", *[c for c in of.columns if c != "node"]).mapInArrow(once, f"node long, text string, {', '.join(f'{c} long' for c in of.columns if c != 'node')}")
+    if counting:
+        found = verified(_dealt(text(asked), "root", F.col("n"), block).withColumn("group", F.col("node")))
+        links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        return components(found.where("b is not null").select("a", "b")).join(links, "node")
+    k = F.ceil(F.col("n") / block).cast("int")
+    first = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), k).cast("int")))
+    found = verified(text(asked).withColumn("bi", F.explode(first)).withColumns({"bj": F.col("bi"), "own": F.col("bi"), "group": F.col("node")}))
+    parts = settle(components(found.select("a", "b")))
+    large = asked.where(F.col("n") > block)
+    parted = settle(large.join(parts.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node")))
+    sizes = parted.groupBy("root", "group").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("group", F.struct("m", "group")).alias("main"), F.max("m").alias("m"), F.count("*").alias("groups"))
+    open_ = settle(hub_join(parted, sizes.where("groups > 1").select("root", "main", "m"), "root"))
+    if not open_.isEmpty():
+        j, m = F.ceil((F.col("n") - F.col("m")) / block).cast("int"), F.ceil(F.col("m") / block).cast("int")
+        inside = F.col("group") == F.col("main")
+        own_block = F.when(inside, j + F.pmod(F.xxhash64("node"), m)).otherwise(F.pmod(F.xxhash64("node"), j)).cast("int")
+        dealt = text(open_).withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, j - 1).otherwise(j + m - 1))))
+        more = verified(dealt.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}))
+        parts = settle(components(found.unionByName(more).select("a", "b")))
+    return parts.withColumn("links", F.lit(None).cast("long"))

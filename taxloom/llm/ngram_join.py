@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .families import classes, posterior_floors
-from .scratch import settle
+from .scratch import hub_join, settle
 from .shingles import signer, word_shingles
 
 
@@ -30,24 +30,49 @@ def ngram_join(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, toler
     of the class have none. Repeated rows: a row each. Other columns are ignored. Empty table: no rows.
     Texts are told apart by a 64-bit hash: two different ones collide with a chance of n * n / 2 ** 65.
     """
-    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
-    sigs = settle(texts.mapInArrow(signer(partial(word_shingles, size=words), hashes), "node long, sig binary"))
-    near = settle(classes(texts, sigs, partial(word_shingles, size=words), hashes, rows, posterior_floors(threshold, tolerance, hashes, 16), threshold))
-    rows_of = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"))
-    nodes = rows_of.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")).join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows_of = docs.select(F.col(id_col).alias("doc_id"), _node(text_col))
+    near = settle(_near(docs, words, threshold, tolerance, hashes, rows, text_col, True))
+    nodes = settle(rows_of.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")).join(near, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = nodes.groupBy("root").agg(F.min("least").alias("class_id"))
-    nodes = nodes.join(least, "root").select("node", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies")
+    nodes = hub_join(nodes, least, "root").select("node", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), "n_copies")
     return rows_of.join(nodes, "node").select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def _node(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node")
+
+
+def _near(docs: DataFrame, words: int, threshold: float, tolerance: float, hashes: int, rows: int, text_col: str, counting: bool) -> DataFrame:
+    """(node, root, links) of texts with a near text."""
+    texts = docs.select(_node(text_col), F.col(text_col).alias("text"))
+    shingle = partial(word_shingles, size=words)
+    sigs = settle(texts.mapInArrow(signer(shingle, hashes), "node long, sig binary"))
+    return classes(texts, sigs, shingle, hashes, rows, posterior_floors(threshold, tolerance, hashes, 16), threshold, counting=counting)
+
+
+def near_classes(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-5, hashes: int = 64, rows: int = 4, text_col: str = "text") -> DataFrame:
+    """(node, root): the class, by its least node, of each text that has a near one; node is the text's xxhash64 (a null text's that of an empty one).
+
+    The classes of ngram_join, found without counting links, so that a large family isn't compared in pairs once it's connected.
+    """
+    return settle(_near(docs, words, threshold, tolerance, hashes, rows, text_col, False).select("node", "root"))
+
+
 def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without all but one of each class of ngram_join: the document with the least doc_id stays.
+    """docs without all but one row of each class of near_classes(), equal texts being one class: that with the least doc_id, of equal ones that
+    with the least hash of its text, of rows that agree in both the least by all columns.
 
-    Documents without a doc_id take no part and stay. Rows that repeat a doc_id within a class leave one row.
+    A row goes only if its own text is of the class, so that rows which repeat a doc_id with unlike texts all stay.
+    Documents without a doc_id take no part and stay.
     """
-    join = ngram_join(docs.where(F.col("doc_id").isNotNull()), **parameters).where("doc_id = class_id").groupBy("doc_id").agg(F.max("n_copies").alias("_n"))
     known = docs.where(F.col("doc_id").isNotNull())
-    repeated = known.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id")
-    kept = known.join(join.select("doc_id"), "doc_id", "left_semi")
-    once = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    near = near_classes(known, **parameters)
+    rows_of = known.select("doc_id", _node("text"))
+    firsts = settle(rows_of.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(near, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    kept = firsts.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node"))
+    copies = rows_of.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("node") == F.col("_node"))).groupBy("_id", "_node").agg(F.count("*").alias("_n"))
+    copies = settle(copies)
+    met = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_node"))
+    one = known.join(copies.where("_n = 1").drop("_n"), met, "left_semi")
+    more = known.join(copies.where("_n > 1").drop("_n"), met).groupBy("_id", "_node").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return one.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import settle
+
 
 def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
     """The bin of each item, taken longest first (the order given).
@@ -39,26 +41,26 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
     return out
 
 
-def pack(docs: DataFrame, *, cluster: str | None = None, capacity: int = 8192, group_rows: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, *, classes: DataFrame | None = None, capacity: int = 8192, group_rows: int = 4096) -> DataFrame:
     """(doc_id, segment, start, length, bin_id, place) of every segment of every document.
 
     A text of more than capacity characters is cut into segments of capacity and a rest. Two segments in a
-    bin never have the same source or the same duplicate cluster: the long column `cluster`, such as class_id of ngram_join, else equal texts; a row with a null there is of the cluster of its text. Rows are dealt by hash
-    into groups of about group_rows, each packed by itself in one task, longest first: a bin is never shared between
-    groups, which costs a fraction of a bin a group. Only lengths and keys are shuffled, not texts.
+    bin never have the same source or the same duplicate cluster: the class of classes (node, root), as near_classes() gives it, for texts in one,
+    else equal texts. Segments are dealt by hash into groups of about group_rows, each packed by itself in one task, longest first: a bin is never
+    shared between groups, which costs a fraction of a bin a group. Only lengths and keys are shuffled, not texts.
     start counts characters from 0; place is the order in a bin.
 
     Null and empty texts get one row of length 0 with null bin_id and place. A null source or doc_id conflicts with
     nothing. Repeated rows are items of their own (and never share a bin, being of one cluster). Other columns are
     ignored. Empty table: no rows.
     """
-    length = F.coalesce(F.length("text"), F.lit(0))
-    own = F.xxhash64("text")
-    group = own if cluster is None else F.when(F.col(cluster).isNull(), own).otherwise(F.xxhash64(F.col(cluster).cast("long")))
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.alias("cluster"), length.alias("chars"))
-    items = items.withColumn("segment", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("chars") / capacity) - 1, F.lit(0)).cast("int"))))
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("node"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    light = light.withColumnRenamed("node", "cluster") if classes is None else light.join(classes.select("node", "root"), "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("node", "root")
+    light = settle(light)
+    items = light.withColumn("segment", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("chars") / capacity) - 1, F.lit(0)).cast("int"))))
     items = items.withColumn("start", F.col("segment") * capacity).withColumn("length", F.least(F.col("chars") - F.col("start"), F.lit(capacity))).drop("chars")
-    groups = max(1, -(-docs.count() // group_rows))
+    segments = light.agg(F.sum(F.ceil(F.col("chars") / capacity))).first()[0] or 0
+    groups = max(1, -(-segments // group_rows))
     dealt = items.where("length > 0").withColumn("part", F.pmod(F.xxhash64("doc_id", "segment", "cluster"), F.lit(groups)))
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import settle
+from .scratch import BATCHES, settings, settle
 from .shingles import pieces
 
 #: What is measured of a text; see statistics() for each.
@@ -175,6 +175,7 @@ def _keeper(model: Discriminant, column: int, least: float) -> Callable:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, unchanged, whose score by the model of quality_scores is least or more."""
-    model = learn(measure(docs), labels)
-    return docs.mapInArrow(_keeper(model, docs.columns.index("text"), least), docs.schema)
+    """The rows of docs, unchanged, whose score by the model of quality_scores is least or more; null, empty and repeated rows as there."""
+    with settings(docs.sparkSession, BATCHES):
+        model = learn(measure(docs), labels)
+    return settle(docs.mapInArrow(_keeper(model, docs.columns.index("text"), least), docs.schema))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, format_chats
 from .chroma import alignments, catalogue, fingerprints, members
 from .forest import nearest
-from .line_dedup import repeated_lines
-from .ngram_join import ngram_join
+from .line_dedup import repeated_lines, text_hash
+from .ngram_join import near_classes, ngram_join
 from .packing import pack
 from .pieces import piece_digests
 from .quality import quality_scores
@@ -63,17 +63,16 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near copies (classes of ngram_join) are one cluster; a text has one class, since equal texts are one member."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("node", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    texts = docs.select(F.col("node").alias("doc_id"), "text")  # the class of a text, also where doc_id is null or repeated
-    classes = ngram_join(texts).select(F.col("doc_id").alias("node"), F.col("class_id").alias("cluster")).distinct()
-    return pack(docs.join(classes, "node", "left"), cluster="cluster")
+    """Near copies (classes of the n-gram join) are one cluster, as equal texts are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return pack(docs, classes=near_classes(docs))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    lost = repeated_lines(docs)
-    return docs.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines")).join(lost, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), "dropped")
+    lost = repeated_lines(docs).withColumnRenamed("text_hash", "_hash")
+    rows = docs.select("doc_id", text_hash().alias("_hash"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    return rows.join(lost, ["doc_id", "_hash"], "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), "dropped")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -17,16 +19,40 @@ def _own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; only a session that names none (a test) gets a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new path under spark.checkpoint.dir; only a session of one machine (a test) that names none gets a folder there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or _own_folder()
     return f"{base.rstrip('/')}/taxloom-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Jobs that run within have these settings; afterwards the session is as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Rows go to Python in batches of so many bytes: a worker holds a few whole texts, not a partition of them.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder; a lost executor costs only a re-read."""
     spark = df.sparkSession
     at = folder(spark)
-    df.write.parquet(at)
+    with settings(spark, BATCHES):
+        df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -40,18 +66,20 @@ def discard(*settled: DataFrame) -> None:
 
 
 #: Spark's own Bloom filters of a join's smaller side, of 8 MB at most, on inputs of any size.
-FILTERS = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "256MB"}
+FILTERS = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "256MB"}.items()}
 
 
-@contextlib.contextmanager
-def runtime_filters(spark: SparkSession) -> Iterator[None]:
+def runtime_filters(spark: SparkSession) -> contextlib.AbstractContextManager:
     """Jobs that run within may drop rows of a join's larger side before its shuffle, if a Bloom filter says that they meet none."""
-    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in FILTERS.items()}
-    before = {k: spark.conf.get(k) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    return settings(spark, FILTERS)
+
+
+def hub_join(big: DataFrame, small: DataFrame, key: str, rows: str | None = None, least: int = 512, most: int = 100_000) -> DataFrame:
+    """Inner join of big, a settled table, with small, which has a row for each key.
+
+    Keys with over least rows of big, and over one row in `most` of it, can't be more than `most`: their rows of small are
+    broadcast, so that no task gets a hub's rows of big. All other rows are shuffled by key. rows: a column of small with the number of big's rows, if known.
+    """
+    limit = max(least, big.count() // most)
+    hubs = small.where(F.col(rows) > limit) if rows else small.join(big.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit), key).drop("_n")
+    return big.join(F.broadcast(hubs.select(key)), key, "left_anti").join(small, key).unionByName(big.join(F.broadcast(hubs), key))

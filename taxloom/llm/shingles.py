@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import xxhash
 
-WORD = re.compile(r"\w+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Code points looked at together, where words allow it.
+SLICE = 1 << 17
 
 #: Shingles: (hashes of all texts one after another, where each text's begin; a last entry closes the last text).
 Shingles = tuple[np.ndarray, np.ndarray]
@@ -21,42 +21,77 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class _Hashes(dict):
-    """Hash of a word, remembered for the texts of one call."""
+@functools.cache
+def _units() -> np.ndarray:
+    """A well-spread 64-bit number for each code point that a word may hold; 0 for all others."""
+    codes = np.arange(1, 0x110001, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        units = mixed(mixed(codes * STEP)) | np.uint64(1)
+    units[[not (chr(c).isalnum() or c == 95) for c in range(0x110000)]] = 0
+    return units
+
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP ** i and its inverse, modulo 2 ** 64, for i under n."""
+    inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (STEP, inverse))
+
+
+def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a row of code points begins, and its hash: the sum of unit * STEP ** place, by differences of running sums."""
+    begins, hashes, first = [], [], 0
+    while first < len(codes):
+        last = min(len(codes), first + SLICE)
+        units = _units()[codes[first:last]]
+        while last < len(codes) and units[-1]:  # a word that goes on: the slice ends before it, or, if it's all one word, behind it
+            cut = np.flatnonzero(units == 0)
+            if len(cut):
+                last = first + cut[-1] + 1
+            else:
+                last = min(len(codes), last + SLICE)
+            units = _units()[codes[first:last]]
+        inside = np.concatenate([[False], units != 0, [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        b, e = edges[::2], edges[1::2]
+        up, down = _powers(max(SLICE, 1 << (len(units) - 1).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * up[: len(units)])])
+        begins.append(b + first)
+        hashes.append(mixed((sums[e] - sums[b]) * down[b]))
+        first = last
+    return (np.concatenate(begins), np.concatenate(hashes)) if begins else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def _windows(units: np.ndarray, counts: np.ndarray, size: int) -> Shingles:
     """Hashes of each text's windows of size units; a shorter text that isn't empty is one window."""
     ends = np.cumsum(counts)
-    begins = ends - counts
-    rolled = np.zeros(len(units), np.uint64)
-    for i in range(size):  # window that begins at p: the sum of units[p + i] * STEP ** (size - i)
-        rolled *= STEP
-        rolled[: len(units) - i] += units[i:] if i else units
-    n = np.maximum(counts - size + 1, (counts > 0).astype(counts.dtype))
-    keep = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins, n)
-    out = rolled[keep]
-    for t in np.flatnonzero((counts > 0) & (counts < size)):
-        h = np.uint64(counts[t])
-        for u in units[begins[t] : ends[t]]:
-            h = h * STEP + u
-        out[np.cumsum(n)[t] - 1] = h
-    return mixed(out), np.concatenate([[0], np.cumsum(n)])
+    begins, n = ends - counts, len(units)
+    up, down = _powers(1 << max(1, n).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * up[:n])])
+    rolled, whole = np.zeros(n, np.uint64), np.zeros(n, bool)
+    if n >= size:
+        rolled[: n - size + 1] = (sums[size:] - sums[:-size]) * down[: n - size + 1]
+        whole[: n - size + 1] = True
+    full = ends[counts >= size]
+    for i in range(1, size):  # windows that would run into the next text
+        whole[full - i] = False
+    few = np.flatnonzero((counts > 0) & (counts < size))
+    for i in range(size - 1):
+        at = few[counts[few] > i]
+        whole[begins[at] + i] = i == 0
+    rolled[begins[few]] = (sums[ends[few]] - sums[begins[few]]) * down[begins[few]] + counts[few].astype(np.uint64)
+    return mixed(rolled[whole]), np.concatenate([[0], np.cumsum(np.where(counts < size, counts > 0, counts - size + 1))])
 
 
 def word_shingles(texts: list[str | None], size: int = 5) -> Shingles:
     """Windows of size lower-cased words (runs of letters, digits and underscores)."""
-    known, words, counts = _Hashes(), [], []
-    for text in texts:
-        own = WORD.findall((text or "").lower())
-        words += map(known.__getitem__, own)
-        counts.append(len(own))
+    own = [(text or "").lower() for text in texts]
     with np.errstate(over="ignore"):
-        return _windows(np.array(words, np.uint64), np.array(counts, np.int64), size)
+        begins, hashes = _words(np.frombuffer("\n".join(own).encode("utf-32-le", "surrogatepass"), np.uint32))
+        ends = np.cumsum([len(t) + 1 for t in own])  # behind each text's line end
+        counts = np.diff(np.searchsorted(begins, ends), prepend=0)
+        return _windows(hashes, counts, size)
 
 
 def char_shingles(texts: list[str | None], size: int = 8) -> Shingles:
@@ -80,9 +115,11 @@ def signatures(shingles: Shingles, hashes: int, seed: int = 7) -> np.ndarray:
     while first < len(full):  # pieces that stay in the processor's cache
         last = max(first + 1, int(np.searchsorted(begin, begin[first] + (1 << 15))))
         piece = low[begin[first] : begin[last] if last < len(full) else len(low)]
-        cuts = begin[first:last] - begin[first]
+        cuts, hashed = begin[first:last] - begin[first], np.empty(len(piece), np.uint32)
         for i in range(hashes):
-            out[first:last, i] = np.minimum.reduceat(piece * odd[i] + add[i], cuts)
+            np.multiply(piece, odd[i], out=hashed)
+            hashed += add[i]
+            out[first:last, i] = np.minimum.reduceat(hashed, cuts)
         first = last
     return out
 

@@ -86,13 +86,94 @@ def test_line_dedup(spark, odd):
     long = "the quick brown fox jumps over the lazy dog and runs away home"
     df = docs(spark, [f"{long}\nshort\n{words(5, 20)}", f"{words(6, 20)}\nshort\n{long}!", f"{long}\n{long}", None, "", long.upper()])
     lost = {r.doc_id: r.dropped for r in repeated_lines(df).collect()}
-    assert lost == {1: [2], 2: [0, 1]}
+    assert lost == {1: [1, 2], 2: [0, 1]}
     out = {r.doc_id: r for r in drop_repeated_lines(df).collect()}
-    assert set(out) == {0, 1, 3, 4, 5} and out[1].text == f"{words(6, 20)}\nshort" and out[1].n_chars == len(out[1].text) and out[3].text is None
+    assert set(out) == {0, 1, 3, 4, 5} and out[1].text == words(6, 20) and out[1].n_chars == len(out[1].text) and out[3].text is None
     assert drop_repeated_lines(odd).columns == odd.columns
     assert drop_repeated_lines(odd.limit(0)).count() == 0
 
 
+def brute_lines(texts):
+    """Numbers of the lines that each (doc_id, text) loses, by comparing all pairs of different lines."""
+    at = {}
+    for doc in sorted(set(texts), key=lambda d: (d[0], d[2])):
+        for i, x in enumerate(doc[1].split("\n")):
+            if x.strip(" \t\r"):
+                at.setdefault(x.strip(" \t\r"), []).append((doc[0], doc[2], i))
+    lines = list(at)
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    label = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if y == old else y for y in label]
+    lost = {}
+    for k in set(label):
+        places = sorted(p for x, y in zip(lines, label, strict=True) if y == k for p in at[x])
+        for doc, h, i in places[1:]:
+            lost.setdefault((doc, h), []).append(i)
+    return {k: sorted(v) for k, v in lost.items()}
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = random.Random(8)
+    lines = [words(100 + i, r.randint(1, 12)) for i in range(40)] + ["}", "}", "a b", "total: 12", "total: 13"]
+    texts = []
+    for d in range(60):
+        own = [r.choice(lines) for _ in range(r.randint(1, 6))]
+        own = [x if r.random() < 0.5 else x[: r.randrange(len(x) + 1)] + r.choice("xyz ") + x[r.randrange(len(x)) :] if r.random() < 0.3 else x + " " + r.choice("pq") for x in own]
+        texts.append((d % 50, "\n".join(own)))  # ten doc_ids stand twice, with different texts
+    df = spark.createDataFrame([*texts, texts[3]], "doc_id long, text string")
+    hashes = {(x.doc_id, x.text): x.h for x in df.select("*", F.xxhash64("text").alias("h")).collect()}
+    got = {(x.doc_id, x.text_hash): x.dropped for x in repeated_lines(df).collect()}
+    assert got == brute_lines([(*t, hashes[t]) for t in texts])
+
+
+def test_repeated_ids_lose_nothing(spark):
+    line, other = words(1, 12), words(2, 12)
+    df = spark.createDataFrame([(1, line), (7, f"{line}\n{words(3, 9)}"), (7, f"{words(4, 9)}\n{other}")], "doc_id long, text string")
+    assert sorted(x.text for x in drop_repeated_lines(df).collect()) == sorted([line, words(3, 9), f"{words(4, 9)}\n{other}"])
+    unlike = docs(spark, [words(5, 30), words(6, 30), words(7, 30)], [7, 7, 9])
+    assert drop_near_copies(unlike).count() == 3
+    one_like = docs(spark, [words(5, 30), words(6, 30), words(6, 30) + " end"], [7, 7, 9])
+    assert {x.text for x in drop_near_copies(one_like).collect()} == {words(5, 30), words(6, 30)}
+    same = docs(spark, [words(6, 30)] * 3, [7, 7, 9]).withColumn("source", F.expr("string(monotonically_increasing_id())"))
+    assert [x.doc_id for x in drop_near_copies(same).collect()] == [7]
+
+
+def test_families_of_several_blocks(spark):
+    """A chain of texts, each near the next only, and a family that its first text connects, in blocks of 4."""
+    from taxloom.llm import families, shingles
+
+    base = words(11, 400).split()
+    chain = [" ".join(base[i * 6 : i * 6 + 100]) for i in range(40)]
+    star = [" ".join([*words(12, 100).split(), f"tail{i}"]) for i in range(30)]
+    df = docs(spark, chain + star).select(F.xxhash64("text").alias("node"), "text", "doc_id")
+    shingle = lambda t: shingles.word_shingles(t, 5)
+    sigs = df.select("node", "text").mapInArrow(shingles.signer(shingle, 64), "node long, sig binary")
+    floors = posterior_floors(0.8, 1e-5, 64, 16)
+    parts = {}
+    for counting in (True, False):
+        got = families.classes(df.select("node", "text"), sigs, shingle, 64, 4, floors, 0.8, block=4, counting=counting).join(df, "node").collect()
+        parts[counting] = sorted(sorted(x.doc_id for x in got if x.root == root) for root in {x.root for x in got})
+    assert parts[True] == parts[False] == [list(range(40)), list(range(40, 70))]
+
+
+def test_word_shingles():
+    from taxloom.llm import shingles
+
+    r = random.Random(1)
+    for size in (1, 3):
+        texts = ["".join(r.choice("abcÀé ß_9\n\tİ.-🙂中𠀀ab  x") for _ in range(r.randrange(60))) for _ in range(200)]
+        values, at = shingles.word_shingles(texts, size)
+        for i, text in enumerate(texts):
+            w = re.findall(r"\w+", text.lower())
+            assert len(set(values[at[i] : at[i + 1]].tolist())) == (len({tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))}) if w else 0)
+    long = ["x" * 300_000 + " " + words(1, 50_000)]
+    assert len(shingles.word_shingles(long, 5)[0]) == 50_001 - 4
+
+
 def test_quality(spark, odd):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.quality_scores(d, labels).join(labels, "doc_id").where("held_out").collect()
@@ -255,6 +336,55 @@ def test_chroma(spark):
     assert chroma.aligned(chroma.fingerprints(media.limit(0)), F.lit(True)).count() == 0
 
 
+def test_chroma_align_against_brute_force(monkeypatch):
+    r = np.random.default_rng(0)
+
+    def brute(q, x, least_votes, most_error):
+        votes = {}
+        for i, a in enumerate(q):
+            for j, b in enumerate(x):
+                if a == b:
+                    votes[j - i] = votes.get(j - i, 0) + 1
+        best = min(votes, key=lambda d: (-votes[d], d), default=None)
+        if best is None or votes[best] < least_votes:
+            return None
+        a, b = max(0, -best), min(len(q), len(x) - best)
+        error = sum(int(q[k] ^ x[k + best]).bit_count() for k in range(a, b)) / (32 * (b - a))
+        return (best, votes[best], round(error, 9)) if error <= most_error else None
+
+    def some():
+        if r.random() < 0.7:  # with runs
+            return np.repeat(r.integers(0, 4, 6).astype(np.uint32) * np.uint32(0x11111111), r.integers(0, 5, 6))
+        return r.integers(0, 3, r.integers(0, 12)).astype(np.uint32)
+
+    for _ in range(60):
+        monkeypatch.setattr(chroma, "VOTES", int(r.choice([1, 7, 1 << 18])))
+        monkeypatch.setattr(chroma, "SHORT", int(r.choice([1, 2, 8])))
+        queries, rows, least, most = [some() for _ in range(6)], [some() for _ in range(8)], int(r.integers(1, 4)), float(r.choice([0.02, 0.1, 1]))
+        got = {}
+        for piece in chroma.align(chroma.Recordings([x.tobytes() for x in queries]), chroma.Recordings([x.tobytes() for x in rows]), least, most):
+            for i, j, offset, votes, error in zip(*(x.tolist() for x in piece), strict=True):
+                got[i, j] = (offset, votes, round(error, 9))
+        assert got == {(i, j): w for i, q in enumerate(queries) for j, x in enumerate(rows) if (w := brute(q, x, least, most))}
+
+
+def test_chroma_items_depend_on_the_audio_alone():
+    audios = [bytes(np.random.default_rng(i).integers(0, 256, n, np.uint8)) for i, n in enumerate((5000, 300, 90, 0, 64, 9000, 300))]
+    whole = chroma.fingerprint([*audios, None], 2756, 64)
+    assert [len(x) for x in whole] == [max(0, (max(64, len(a or b"")) - 64) // 16 + 2 - chroma.SPAN) for a in [*audios, None]]
+    for a, x in zip(audios, whole, strict=False):
+        assert (chroma.fingerprint([a], 2756, 64)[0] == x).all()
+
+
+def test_chroma_silence(spark):
+    """Long silence is one run: its items aren't met in pairs."""
+    rows = [(i, bytearray([128]) * (60 * 11_025 + i)) for i in range(12)] + [(20, bytearray(b"x" * 30_000)), (21, None), (None, bytearray([128]) * 60_000)]
+    media = spark.createDataFrame([(*r, 1, "x") for r in rows], "media_id long, audio binary, recording int, items string").select("media_id", "audio")
+    got = {x.media_id: x for x in chroma.aligned(chroma.fingerprints(media), F.col("media_id") == 0).collect()}
+    same = got[0].n_same  # one frame more or less makes another recording
+    assert list(got) == [0] and got[0].n_aligned + same >= 1 and all(b.bit_error == 0 and b.offset <= 0 for b in got[0].best)
+
+
 def test_chroma_short(spark, tmp_path):
     texts = [words(1, 60)[:200], words(1, 60)[:200], words(2, 60)[:300], words(2, 60)[:300] + " end", "ab", "ab", "", None, "cd"]
     docs(spark, texts, [0, 1, 50, 51, 100, 101, 150, 151, 200]).write.parquet(f"{tmp_path}/documents.parquet")
