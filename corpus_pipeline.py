@@ -10,30 +10,19 @@ from taxloom.llm.packing import pack
 from taxloom.llm.quality import keep_good
 from taxloom.llm.scratch import settle
 
-#: Bytes of rows handed to Python at once: a worker holds a few whole texts, not a partition of them.
-BATCH_BYTES = 4 << 20
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """The stages' results are lazy, so the setting stays for the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    _small_batches(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand, nearly the same, elsewhere before."""
-    _small_batches(spark)
     return drop_repeated_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    _small_batches(spark)
     return drop_near_copies(docs)
 
 
