@@ -48,8 +48,9 @@ def judged(citations: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def verification(judged: DataFrame) -> DataFrame:
-    """Counts by status of each matter."""
-    return judged.groupBy("matter_id").agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES], F.count("*").alias("total"))
+    """Counts by status of each matter, and the most serious status there is: not found, superseded, unverified, or verified."""
+    counts = judged.groupBy("matter_id").agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES], F.count("*").alias("total"))
+    return counts.withColumn("worst", F.when(F.col("not_found") > 0, "NOT_FOUND").when(F.col("superseded") > 0, "SUPERSEDED").when(F.col("unverified") > 0, "UNVERIFIED").otherwise("VERIFIED"))
 
 
 def _verified(judged: DataFrame) -> DataFrame:

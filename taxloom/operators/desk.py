@@ -58,7 +58,7 @@ def hearing_brief(limbs: DataFrame, questions: DataFrame, default: list[str]) ->
     have = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     carry = F.when(F.size(have("annexures")) > 0, have("annexures")).otherwise(have("evidence_required"))
     asked = F.coalesce("questions", F.array(*[F.lit(q) for q in default]))
-    return limbs.join(F.broadcast(questions), "type", "left").select("matter_id", "index", asked.alias("questions"), F.slice(carry, 1, 6).alias("carry"), F.slice(F.array_except(have("evidence_required"), have("evidence_held")), 1, 6).alias("gaps"))
+    return limbs.join(questions, "type", "left").select("matter_id", "index", asked.alias("questions"), F.slice(carry, 1, 6).alias("carry"), F.slice(F.array_except(have("evidence_required"), have("evidence_held")), 1, 6).alias("gaps"))
 
 
 def estimates(matters: DataFrame, rates: DataFrame) -> DataFrame:
@@ -67,12 +67,14 @@ def estimates(matters: DataFrame, rates: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("samples") >= SAMPLES, F.lit(False))
     n = F.greatest(F.coalesce("argued", F.lit(0)), F.lit(1))
     cost = F.when(known, F.col("rate") * n).otherwise(F.col("unit") * n + F.col("fixed"))
-    joined = matters.join(F.broadcast(given), "tier", "left").join(F.broadcast(rates), "tier", "left").withColumn("cost", cost)
+    joined = matters.join(F.broadcast(given), "tier", "left").join(rates, "tier", "left").withColumn("cost", cost)
     return joined.select("matter_id", "tier", known.alias("learned"), F.round("cost", 4).alias("usd"), F.round(F.col("cost") * (1 - BAND), 4).alias("low"), F.round(F.col("cost") * (1 + BAND), 4).alias("high"), F.round(F.col("cost") * RUPEES, 2).alias("inr"))
 
 
-def fitting(slots: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFrame:
-    """slots (a few): slot, vendor, least_context, price_ceiling (null: any). The k fitting models of each: its own vendor's first, then the cheapest (with a ceiling) or those of the largest context."""
+def fitting(slots: DataFrame, catalogue: DataFrame, k: int = 3, most: int = 1000) -> DataFrame:
+    """slots (at most `most`, or it fails): slot, vendor, least_context, price_ceiling (null: any). The k fitting models of each: its own vendor's first, then the cheapest (with a ceiling) or those of the largest context."""
+    if slots.count() > most:
+        raise ValueError(f"over {most} slots")
     fits = (F.col("context") >= F.col("least_context")) & (F.col("price_ceiling").isNull() | ((F.col("price") <= F.col("price_ceiling")) & (F.col("price") > 0)))
     met = catalogue.join(F.broadcast(slots.withColumnRenamed("vendor", "own")), fits)
     order = [F.desc(F.coalesce(F.col("vendor") == F.col("own"), F.lit(False))), F.when(F.col("price_ceiling").isNotNull(), F.col("price")).otherwise(-F.col("context")), F.col("model_id")]

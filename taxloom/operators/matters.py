@@ -64,6 +64,15 @@ def dashboard(matters: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), F.coalesce("state", "section", F.lit("")).alias("name"), "matters", "cost_cents", "completed").where("kind = 'all' or name <> ''")
 
 
+def roll_up(matters: DataFrame, kinds: list[str], sums: list[str]) -> DataFrame:
+    """Counts, sums and completed matters by each of kinds, and in all, in one pass over grouping sets; blanks are left out of their own set."""
+    sets = matters.groupingSets([[k] for k in kinds] + [[]], *kinds).agg(F.grouping_id().alias("g"), F.count("*").alias("matters"), *[F.sum(c).alias(c) for c in sums], F.count_if(F.col("status") == "complete").alias("completed"))
+    kind = F
+    for i, k in enumerate(kinds):  # a bit of the id is 0 for the one column that a set groups by
+        kind = kind.when(F.col("g") == (1 << len(kinds)) - 1 - (1 << (len(kinds) - 1 - i)), k)
+    return sets.select(kind.otherwise("all").alias("kind"), F.coalesce(*kinds, F.lit("")).alias("name"), "matters", *sums, "completed").where("kind = 'all' or name <> ''")
+
+
 def head_totals(limbs: DataFrame) -> DataFrame:
     """Rupees by matter and tax head; unread heads aren't zeros and make no row."""
     return limbs.select("matter_id", F.explode("heads").alias("head", "amount")).where("amount is not null").groupBy("matter_id", "head").agg(F.sum("amount").cast("double").alias("amount"))

@@ -58,18 +58,19 @@ def top_exposures(lines: DataFrame, k: int = 5, mask: bool = False) -> DataFrame
 
 
 def registers(lines: DataFrame) -> DataFrame:
-    """Totals of each register, its distinct suppliers and warnings: over a quarter unreconciled, no status at all."""
+    """Totals of each register, its distinct suppliers and warnings: over a quarter unreconciled, no status at all. Lines are classified once, and summed by supplier first."""
     flagged = classified(lines).withColumn("counted", material())
-    totals = flagged.groupBy("recon_id").agg(
+    each = flagged.groupBy("recon_id", "supplier_gstin").agg(
         F.sum(F.when(F.col("counted"), F.col("amount"))).alias("total"),
         F.count_if("counted").alias("counted"),
         F.count_if(~F.col("counted")).alias("skipped"),
         F.sum(F.when(F.col("counted") & (F.col("bucket") == "unreconciled"), F.col("amount"))).alias("open"),
         F.count_if(F.trim("status") != "").alias("told"),
     )
-    suppliers = by_supplier(lines).groupBy("recon_id").agg(F.count("*").alias("suppliers"))
+    named = (F.col("counted") > 0) & (F.trim("supplier_gstin") != "")
+    totals = each.groupBy("recon_id").agg(*[F.sum(c).alias(c) for c in ("total", "counted", "skipped", "open", "told")], F.count_if(named).alias("suppliers"))
     share = F.coalesce(F.col("open"), F.lit(0)) / F.col("total")
-    return totals.join(suppliers, "recon_id", "left").select(
-        "recon_id", F.col("total").cast("double").alias("total"), "counted", "skipped", F.coalesce("suppliers", F.lit(0)).alias("suppliers"),
+    return totals.select(
+        "recon_id", F.col("total").cast("double").alias("total"), "counted", "skipped", "suppliers",
         F.coalesce(share > 0.25, F.lit(False)).alias("mostly_open"), (F.col("told") == 0).alias("no_status"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -36,16 +37,26 @@ def fold(state: tuple[int, float], attempts: Iterable[tuple[float, bool]]) -> tu
 def lockouts_batch(attempts: DataFrame) -> DataFrame:
     """attempts (key, at double, success): the last state of each key and its attempts by outcome.
 
-    The fold is sequential within a key, so a key's attempts meet in one task; only their time and success go there.
+    The fold is sequential within a key: its attempts come to one task in order, a batch at a time, and only the state is kept of them.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "success"])
-        (failures, until), out = fold((0, 0.0), zip(rows["at"], rows["success"], strict=True))
-        n = pd.Series([o[2] for o in out]).value_counts()
-        return pd.DataFrame([{"key": rows["key"].iloc[0], "attempts": len(out), "refused": int(n.get("refused", 0)), "locks": int(n.get("locked", 0)), "failures": failures, "locked_until": until}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, seen = None, (0, 0.0), Counter()
+        row = lambda: (key, seen.total(), seen["refused"], seen["locked"], *state)
+        for batch in batches:
+            done = []
+            for k, rows in batch.groupby(batch["key"].map(lambda x: (x,)), sort=False):
+                if seen and k != (key,):
+                    done.append(row())
+                    state, seen = (0, 0.0), Counter()
+                key = k[0]
+                state, out = fold(state, zip(rows["at"], rows["success"], strict=True))
+                seen.update(o[2] for o in out)
+            yield pd.DataFrame(done, columns=["key", "attempts", "refused", "locks", "failures", "locked_until"])
+        if seen:
+            yield pd.DataFrame([row()], columns=["key", "attempts", "refused", "locks", "failures", "locked_until"])
 
-    return attempts.select("key", "at", "success").groupBy("key").applyInPandas(run, "key string, attempts long, refused long, locks long, failures int, locked_until double")
+    return attempts.select("key", "at", "success").repartition("key").sortWithinPartitions("key", "at", "success").mapInPandas(run, "key string, attempts long, refused long, locks long, failures int, locked_until double")
 
 
 def lockouts(attempts: DataFrame, watermark: str = "1 hour") -> DataFrame:
