@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import folder, settle
+from .scratch import BATCHES, folder, settings, settle
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -25,8 +25,8 @@ MEMBER = (1 << 24) - 1
 
 
 def url_key(url: str | None) -> str:
-    """The host's labels reversed, then the rest, in lower case: com,example)/path?query."""
-    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:www\d*\.)?([^/?#:]*)(?::\d+)?([^#]*)", (url or "").strip().lower())
+    """The host's labels reversed, then the rest, in lower case: com,example)/path?query. Scheme, user, www, port and fragment don't count."""
+    m = re.match(r"(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?(?:www\d*\.)?(\[[^\]]*\]|[^/?#:]*)(?::\d*)?([^#]*)", (url or "").strip().lower())
     host, rest = m.groups()
     return f"{','.join(reversed(host.split('.')))}){rest or '/'}" if host else ""
 
@@ -55,28 +55,41 @@ def _members(record: bytes) -> bytes:
     return b"".join(gzip.compress(record[i : i + MEMBER], 4, mtime=0) for i in range(0, len(record), MEMBER))
 
 
-def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            out = []
-            for row in batch.slice(i, 256).to_pylist():
-                digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
-                out.append(_members(_record(row["page_id"], row["url"], row["payload"], digest, row["refers_to"]))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+def _archive(chunk_bytes: int) -> Callable:
+    """mapInArrow function from pages to chunks: the members of records one after another, of chunk_bytes or one record more, without the last byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["chunk"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                for row in batch.slice(i, 64).to_pylist():
+                    digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
+                    held.append(_members(_record(row["page_id"], row["url"], row["payload"], digest, row["refers_to"])))
+                    size += len(held[-1])
+                    if size >= chunk_bytes:
+                        yield out()
+                        held.clear()
+                        size = 0
+        if held:
+            yield out()
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, file_records: int = 10_000) -> None:
+def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, chunk_bytes: int = 2 << 20, file_chunks: int = 16) -> None:
     """Writes a record of every page (page_id, url, html) into gzipped WARC files under path, on any file system that Spark writes to.
 
     Of pages with equal payloads of least_bytes or more, the one with the largest page_id is a response and the others
-    are revisits that refer to it. Each record is a gzip member of its own. Spark's text writer puts the files together: a
-    member's last byte, always 0, is left to it as its line separator. Executors may be lost; its committer keeps whole files.
+    are revisits that refer to it. Each record is a gzip member of its own. A file holds at most file_chunks chunks of chunk_bytes and a
+    record each, so that it can be read as one row. Spark's text writer puts the files together: a
+    chunk's last byte, always 0, is left to it as its line separator. Executors may be lost; its committer keeps whole files.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
     shared = rows.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = rows.join(shared, "sha1", "left").withColumn("refers_to", F.expr("nullif(last, page_id)")).select("page_id", "url", "payload", "sha1", "refers_to")
-    records = named.mapInArrow(_archive, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", file_records).text(path)
+    with settings(pages.sparkSession, BATCHES):
+        named.mapInArrow(_archive(chunk_bytes), "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", file_chunks).text(path)
 
 
 def _parsed(content: bytes) -> Iterator[tuple[int, int, dict, dict, bytes]]:

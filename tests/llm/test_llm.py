@@ -1,8 +1,10 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables, and brute force."""
 
+import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -182,6 +184,36 @@ def test_quality(spark, odd):
     assert quality.keep_good(odd, labels.limit(0)).count() == 10 and quality.quality_scores(odd.limit(0), labels).count() == 0
 
 
+def brute_quality(texts, labelled):
+    """Scores of the texts by a discriminant worked out with inverses and determinants; labelled: (text, label)."""
+    x, y = quality.statistics([t for t, _ in labelled]), np.array([k for _, k in labelled])
+    each = [x[y == k] for k in (0, 1)]
+    pooled = sum(np.cov(e.T, bias=True) * len(e) for e in each) / len(x)
+    log = []
+    for e in each:
+        s = 0.9 * np.cov(e.T, bias=True) + 0.1 * pooled
+        s = 0.95 * s + 0.05 * np.diag(np.diag(s)) + 1e-4 * np.eye(len(s))
+        d = quality.statistics(texts) - e.mean(0)
+        log.append(np.log(len(e) / len(x)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+
+
+def known_labels(rows, labels):
+    """(text, label) of each of rows (doc_id, text) that is learned from."""
+    label = {x.doc_id: x.quality for x in labels.collect() if zlib.crc32(str(x.doc_id).encode()) % 4 != 2}
+    return [(text, label[i]) for i, text in rows if i in label]
+
+
+def test_quality_against_brute_force(spark):
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = d.collect()
+    rows = [*rows, *rows[:3]]
+    repeated = spark.createDataFrame(rows, d.schema).withColumn("score", F.lit("clash"))
+    got = sorted((x.doc_id, round(x.score, 6), x.held_out, x.predicted) for x in quality.quality_scores(repeated, labels).collect())
+    want = brute_quality([x.text for x in rows], known_labels([(x.doc_id, x.text) for x in rows], labels))
+    assert got == sorted((x.doc_id, round(float(w), 6), zlib.crc32(str(x.doc_id).encode()) % 4 == 2, int(w >= 0.7)) for x, w in zip(rows, want, strict=True))
+
+
 def test_packing(spark, odd):
     r = random.Random(1)
     lengths = sorted((r.randint(1, 90) for _ in range(300)), reverse=True)
@@ -249,7 +281,7 @@ def test_chat(spark):
 
 def test_warc(spark):
     rows = [(1, "http://B.example.com/x?q=1", "same"), (2, "http://a.example.com/", "same"), (3, None, None), (4, "https://www.a.example.com:80/z y", ""), (5, "http://a.example.com/", "é" * 100_000), (5, "http://a.example.com/", "other"), (None, "x", "lone")]
-    found = sorted(warc.archive_index(spark.createDataFrame(rows, "page_id long, url string, html string"), file_records=2).collect(), key=lambda r: r.position)
+    found = sorted(warc.archive_index(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_bytes=1, file_chunks=2).collect(), key=lambda r: r.position)
     assert [r.position for r in found] == list(range(7)) and [r.url_key for r in found] == sorted(r.url_key for r in found)
     got = {(r.page_id, r.url_key): r for r in found}
     one, two = got[1, "com,example,b)/x?q=1"], got[2, "com,example,a)/"]
@@ -258,6 +290,29 @@ def test_warc(spark):
     assert warc.archive_index(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_against_brute_force(spark):
+    r = random.Random(4)
+    pages = [(p.page_id, p.url, p.html) for p in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages += [(10_000 + i, r.choice([None, "http://u:p@h.example:8080/a#b", "h.example:80/x", "//[::1]:9/q?"]), r.choice([None, "", "same", "other"])) for i in range(60)]
+    payloads = {}
+    for page_id, _, html in pages:
+        payloads.setdefault(html or "", []).append(page_id)
+    want = {}
+    for page_id, _, html in pages:
+        data, last = (html or "").encode(), max(payloads[html or ""])
+        want[page_id] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if page_id == last else "revisit", None if page_id == last else last)
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, sha1 string, position int")
+    got = warc.archive_index(df, chunk_bytes=20_000, file_chunks=3).collect()
+    assert {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got} == want and len(got) == len(pages)
+    order = sorted(got, key=lambda x: x.position)
+    assert [x.position for x in order] == list(range(len(pages))) and [(x.url_key, x.captured, x.page_id) for x in order] == sorted((x.url_key, x.captured, x.page_id) for x in order)
+
+
+@pytest.mark.parametrize(("url", "key"), [("http://www.a.b.com:80/x?Y#z", "com,b,a)/x?y"), ("example.com:80/x", "com,example)/x"), ("https://u:p@h.org", "org,h)/"), ("//h.org/p", "org,h)/p"), ("http://[::1]:9/q", "[::1])/q"), (None, ""), ("", "")])
+def test_url_key(url, key):
+    assert warc.url_key(url) == key
+
+
 def test_warc_members():
     record = b"WARC/1.1\r\nContent-Length: 40000004\r\n\r\n" + b"\r\n\r\n" + bytes(40_000_000) + b"\r\n\r\n"
     data = warc._members(record)
@@ -405,6 +460,63 @@ def test_chroma_pairs(spark, tmp_path):
     assert next(x.n_aligned for x in got if x.doc_id == 0) == len(pairs) and all(x.offset == 0 and x.votes > 1 and x.bit_error <= 0.15 for x in pairs)
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, odd and repeated rows included."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [x for x in d.collect() if len(x.text or "") < 4000]
+    made = [x.asDict() for x in rows[:70]]
+    lines = [x["text"].split("\n")[0] for x in made if x["text"]]
+    made += [{**made[0]}, {**made[1], "text": made[2]["text"]}, {**made[3], "doc_id": 9001, "text": None}, {**made[3], "doc_id": 9002, "text": ""}, {**made[4], "doc_id": None}, {**made[5], "doc_id": 9003, "text": f"{lines[6]}\n{lines[7]}!\n{words(77, 60)}"}, {**made[5], "doc_id": 9004, "text": words(77, 60) + " more"}]
+    docs = spark.createDataFrame([tuple(x[c] for c in d.columns) for x in made], d.schema)
+    sf = str(tmp_path)
+    labels.write.parquet(f"{sf}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    row = lambda x: (x["doc_id"], x["text"])
+    some = lambda df: sorted((row(x) for x in df.collect()), key=repr)
+
+    kept = stages["quality"](spark, docs, sf)
+    scores = brute_quality([x["text"] for x in made], known_labels([row(x) for x in made], labels))
+    assert some(kept) == sorted((row(x) for x, s in zip(made, scores, strict=True) if s >= 0.5), key=repr) and kept.count() < len(made)
+
+    lined = stages["lines"](spark, kept, sf)
+    hashed = kept.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    lost = brute_lines([(x.doc_id, x.text, x.h) for x in hashed if x.text and x.doc_id is not None])
+    want = []
+    for x in hashed:
+        gone = lost.get((x.doc_id, x.h))
+        text = "\n".join(t for i, t in enumerate(x.text.split("\n")) if i not in gone) if gone else x.text
+        if not gone or text.strip():
+            want.append((x.doc_id, text))
+    assert some(lined) == sorted(want, key=repr) and lost
+
+    once = stages["near_copies"](spark, lined, sf)
+    known = sorted({(x.doc_id, x.text or "", x.h) for x in lined.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect() if x.doc_id is not None}, key=lambda x: (x[0], x[2]))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else None for w in (re.findall(r"\w+", t.lower()) for _, t, _ in known)]
+    label = list(range(len(known)))
+    for a in range(len(known)):
+        for b in range(a):
+            if known[a][1] == known[b][1] or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                label = [label[b] if y == label[a] else y for y in label]
+    first = {k: known[min(i for i, y in enumerate(label) if y == k)] for k in set(label)}
+    assert sorted((x.doc_id, x.text or "") for x in once.where("doc_id is not null").collect()) == sorted(x[:2] for x in first.values())
+    assert once.where("doc_id is null").count() == lined.where("doc_id is null").count()
+
+    packed = stages["packing"](spark, once, sf).collect()
+    chars, bins = {}, {}
+    for x in packed:
+        chars[x.doc_id] = chars.get(x.doc_id, 0) + x.length
+        if x.bin_id is not None:
+            bins.setdefault(x.bin_id, []).append(x)
+    source = {x.doc_id: x.source for x in once.collect()}
+    assert sum(chars.values()) == sum(len(x.text or "") for x in once.collect())
+    assert all(sum(x.length for x in b) <= 8192 and len({source[x.doc_id] for x in b}) == len(b) for b in bins.values())
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf)
+    assert empty.count() == 0
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     got = corpus_pipeline.run(spark, SF)
