@@ -32,18 +32,16 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     a, b = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in batches]) for i in (0, 1))
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(nodes)))
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        parent[max(x, y)] = min(x, y)
-    for i, p in enumerate(parent):  # a parent is never larger than its child
-        parent[i] = parent[p]
-    root = nodes[np.array(parent, dtype=np.int64)] if parent else nodes
+    x, y = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(nodes))
+    while len(x):  # trees are hooked onto smaller ones, then flattened, until no edge joins two
+        one, two = parent[x], parent[y]
+        apart = one != two
+        x, y, one, two = x[apart], y[apart], one[apart], two[apart]
+        np.minimum.at(parent, np.maximum(one, two), np.minimum(one, two))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+    root = nodes[parent]
     own = root != nodes
     return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], ["u", "v"])
 

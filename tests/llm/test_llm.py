@@ -47,6 +47,27 @@ def test_components(spark):
     assert components(chain.repartition(7)).select("root").distinct().count() == 1
 
 
+def test_components_over_tasks(spark, monkeypatch):
+    """Edges of several tasks, hubs among them, meet in star steps."""
+    from taxloom.llm import components as module
+    from taxloom.llm import scratch
+
+    monkeypatch.setattr(module, "EDGES", 60)
+    r = random.Random(3)
+    edges = [(r.randrange(1000), r.randrange(1000)) for _ in range(380)] + [(5000, 6000 + i) for i in range(60)] + [(6030, 5)]
+    monkeypatch.setattr(scratch.hub_join, "__defaults__", (None, 8, 100_000))
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(1000):
+        before = dict(label)
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(9))
+    assert {x.node: x.root for x in got.collect()} == label
+
+
 def test_ngram_join_against_brute_force(spark):
     texts = [words(i // 3, 80).split() for i in range(60)]
     r = random.Random(5)
