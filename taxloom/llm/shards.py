@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import discard, settle
+from .scratch import discard, hub_join, settle
 
 #: Bits of a coordinate, and of each of the two parts of the hash that orders rows of one coordinate.
 BITS = 12
@@ -106,14 +106,14 @@ def kd_shards(docs: DataFrame, *, shards: int = 24, together: float = 0.02, slot
     own. With fewer rows than shards, some shards are empty. Other columns are ignored. Empty table: no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    light = docs.select(
+    light = settle(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
-    )
+    ))
     groups = settle(light.groupBy("h").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source")))
     whole = groups.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
     share = (whole.w or 0) / shards
@@ -124,8 +124,7 @@ def kd_shards(docs: DataFrame, *, shards: int = 24, together: float = 0.02, slot
     code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit("\0"))), F.lit(CELLS)).cast("int")
     tie = F.when(F.col("w") > share, F.xxhash64("h", "doc_id")).otherwise(F.xxhash64("h"))
     rows = (
-        light.drop("lang", "source")
-        .join(groups.drop("n").join(F.broadcast(fixed), "h", "left"), "h")
+        hub_join(light.drop("lang", "source"), groups.join(F.broadcast(fixed), "h", "left"), "h", "n")
         .select(F.coalesce(-1 - F.col("fixed"), F.lit(0)).alias("node"), "doc_id", "size", "text_crc32", "h", F.least(F.floor(F.log2("size") * 128), F.lit(CELLS - 1)).cast("int").alias("c_size"), code("lang").alias("c_lang"), code("source").alias("c_source"), F.pmod(tie, F.lit(CELLS * CELLS)).alias("tie"))
     )
     placed, leaves = settle(rows), [Node(0, shards)]  # a row of a placed group has the node -1 - shard, which is never cut

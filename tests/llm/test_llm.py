@@ -363,6 +363,23 @@ def test_shards(spark, odd):
     assert {r["count"] for r in shards.kd_shards(copies, shards=24).groupBy("shard").count().collect()} <= set(range(15, 26))
 
 
+def test_shards_against_brute_force(spark):
+    """Sizes, checksums, whole groups and slots of a real table with repeats, by plain Python; bytes as near equal as the largest group allows."""
+    rows = [(x.doc_id, x.text, x.lang, x.source) for x in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(None, None, None, None), (7, "", None, "s"), *rows[:2]]
+    got = shards.kd_shards(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, h string, node int"), shards=5).collect()
+    raw = [(r[0], (r[1] or "").encode()) for r in rows]
+    assert sorted((x.doc_id or -1, x.size, x.text_crc32) for x in got) == sorted((i or -1, len(t) + 8, zlib.crc32(t)) for i, t in raw)
+    held, slots, size, groups = {}, {}, [0] * 5, {}
+    for x in got:
+        held.setdefault((x.size, x.text_crc32), set()).add(x.shard)
+        groups[x.size, x.text_crc32] = groups.get((x.size, x.text_crc32), 0) + x.size
+        slots.setdefault(x.shard, []).append(x.slot)
+        size[x.shard] += x.size
+    assert all(len(s) == 1 for s in held.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size) - min(size) <= 2 * max(groups.values()) and {x.law for x in got} == {"bytes"} and {x.grown_shard for x in got} == {None}
+
+
 def test_shards_keep_groups(spark):
     texts = [words(i, 30) for i in range(600)] + [words(1000, 30)] * 40 + [words(1001, 30)] * 70 + [words(1002, 500)] * 2 + [words(1003, 30)] * 300
     got = shards.kd_shards(docs(spark, texts), shards=8).collect()
