@@ -81,6 +81,14 @@ def fitting(slots: DataFrame, catalogue: DataFrame, k: int = 3, most: int = 1000
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy(*order))).where(F.col("rank") <= k).select("slot", "rank", "model_id")
 
 
+def verdicts(slots: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """slots: slot, model_id, least_context, price_ceiling. Whether a slot's model is MISSING from the catalogue, of the WRONG SHAPE, or OK."""
+    known = catalogue.select(F.col("model_id").alias("_id"), "context", "price")
+    wrong = (F.col("context") < F.col("least_context")) | F.coalesce(F.col("price") > F.col("price_ceiling"), F.lit(False))
+    joined = slots.join(known, F.col("model_id") == F.col("_id"), "left")
+    return joined.select("slot", "model_id", F.when(F.col("_id").isNull(), "MISSING").when(wrong, "WRONG SHAPE").otherwise("OK").alias("verdict"))
+
+
 def redacted(matters: DataFrame, costs: bool, deliberation: bool) -> DataFrame:
     """What a role may see: without costs no usage or cost columns, without deliberation no analyses or cross-examinations."""
     out = matters if costs else matters.drop("usage", "cost", "cost_cents", "tokens")

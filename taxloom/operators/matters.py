@@ -9,6 +9,8 @@ from ..functions import money as M
 from ..plans.dimensions import penalty_stages as stages_of
 
 HEADS = ("igst", "cgst", "sgst", "cess")
+# Other names of tiers, the tier of an unknown name, and rupees for a dollar.
+TIER_ALIASES, TIERS, SAFE_TIER, RUPEES = {"free": "draft"}, ("draft", "pro"), "draft", 88.0
 FLOOR = 10_000
 
 
@@ -78,6 +80,28 @@ def head_totals(limbs: DataFrame) -> DataFrame:
     return limbs.select("matter_id", F.explode("heads").alias("head", "amount")).where("amount is not null").groupBy("matter_id", "head").agg(F.sum("amount").cast("double").alias("amount"))
 
 
+def plain_heads(heads: Column | None = None, bare: Column | None = None) -> Column:
+    """Heads with names in lower case, others than the four and unallocated left out; a bare number is unallocated."""
+    if bare is not None:
+        return F.when(bare.isNotNull(), F.create_map(F.lit("unallocated"), bare.cast(M.MONEY)))
+    named = F.transform_keys(heads, lambda k, _: F.lower(F.trim(k)))
+    return F.map_filter(F.transform_values(named, lambda _, x: F.coalesce(x.cast(M.MONEY), F.lit(0).cast(M.MONEY))), lambda k, _: k.isin(*HEADS, "unallocated"))
+
+
+def add_heads(one: Column, two: Column) -> Column:
+    """Heads of both, each head's figures added; zeros are left out."""
+    none = F.create_map().cast(f"map<string,{M.MONEY}>")
+    zero = F.lit(0).cast(M.MONEY)
+    return F.map_filter(F.map_zip_with(F.coalesce(one, none), F.coalesce(two, none), lambda _, x, y: (F.coalesce(x, zero) + F.coalesce(y, zero)).cast(M.MONEY)), lambda _, x: x != 0)
+
+
+def tier_of(name: Column) -> Column:
+    """A tier by its name or another name of it; an unknown one is the tier that anonymises."""
+    key = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    real = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TIER_ALIASES.items() for x in pair]), key), key)
+    return F.when(real.isin(*TIERS), real).otherwise(SAFE_TIER)
+
+
 def limb_total(heads: Column) -> Column:
     return F.aggregate(F.map_values(heads), F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + F.coalesce(x, F.lit(0))).cast("decimal(18,2)"))
 
@@ -94,9 +118,10 @@ def triage(limbs: DataFrame) -> DataFrame:
 def observed_rates(matters: DataFrame) -> DataFrame:
     """Median cost of an argued limb by tier, over complete matters with both; all limbs stand in where none is argued."""
     limbs = F.coalesce(F.nullif("argued", F.lit(0)), F.col("limbs"))
-    return matters.withColumn("n", limbs).where("status = 'complete' and cost_cents > 0 and n > 0").groupBy("tier").agg(F.median(F.col("cost_cents") / F.col("n")).alias("rate_cents"), F.count("*").alias("samples"))
+    return matters.withColumn("n", limbs).where("status = 'complete' and cost_cents > 0 and n > 0").groupBy(tier_of(F.col("tier")).alias("tier")).agg(F.median(F.col("cost_cents") / F.col("n")).alias("rate_cents"), F.count("*").alias("samples"))
 
 
 def spend(calls: DataFrame) -> DataFrame:
-    """Tokens and cost by run and stage; what is missing counts for nothing."""
-    return calls.groupBy("run_id", "stage").agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("cost_micros"), F.lit(0)).alias("cost_micros"))
+    """Tokens and cost by run and stage, in rupees too; what is missing counts for nothing."""
+    sums = calls.groupBy("run_id", "stage").agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("cost_micros"), F.lit(0)).alias("cost_micros"))
+    return sums.withColumn("inr", F.round(F.col("cost_micros") / 1_000_000 * RUPEES, 2))

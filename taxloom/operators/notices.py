@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY, financial_year
 from ..plans.dimensions import NOTICE_TYPES, notice_types
 from ..plans.places import places
-from .limbs import Catalogue, figure_of, head_order, limbs_of, money, printed_total
+from .limbs import Catalogue, figure_of, head_order, let, limbs_of, money, printed_total
 
 # Patterns of identifiers and provisions.
 GSTIN = r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]{3})\b"
@@ -16,6 +16,16 @@ PORTAL_ID = r"[A-Z]{2}\d{10,14}[A-Z0-9]"
 PROVISION = r"(\d{1,3}[A-Z]?(?:\s*\(\s*[0-9a-zA-Z]{1,3}\s*\))*)"
 WORDED = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)?\s+(january|february|march|april|may|june|july|august|september|october|november|december)\s*,?\s+(\d{4})\b"
 DATE = r"(?:\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b|" + WORDED.removeprefix("(?i)").replace("(\\d", "(?:\\d").replace("(january", "(?:january") + ")"
+# Patterns of a taxpayer's name, of the block that states it, lines of that block that are no name, and how far a name stands from the GSTIN.
+LABELLED_NAME = r"(?:Legal|Trade)\s*Name\s*[:\-]\s*(?:M/s\.?|Tvl\.?|Messrs\.?)?[ \t]*([A-Za-z][\w&.'\-]*(?:[ \t]+[A-Za-z][\w&.'\-]*){0,7})"
+PREFIXED_NAME = r"(?:M/s\.?|Tvl\.?|Messrs\.?)[ \t]*\n?[ \t]*([A-Z][\w&.'\-]*(?:[ \t]+[A-Z][\w&.'\-]*){0,7})"
+SUFFIXED_NAME = r"\b((?:[A-Z][\w&.'\-]*[ \t]+){1,6}(?i:PRIVATE[ \t]+LIMITED|PVT\.?[ \t]*LTD\.?|PUBLIC[ \t]+LIMITED|LIMITED|LTD\.?|LLP|LIMITED[ \t]+LIABILITY[ \t]+PARTNERSHIP|&[ \t]*CO\.?|AND[ \t]+COMPANY|&[ \t]*SONS|ENTERPRISES|INDUSTRIES|ASSOCIATES|TRADERS|AGENCIES|ELECTRICALS|HOTELS))\b"
+TAXPAYER_BLOCK = r"(?i)Details\s+of\s+the\s+Tax\s?payer|Reg\s+Status|Trade\s+Name"
+NO_NAMES = [
+    "gstin", "gstn", "pan", "name", "trade name", "legal name", "reg status", "status", "active", "inactive", "financial year", "zone", "circle",
+    "details of the tax payer", "details of the taxpayer", "office details", "designation of the proper officer",
+]
+NAME_WINDOW = 600
 SCAN_CHARS = 200
 #: Fields that a notice should state.
 FIELDS = ("gstin", "reference", "form", "section", "period", "name", "notice_date", "due_date")
@@ -54,6 +64,27 @@ def as_date(day: Column) -> Column:
     return F.try_to_date(F.coalesce(worded, F.regexp_replace(day, "[.-]", "/")), "d/M/yyyy")
 
 
+def entity_name(text: Column) -> Column:
+    """The taxpayer's name: labelled, else on the line above a GSTIN that stands alone in the taxpayer's block, else (the longest) after a prefix or before a
+    legal suffix within 600 characters of the GSTIN, else in all the text. A name far off is mostly a supplier's."""
+    bare = lambda c: F.nullif(F.btrim(c, F.lit(" .,")), F.lit(""))
+
+    def longest(t: Column, pattern: str) -> Column:
+        names = F.transform(every(t, pattern), bare)
+        return F.array_max(F.transform(names, lambda n, i: F.struct(F.length(n).alias("n"), (-i).alias("at"), n.alias("name"))))["name"]
+
+    def near(code: Column) -> Column:
+        place = F.instr(text, code)
+        window = F.substr(text, F.greatest(place - NAME_WINDOW, F.lit(1)), F.least(place - 1, F.lit(NAME_WINDOW)) + F.length(code) + NAME_WINDOW)
+        above = F.concat(F.lit(r"(?m)^([^\n]*\S[^\n]*)\n(?:[^\S\n]*\n){0,2}[^\S\n]*"), code, F.lit(r"[^\S\n]*$"))
+        line = F.btrim(F.btrim(F.call_function("regexp_extract", text, above, F.lit(1))), F.lit(".,;"))
+        named = F.length(line).between(3, 80) & ~F.contains(line, F.lit(":")) & ~line.rlike(r"^\d") & line.rlike("[A-Za-z]{2}") & ~F.lower(F.regexp_replace(line, r"\s+", " ")).isin(*NO_NAMES)
+        return F.coalesce(F.when(window.rlike(TAXPAYER_BLOCK) & named, line), longest(window, PREFIXED_NAME), longest(window, SUFFIXED_NAME))
+
+    code = first(text, GSTIN)
+    return F.coalesce(bare(first(text, LABELLED_NAME)), let(code, near), longest(text, PREFIXED_NAME), longest(text, SUFFIXED_NAME))
+
+
 def fields(notices: DataFrame) -> DataFrame:
     """Adds what a notice (notice_id, text) states of itself; null where it doesn't. A window of days is kept apart from a date."""
     t = F.col("text")
@@ -66,7 +97,7 @@ def fields(notices: DataFrame) -> DataFrame:
         "sections": provisions(t),
         "rules": provisions(t, "rules?"),
         "period": financial_year(first(t, r"(?i)tax period\s*:\s*([^\n]+)")),
-        "name": first(t, r"(?im)^\s*(?:legal |trade )?name\s*:\s*([^\n]+?)\s*$"),
+        "name": entity_name(t),
         "notice_date": as_date(first(t, rf"(?i)(?<!reply )\bdate\s*:\s*({DATE})")),
         "due_date": as_date(F.coalesce(first(t, rf"(?i)(?:reply by|due date)\s*:?\s*({DATE})"), first(t, rf"(?i)\b(?:reply|respond|submit|furnish|appear)\b[^\n]{{0,200}}?on or before\s+({DATE})"))),
         "window_days": first(t, r"(?i)within\s+(\d{1,3})\s+days\s+(?:of|from)[^.\n]{0,40}receipt").try_cast("int"),

@@ -169,7 +169,7 @@ def head_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.head_totals(_limbs(spark, sf_dir))
 
 
-@query(f"WITH c AS ({view_sql('calls')}) SELECT run_id, stage, count(*) AS calls, coalesce(sum(tokens), 0) AS tokens, coalesce(sum(cost_micros), 0) AS cost_micros FROM c GROUP BY run_id, stage")
+@query(f"WITH c AS ({view_sql('calls')}) SELECT run_id, stage, count(*) AS calls, coalesce(sum(tokens), 0) AS tokens, coalesce(sum(cost_micros), 0) AS cost_micros, round(coalesce(sum(cost_micros), 0) / 1000000 * 88, 2) AS inr FROM c GROUP BY run_id, stage")
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.spend(view(spark, sf_dir, "calls"))
 
@@ -249,7 +249,7 @@ _missing = f"concat_ws(',', CASE WHEN {_scan} THEN 'gstin,reference,section' END
 
 @query(f"""SELECT o_orderkey AS notice_id, {_told("lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') || 'AAAAA' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'A1Z5'")} AS gstin, {_told("'ZD' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || 'F'")} AS reference,
     CASE WHEN {_scan} OR o_orderkey % 3 = 0 THEN 'DRC-01' WHEN o_orderkey % 3 = 1 THEN 'ASMT-10' ELSE 'DRC-01A' END AS form, {_told("'73(1)'")} AS section, coalesce({_told("'16(2)'")}, '') AS sections, coalesce({_told("'36(4)'")}, '') AS rules,
-    CASE WHEN NOT {_scan} AND o_orderkey % 7 <> 0 THEN '2019-20' END AS period, {_told("'Trader ' || o_custkey")} AS name, {_told('CAST(o_orderdate AS DATE)')} AS notice_date, CASE WHEN NOT {_scan} AND NOT {_window} THEN DATE '2025-06-30' END AS due_date, {_missing} AS missing FROM orders""")
+    CASE WHEN NOT {_scan} AND o_orderkey % 7 <> 0 THEN '2019-20' END AS period, {_told("'Trader T' || o_custkey")} AS name, {_told('CAST(o_orderdate AS DATE)')} AS notice_date, CASE WHEN NOT {_scan} AND NOT {_window} THEN DATE '2025-06-30' END AS due_date, {_missing} AS missing FROM orders""")
 def notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = N.fields(view(spark, sf_dir, "notices"))
     return found.select("notice_id", "gstin", "reference", "form", "section", F.array_join("sections", ",").alias("sections"), F.array_join("rules", ",").alias("rules"), "period", "name", "notice_date", "due_date", F.array_join("missing", ",").alias("missing"))
@@ -648,3 +648,35 @@ def parsed_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("CASE event_id % 4 WHEN 0 THEN '1. Response B leads\nORDER OF MERIT:\n1. Response A\n2. Response Z\n3. Response C\n4. Response A' WHEN 1 THEN 'FINAL RANKING: Response C, of course' WHEN 2 THEN 'Response B before Response A' ELSE 'RANKING: none' END")
     valid = F.array(*[F.lit(f"Response {x}") for x in "ABC"])
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(K.parse_ranking(text, valid), ",").alias("ranking"))
+
+
+SLOTS = [("verifier", "m-1", "v1", 2000, None), ("chairman", "m-2", "v2", 16_000, None), ("draft", "m-3", "v0", 1000, 500.0), ("grounding", "m-none", "v3", 1000, None)]
+CANDIDATES = "c AS (SELECT 'm-' || p_partkey AS model_id, 'v' || p_partkey % 5 AS vendor, p_size * 600 AS context, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE CAST(p_partkey % 1000 AS DOUBLE) END AS price FROM part)"
+_slots = "s AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, {'NULL' if e is None else e})" for a, b, c, d, e in SLOTS) + ") v(slot, model_id, vendor, least_context, price_ceiling))"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    slots = spark.createDataFrame(SLOTS, "slot string, model_id string, vendor string, least_context int, price_ceiling double")
+    models = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("'m-' || p_partkey AS model_id", "'v' || p_partkey % 5 AS vendor", "p_size * 600 AS context", "CASE WHEN p_partkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(p_partkey % 1000 AS DOUBLE) END AS price")
+    return slots, models
+
+
+@query(f"WITH {CANDIDATES}, {_slots} SELECT slot, s.model_id, CASE WHEN c.model_id IS NULL THEN 'MISSING' WHEN context < least_context OR coalesce(price > price_ceiling, FALSE) THEN 'WRONG SHAPE' ELSE 'OK' END AS verdict FROM s LEFT JOIN c USING (model_id)")
+def slot_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.verdicts(*_candidates(spark, sf_dir))
+
+
+@query(f"""WITH {CANDIDATES}, {_slots}, m AS (SELECT s.slot, c.*, coalesce(c.vendor = s.vendor, FALSE) AS own, CASE WHEN price_ceiling IS NOT NULL THEN price ELSE -context END AS cost FROM s JOIN c ON context >= least_context AND (price_ceiling IS NULL OR (price <= price_ceiling AND price > 0)))
+    SELECT slot, row_number() OVER (PARTITION BY slot ORDER BY own DESC, cost, model_id) AS rank, model_id FROM m QUALIFY rank <= 3""")
+def slot_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots, models = _candidates(spark, sf_dir)
+    return D.fitting(slots.drop("model_id"), models)
+
+
+@query(f"""WITH {LIMBS}, a AS (SELECT matter_id, posture, coalesce(cgst, 0) + 5 AS cgst, igst FROM l) SELECT matter_id, CAST(sum(cgst) AS DOUBLE) AS cgst, CAST(sum(coalesce(igst, 0)) AS DOUBLE) AS igst, CAST(sum(coalesce(igst, 7)) AS DOUBLE) AS unallocated FROM a GROUP BY matter_id""")
+def added_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads in mixed case and a bare number, made plain and added."""
+    row = view(spark, sf_dir, "limbs").select("matter_id", F.create_map(F.lit(" CGST"), F.col("cgst"), F.lit("igst"), F.col("igst"), F.lit("other"), F.col("sgst")).alias("heads"), F.coalesce("igst", F.lit(7)).alias("bare"))
+    both = row.select("matter_id", T.add_heads(T.add_heads(T.plain_heads(F.col("heads")), T.plain_heads(bare=F.col("bare"))), T.plain_heads(F.create_map(F.lit("cgst"), F.lit(5).cast(M.MONEY)))).alias("h"))
+    of = lambda h: F.sum(F.coalesce(F.try_element_at("h", F.lit(h)), F.lit(0))).cast("double").alias(h)
+    return both.groupBy("matter_id").agg(*[of(h) for h in ("cgst", "igst", "unallocated")])

@@ -22,7 +22,7 @@ _whole = f"{_n(f'CAST(floor({_printed}) AS BIGINT)')} || CASE WHEN o_orderkey %
 _filler = "The returns of the period were examined together with the records that are on file in this office, and what was found is put before the taxpayer for an answer in writing."
 #: A notice of one or two limbs: three kinds of headings, five of figures, or none; two ends of its operative part; scans without text.
 NOTICE = f"""CASE WHEN o_orderkey % 29 = 0 THEN 'FORM GST DRC-01' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'FORM GST DRC - 01' WHEN 1 THEN 'FORM GST ASMT-10' ELSE 'FORM GST DRC-01A' END
-    || chr(10) || 'Name : Trader ' || {_n('o_custkey')} || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Tax Period : FY 2019-20' || chr(10) END
+    || chr(10) || CASE WHEN o_orderkey % 4 = 1 THEN 'To' || chr(10) || 'M/s. ' ELSE 'Legal Name : ' END || 'Trader T' || {_n('o_custkey')} || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Tax Period : FY 2019-20' || chr(10) END
     || 'Reference No : ZD' || lpad({_n('o_orderkey')}, 12, '0') || 'F   Date : ' || lpad({_n('day(o_orderdate)')}, 2, '0') || '/' || lpad({_n('month(o_orderdate)')}, 2, '0') || '/' || {_n('year(o_orderdate)')}
     || chr(10) || 'GSTIN : ' || lpad({_n('o_custkey % 40')}, 2, '0') || 'AAAAA' || lpad({_n('o_custkey % 10000')}, 4, '0') || 'A1Z5'
     || chr(10) || 'Section under which notice is issued : 73 (1)' || chr(10) || 'This is under section 16(2) and rule 36 (4). {_filler} {_filler}' || chr(10)

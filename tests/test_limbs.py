@@ -99,3 +99,25 @@ def test_rankings_and_terms(spark):
 def test_headers_follow_the_order_of_aliases():
     assert files.header_map(["Vendor GSTIN", "GSTIN", "Trade name", "Doc no"]) == {"supplier_gstin": 0, "supplier_name": 2, "invoice_no": 3}
     assert files.header_map(["GSTR-2A", "As per Books", "Net difference (Rs.)"]) == {"amount_2a": 0, "amount_books": 1, "difference": 2}
+
+
+def test_names(spark):
+    code = "29AAAAA0001A1Z5"
+    far = "x " * 400
+    cases = {
+        f"Legal Name: Tvl. F Care Plus Llp\nGSTIN {code}": "F Care Plus Llp",
+        f"Details of the Tax payer\nTrade Name\nAcme Foods\n{code}\nReg Status": "Acme Foods",
+        f"Details of the Tax payer\nlegal name\n{code}\nM/s. Beta Works Ltd": "Beta Works Ltd",
+        f"GSTIN : {code}\nGamma Steel Private Limited\n{far}\nTHE NEW INDIA ASSURANCE CO LIMITED": "Gamma Steel Private Limited",
+        "no code, but Delta Traders and The Long Epsilon Industries": "The Long Epsilon Industries",
+        f"{code} nobody": None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    assert [r.n for r in df.select("i", notices.entity_name(F.col("t")).alias("n")).orderBy("i").collect()] == list(cases.values())
+
+
+def test_tiers(spark):
+    from taxloom.operators import matters
+
+    df = spark.createDataFrame([(" Free",), ("PRO",), (None,), ("gold",)], "t string")
+    assert [r.x for r in df.select(matters.tier_of(F.col("t")).alias("x")).collect()] == ["draft", "pro", "draft", "draft"]
