@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.dimensions import BUCKETS, BY_NAME
+from ..plans.dimensions import GST, Pack
 
 MONEY = "decimal(18,2)"
 # Ceilings of the amount bands and their names, and the name of anything above.
@@ -44,17 +44,17 @@ def folded(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *columns))
 
 
-def bucket_of(said: Column, about: Column) -> Column:
-    """The first bucket that has a keyword in said; else, for three buckets, in about; else unreconciled. Both are in lower case.
+def bucket_of(said: Column, about: Column, pack: Pack = GST) -> Column:
+    """The pack's first bucket that has a keyword in said; else, for some buckets, in about; else its rest. Both are in lower case.
 
     A keyword counts anywhere, within a word too. One pattern for each bucket keeps the generated code small.
     """
     chain = F
-    for text, names in ((said, [b for b, *_ in BUCKETS]), (about, BY_NAME)):
-        for bucket, _, _, words in BUCKETS:
+    for text, names in ((said, [b for b, *_ in pack.buckets]), (about, pack.by_name)):
+        for bucket, _, _, words in pack.buckets:
             if words and bucket in names:
                 chain = chain.when(text.rlike("|".join(re.escape(w) for w in words)), bucket)
-    return chain.otherwise("unreconciled")
+    return F.lit(pack.rest) if chain is F else chain.otherwise(pack.rest)
 
 
 def classify(status: Column, name: Column, invoice: Column) -> Column:

@@ -159,6 +159,13 @@ def extraction_scores(expected: DataFrame, read: DataFrame) -> DataFrame:
     return scored.withColumn("passed", passed)
 
 
+def score_items(judged: DataFrame, missed: DataFrame) -> DataFrame:
+    """judged: matter_id, citation, status; missed: matter_id, document. (kind, matter_id, item): what a scorecard lists, a row each: fabricated and superseded citations, documents that weren't asked for."""
+    kind = F.when(F.col("status") == "NOT_FOUND", "fabricated").when(F.col("status") == "SUPERSEDED", "superseded")
+    cited = judged.select(kind.alias("kind"), "matter_id", F.col("citation").alias("item")).where("kind is not null")
+    return cited.unionByName(missed.select(F.lit("missed").alias("kind"), "matter_id", F.col("document").alias("item")))
+
+
 def scorecard(scores: DataFrame, metrics: list[str], cost: str | None = None) -> DataFrame:
     """One row: matters, those that pass, and each metric's mean over the matters that have it; of a cost column, its sum and the mean of all matters."""
     costs = [F.round(F.coalesce(F.sum(cost), F.lit(0)), 4).alias("total_cost"), F.round(F.coalesce(F.sum(cost), F.lit(0)) / F.count("*"), 4).alias("cost_per_matter")] if cost else []

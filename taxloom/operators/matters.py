@@ -37,6 +37,23 @@ def computed(matters: DataFrame, as_on: Column) -> DataFrame:
     )
 
 
+def tax_base(limb_sum: Column, declared: Column) -> Column:
+    """What the limbs come to, or, where that is nothing, the declared amount, or 0."""
+    return F.coalesce(F.nullif(limb_sum.cast(M.MONEY), F.lit(0).cast(M.MONEY)), declared.cast(M.MONEY), F.lit(0).cast(M.MONEY))
+
+
+def order_day(order_date: Column, form: Column, notice_date: Column) -> Column:
+    """When the order was made: as stated, or the day of a notice that is an order (DRC-07); else null, and no appeal's clock runs."""
+    return F.coalesce(order_date, F.when(form == "DRC-07", notice_date))
+
+
+def appeals(matters: DataFrame, as_on: Column) -> DataFrame:
+    """matters: matter_id, limb_sum, declared, order_date, form, notice_date, penalty_only. The tax base, and, only once there is an order, limitation and pre-deposit."""
+    known = matters.withColumns({"tax_base": tax_base(F.col("limb_sum"), F.col("declared")), "ordered": order_day(F.col("order_date"), F.col("form"), F.col("notice_date"))})
+    deposit = F.when(F.col("ordered").isNotNull(), M.predeposit(F.col("tax_base"), F.col("penalty_only")))
+    return known.select("matter_id", "tax_base", "ordered", M.limitation(F.col("ordered"), as_on).alias("limitation"), deposit.alias("predeposit"))
+
+
 def deadlines(matters: DataFrame, as_on: Column) -> DataFrame:
     """Days to each reply date, its band and words."""
     days = F.date_diff(F.col("due_date"), as_on)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money as M
-from ..plans.dimensions import buckets
+from ..plans.dimensions import GST, Pack, buckets
 
 IMMATERIAL = 1.0
 
@@ -14,7 +14,7 @@ IMMATERIAL = 1.0
 FIGURES = ("difference", "amount_books", "amount_2a", "tax_amount")
 
 
-def classified(lines: DataFrame) -> DataFrame:
+def classified(lines: DataFrame, pack: Pack = GST) -> DataFrame:
     """Adds amount (null or under a rupee: immaterial) and bucket to register lines. Narrow: nothing is shuffled.
 
     What later expressions use more than once is projected first: Catalyst keeps such projections apart, so
@@ -22,7 +22,7 @@ def classified(lines: DataFrame) -> DataFrame:
     """
     read = lines.withColumns({f"_{c}": M.plain_number(F.col(c)) for c in FIGURES} | {"_said": M.folded("status"), "_about": M.folded("supplier_name", "invoice_no")})
     signed = read.withColumns({f"_{c}": M.signed(F.col(c), F.col(f"_{c}")) for c in FIGURES})
-    whole = signed.withColumn("amount", M.amount_in_issue(*[F.col(f"_{c}") for c in FIGURES])).withColumn("bucket", M.bucket_of(F.col("_said"), F.col("_about")))
+    whole = signed.withColumn("amount", M.amount_in_issue(*[F.col(f"_{c}") for c in FIGURES])).withColumn("bucket", M.bucket_of(F.col("_said"), F.col("_about"), pack))
     return whole.drop("_said", "_about", *[f"_{c}" for c in FIGURES])
 
 
@@ -36,12 +36,12 @@ def _summed(lines: DataFrame, *by: str) -> DataFrame:
     return sums.where("lines > 0")
 
 
-def summary(lines: DataFrame) -> DataFrame:
+def summary(lines: DataFrame, pack: Pack = GST) -> DataFrame:
     """Amount, count and share by register and bucket, largest first; the window runs over the few aggregated rows."""
-    sums = _summed(classified(lines), "recon_id", "bucket")
+    sums = _summed(classified(lines, pack), "recon_id", "bucket")
     whole = Window.partitionBy("recon_id")
     ranked = sums.withColumn("share", F.round(F.col("amount").cast("double") / F.sum("amount").over(whole).cast("double"), 6)).withColumn("rank", F.row_number().over(whole.orderBy(F.desc("amount"), "bucket")))
-    return ranked.join(F.broadcast(buckets(lines.sparkSession)), "bucket").select("recon_id", "rank", "bucket", "label", "strength", F.col("amount").cast("double").alias("amount"), "lines", "share")
+    return ranked.join(F.broadcast(buckets(lines.sparkSession, pack)), "bucket").select("recon_id", "rank", "bucket", "label", "strength", F.col("amount").cast("double").alias("amount"), "lines", "share")
 
 
 def by_supplier(lines: DataFrame) -> DataFrame:
@@ -57,14 +57,14 @@ def top_exposures(lines: DataFrame, k: int = 5, mask: bool = False) -> DataFrame
     return top.select("recon_id", "rank", shown.alias("supplier_gstin"), F.col("amount").cast("double").alias("amount"), "lines")
 
 
-def registers(lines: DataFrame) -> DataFrame:
+def registers(lines: DataFrame, pack: Pack = GST) -> DataFrame:
     """Totals of each register, its distinct suppliers and warnings: over a quarter unreconciled, no status at all. Lines are classified once, and summed by supplier first."""
-    flagged = classified(lines).withColumn("counted", material())
+    flagged = classified(lines, pack).withColumn("counted", material())
     each = flagged.groupBy("recon_id", "supplier_gstin").agg(
         F.sum(F.when(F.col("counted"), F.col("amount"))).alias("total"),
         F.count_if("counted").alias("counted"),
         F.count_if(~F.col("counted")).alias("skipped"),
-        F.sum(F.when(F.col("counted") & (F.col("bucket") == "unreconciled"), F.col("amount"))).alias("open"),
+        F.sum(F.when(F.col("counted") & (F.col("bucket") == pack.rest), F.col("amount"))).alias("open"),
         F.count_if(F.trim("status") != "").alias("told"),
     )
     named = (F.col("counted") > 0) & (F.trim("supplier_gstin") != "")

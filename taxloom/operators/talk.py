@@ -41,9 +41,13 @@ def scrub(text: Column) -> Column:
     return text
 
 
-def audit_leaks(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """How often each kind of identifier stands in the texts, and in how many of them; the counts are combined before the shuffle."""
-    kinds = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_count(text_col, F.lit(p)).alias("n")) for label, p in IDENTIFIERS])
+def audit_leaks(texts: DataFrame, id_col: str, text_col: str, client_col: str | None = None) -> DataFrame:
+    """How often each kind of identifier, and a client's name of three letters or more, stands in the texts, and in how many of them; the counts are combined before the shuffle."""
+    found = [F.struct(F.lit(label).alias("label"), F.regexp_count(text_col, F.lit(p)).alias("n")) for label, p in IDENTIFIERS]
+    if client_col:
+        name = F.trim(client_col)
+        found.append(F.struct(F.lit("CLIENT").alias("label"), F.when(F.length(name) >= 3, F.regexp_count(text_col, F.concat(F.lit("(?i)\\Q"), name, F.lit("\\E")))).otherwise(0).alias("n")))
+    kinds = F.array(*found)
     return texts.select(id_col, F.explode(kinds).alias("k")).where("k.n > 0").groupBy("k.label").agg(F.sum("k.n").alias("matches"), F.count("*").alias("texts"))
 
 

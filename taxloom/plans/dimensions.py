@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Bucket keys, labels, strengths and keywords, in the order in which they are tried.
@@ -74,8 +76,20 @@ NOTICE_TYPES: list[tuple[str, str, str | None]] = [
 ]
 
 
-def buckets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, k, label, strength) for i, (k, label, strength, _) in enumerate(BUCKETS)], "ordinal int, bucket string, label string, strength string")
+@dataclass(frozen=True)
+class Pack:
+    """The rules of a domain that jobs on registers take as a parameter: buckets in the order in which they are tried, those that a name may show, the bucket of the rest."""
+
+    buckets: tuple[tuple[str, str, str, list[str]], ...] = tuple(BUCKETS)
+    by_name: tuple[str, ...] = BY_NAME
+    rest: str = "unreconciled"
+
+
+GST = Pack()
+
+
+def buckets(spark: SparkSession, pack: Pack = GST) -> DataFrame:
+    return spark.createDataFrame([(i, k, label, strength) for i, (k, label, strength, _) in enumerate(pack.buckets)], "ordinal int, bucket string, label string, strength string")
 
 
 def penalty_stages(spark: SparkSession) -> DataFrame:

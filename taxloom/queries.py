@@ -680,3 +680,30 @@ def added_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = row.select("matter_id", T.add_heads(T.add_heads(T.plain_heads(F.col("heads")), T.plain_heads(bare=F.col("bare"))), T.plain_heads(F.create_map(F.lit("cgst"), F.lit(5).cast(M.MONEY)))).alias("h"))
     of = lambda h: F.sum(F.coalesce(F.try_element_at("h", F.lit(h)), F.lit(0))).cast("double").alias(h)
     return both.groupBy("matter_id").agg(*[of(h) for h in ("cgst", "igst", "unallocated")])
+
+
+@query(f"""WITH {CITED} SELECT CASE status WHEN 'NOT_FOUND' THEN 'fabricated' ELSE 'superseded' END AS kind, matter_id, citation AS item FROM j WHERE status IN ('NOT_FOUND', 'SUPERSEDED')
+    UNION ALL SELECT 'missed', o_orderkey, 'ledger ' || o_custkey FROM orders WHERE o_orderkey % 5 = 0""")
+def score_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missed = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 5 = 0").selectExpr("o_orderkey AS matter_id", "'ledger ' || o_custkey AS document")
+    return E.score_items(_judged(spark, sf_dir), missed)
+
+
+_ordered = "CASE WHEN matter_id % 3 = 0 THEN notice_date + 30 WHEN matter_id % 3 = 1 THEN notice_date END"
+_base = "coalesce(nullif(CASE WHEN matter_id % 4 = 0 THEN 0 WHEN matter_id % 4 = 1 THEN tax * 2 END, 0), tax, 0)"
+
+
+@query(f"""WITH {MATTERS}, k AS (SELECT *, CAST({_base} AS DECIMAL(18,2)) AS base, CAST({_ordered} AS DATE) AS ordered FROM m)
+    SELECT matter_id, CAST(base AS DOUBLE) AS tax_base, ordered, CASE WHEN ordered IS NULL THEN NULL WHEN DATE '{AS_ON}' <= ordered + INTERVAL 3 MONTH THEN 'in_time' WHEN DATE '{AS_ON}' <= ordered + INTERVAL 4 MONTH THEN 'condonable' ELSE 'time_barred' END AS limitation,
+        CASE WHEN ordered IS NOT NULL AND base > 0 THEN CAST(CASE WHEN penalty_only THEN base * 0.25 ELSE least(base * 0.10, 200000000) END AS DOUBLE) END AS predeposit FROM k""")
+def appeals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"limb_sum": "CASE WHEN matter_id % 4 = 0 THEN 0 WHEN matter_id % 4 = 1 THEN tax * 2 END", "declared": "tax", "order_date": "CASE WHEN matter_id % 3 = 0 THEN date_add(notice_date, 30) END", "form": "CASE WHEN matter_id % 3 = 1 THEN 'DRC-07' ELSE 'DRC-01' END"}
+    rows = view(spark, sf_dir, "matters").selectExpr("*", *[f"{e} AS {c}" for c, e in columns.items()])
+    return T.appeals(rows, _as_on()).withColumns({c: F.col(c).cast("double") for c in ("tax_base", "predeposit")})
+
+
+@query("SELECT 'CLIENT' AS label, sum(n) AS matches, count(*) AS texts FROM (SELECT len(regexp_extract_all(lower(text), regexp_extract(lower(text), '[a-z]{4,}'))) AS n FROM documents WHERE regexp_matches(lower(text), '[a-z]{4,}')) WHERE n > 0")
+def client_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of four plain letters of each document stands for the client whose name mustn't be in it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text")).withColumn("client", F.regexp_extract("text", "[a-z]{4,}", 0))
+    return K.audit_leaks(docs, "doc_id", "text", "client").where("label = 'CLIENT'")

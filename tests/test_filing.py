@@ -66,3 +66,22 @@ def test_lockouts_over_batches(spark):
     finally:
         spark.conf.unset(size)
     assert got == dict.fromkeys(["a", None, "b"], (7, 2, 1, 5)) and lockouts_batch(df.limit(0)).count() == 0
+
+
+def test_pack_is_a_parameter(spark):
+    from taxloom.operators import reconcile
+    from taxloom.plans.dimensions import Pack
+
+    pack = Pack(buckets=(("late", "Late", "weak", ["delay"]), ("open", "Open", "weak", [])), by_name=("late",), rest="open")
+    rows = [("r", "delayed", "x", "1", "5", None, None, None, "g1"), ("r", "", "delay ltd", "2", "7", None, None, None, "g2"), ("r", "rcm", "y", "3", "9", None, None, None, None)]
+    df = spark.createDataFrame(rows, "recon_id string, status string, supplier_name string, invoice_no string, difference string, amount_books string, amount_2a string, tax_amount string, supplier_gstin string")
+    assert {r.bucket: (r.lines, r.label) for r in reconcile.summary(df, pack).collect()} == {"late": (2, "Late"), "open": (1, "Open")}
+    got = reconcile.registers(df, pack).first()
+    assert (got.total, got.suppliers, got.mostly_open) == (21.0, 2, True)
+
+
+def test_client_leaks(spark):
+    from taxloom.operators import talk
+
+    df = spark.createDataFrame([(1, "ACME and acme, a@b.in", "Acme"), (2, "none", "Acme"), (3, "ab ab", "ab"), (4, None, None)], "i int, t string, c string")
+    assert {r.label: (r.matches, r.texts) for r in talk.audit_leaks(df, "i", "t", "c").collect()} == {"CLIENT": (2, 1), "EMAIL": (1, 1)}
