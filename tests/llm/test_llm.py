@@ -452,6 +452,7 @@ def test_chroma_align_against_brute_force(monkeypatch):
 
     for _ in range(60):
         monkeypatch.setattr(chroma, "VOTES", int(r.choice([1, 7, 1 << 18])))
+        monkeypatch.setattr(chroma, "BATCH", int(r.choice([1, 20, 1 << 18])))
         monkeypatch.setattr(chroma, "SHORT", int(r.choice([1, 2, 8])))
         queries, rows, least, most = [some() for _ in range(6)], [some() for _ in range(8)], int(r.integers(1, 4)), float(r.choice([0.02, 0.1, 1]))
         got = {}
