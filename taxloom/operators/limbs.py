@@ -156,9 +156,9 @@ def head_rows(text: Column) -> Column:
         lengths = lambda a: F.aggregate(F.transform(a, F.length), F.lit(0), lambda x, y: x + y)
 
         def fits(v: Column, k: Column) -> Column:
-            five = F.slice(v, k, 5)
-            total = F.element_at(five, 5)
-            drift = F.abs(F.aggregate(F.slice(five, 1, 4), F.lit(0).cast(MONEY), lambda x, y: (x + y).cast(MONEY)) - total)
+            at = lambda i: F.element_at(v, k + i)
+            total = at(4)
+            drift = F.abs(at(0) + at(1) + at(2) + at(3) - total)
             near = lengths(F.slice(said, k, 5)) + lengths(F.slice(gaps, k + 1, 4)) <= ROW_CHARS
             return F.coalesce((total >= LEAST_ROW) & (drift <= F.least(F.lit(DRIFT).cast(MONEY), total * F.lit(DRIFT_SHARE).cast("decimal(4,3)"))) & near, F.lit(False))
 

@@ -46,9 +46,12 @@ def every(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def form_code(text: Column) -> Column:
-    """The longest known code that the text names."""
+    """The longest known code that the text names; of equally long ones the first in the table. One scan finds all that are named."""
     codes = sorted((code for code, _, _ in NOTICE_TYPES if code != "OTHER"), key=len, reverse=True)
-    return F.coalesce(*[F.when(text.rlike(r"(?i)\b" + c.replace("-", r"[\s-]*") + r"\b"), c) for c in codes])
+    said = every(text, r"(?i)\b(?:" + "|".join(c.replace("-", r"[\s-]*") for c in codes) + r")\b", 0)
+    rank = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c.replace("-", ""), i)])
+    best = F.array_min(F.transform(said, lambda x: F.element_at(rank, F.upper(F.regexp_replace(x, r"[\s-]+", "")))))
+    return F.try_element_at(F.array(*[F.lit(c) for c in codes]), best + 1)
 
 
 def provisions(text: Column, word: str = r"(?:section|sec\.?|u/s)") -> Column:
@@ -58,10 +61,14 @@ def provisions(text: Column, word: str = r"(?:section|sec\.?|u/s)") -> Column:
 
 def as_date(day: Column) -> Column:
     """d.m.y by dots, slashes or hyphens, or with the month's name (14th June, 2026); a day that isn't in the calendar is null."""
-    word = lambda g: F.regexp_extract(day, WORDED, g)
-    month = F.ceil(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(word(2), F.lit(3)))) / 3)
-    worded = F.when(word(2) != "", F.concat_ws("/", word(1), month.cast("string"), word(3)))
-    return F.try_to_date(F.coalesce(worded, F.regexp_replace(day, "[.-]", "/")), "d/M/yyyy")
+
+    def read(d: Column) -> Column:
+        word = lambda g: F.regexp_extract(d, WORDED, g)
+        month = F.ceil(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(word(2), F.lit(3)))) / 3)
+        plain = F.when(d.rlike(r"^[\d./-]+$"), F.regexp_replace(d, "[.-]", "/")).otherwise(F.concat_ws("/", word(1), month.cast("string"), word(3)))
+        return F.try_to_date(plain, "d/M/yyyy")
+
+    return let(day, read)
 
 
 def entity_name(text: Column) -> Column:
@@ -96,14 +103,14 @@ def fields(notices: DataFrame) -> DataFrame:
         "section": F.regexp_replace(F.coalesce(first(t, rf"(?i)section under which[^:\n]*:\s*{PROVISION}"), first(t, rf"(?i)\bsection\s*{PROVISION}")), r"\s+", ""),
         "sections": provisions(t),
         "rules": provisions(t, "rules?"),
-        "period": financial_year(first(t, r"(?i)tax period\s*:\s*([^\n]+)")),
+        "period": let(first(t, r"(?i)tax period\s*:\s*([^\n]+)"), financial_year),
         "name": entity_name(t),
         "notice_date": as_date(first(t, rf"(?i)(?<!reply )\bdate\s*:\s*({DATE})")),
         "due_date": as_date(F.coalesce(first(t, rf"(?i)(?:reply by|due date)\s*:?\s*({DATE})"), first(t, rf"(?i)\b(?:reply|respond|submit|furnish|appear)\b[^\n]{{0,200}}?on or before\s+({DATE})"))),
         "window_days": first(t, r"(?i)within\s+(\d{1,3})\s+days\s+(?:of|from)[^.\n]{0,40}receipt").try_cast("int"),
         "dates": F.array_distinct(F.array_compact(F.transform(every(t, f"(?i){DATE}", 0), as_date))),
         "amounts": F.array_compact(F.transform(every(t, r"(?:Rs\.?|INR|₹)\s*([\d,]*\d(?:\.\d+)?)"), money)),
-        "scan_like": F.length(tidy(t)) < SCAN_CHARS,
+        "scan_like": F.length(t) < SCAN_CHARS,
     })
     # a reply that is due within days of receipt has no date to miss
     gone = [F.when(F.col(f).isNull() & (F.col("window_days").isNull() if f == "due_date" else F.lit(True)), f) for f in FIELDS]

@@ -25,7 +25,7 @@ NOTICE = f"""CASE WHEN o_orderkey % 29 = 0 THEN 'FORM GST DRC-01' ELSE CASE o_or
     || chr(10) || CASE WHEN o_orderkey % 4 = 1 THEN 'To' || chr(10) || 'M/s. ' ELSE 'Legal Name : ' END || 'Trader T' || {_n('o_custkey')} || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Tax Period : FY 2019-20' || chr(10) END
     || 'Reference No : ZD' || lpad({_n('o_orderkey')}, 12, '0') || 'F   Date : ' || lpad({_n('day(o_orderdate)')}, 2, '0') || '/' || lpad({_n('month(o_orderdate)')}, 2, '0') || '/' || {_n('year(o_orderdate)')}
     || chr(10) || 'GSTIN : ' || lpad({_n('o_custkey % 40')}, 2, '0') || 'AAAAA' || lpad({_n('o_custkey % 10000')}, 4, '0') || 'A1Z5'
-    || chr(10) || 'Section under which notice is issued : 73 (1)' || chr(10) || 'This is under section 16(2) and rule 36 (4). {_filler} {_filler}' || chr(10)
+    || chr(10) || 'Section under which notice is issued : 73 (1)' || chr(10) || 'This is under section 16(2) and rule 36 (4).' || CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE ' {_filler} {_filler}' END || chr(10)
     || {_heading(1, 'Excess credit claimed')} || CASE WHEN o_orderkey % 17 = 0 THEN 'What was claimed stands in the annexure.' ELSE CASE o_orderkey % 5
         WHEN 0 THEN 'As returned and as allowed:' || chr(10) || 'Difference  ' || {_n(HEAD)} || '  ' || {_n(HEAD)} || '  ' || {_third} || '  0  ' || {_total}
         WHEN 1 THEN 'IGST CGST SGST CESS' || chr(10) || '1 2 3 4 5' || chr(10) || 'Excess claimed ' || {_third} || ' ' || {_n(HEAD)} || ' ' || {_n(HEAD)} || ' 0 ' || {_total}
@@ -137,10 +137,16 @@ VIEWS: dict[str, tuple[list, dict[str, str]]] = {
 }
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer pieces than there are cores, such as one row group, dealt out before its rows are worked on; only the columns in use are moved."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; the joined tables are dimensions, whose size Spark knows before it broadcasts one."""
     (first, *joins), columns = VIEWS[name]
-    df = spark.read.parquet(f"{sf_dir}/{first}.parquet")
+    df = _spread(spark.read.parquet(f"{sf_dir}/{first}.parquet"))
     for table, left, right in joins:
         df = df.join(spark.read.parquet(f"{sf_dir}/{table}.parquet"), F.col(left) == F.col(right))
     return df.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
