@@ -95,7 +95,7 @@ def test_shares_sum_to_one(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("lineitem", "supplier", "orders", "customer", "events", "conversations", "documents"):
+    for t in ("lineitem", "supplier", "orders", "customer", "events", "conversations", "documents", "part"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     r = c.execute(ORACLES[name])
     names = [d[0] for d in r.description]
