@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import discard, hub_join, runtime_filters, settle
+from .scratch import discard, hub_join, runtime_filters, settle, small_join
 from .shingles import Shingles, pieces
 
 #: (hashes compared so far, least matches with which a pair goes on).
@@ -135,12 +135,13 @@ def candidates(sigs: DataFrame, hashes: int, rows: int, floors: Floors, block: i
     keys = sigs.select("node", F.explode(F.array(*bands)).alias("key"))
     with runtime_filters(sigs.sparkSession):  # most buckets hold one text; their rows needn't be shuffled twice
         crowded = settle(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "n")).where("n > 1")
-        members = settle(keys.join(crowded, "key").distinct())
-        own = sigs.join(members.select("node").distinct().where("node is not null"), "node", "left_semi").dropDuplicates(["node"])
+        members = settle(small_join(keys, crowded, "key").distinct())
+        nodes = settle(members.select("node").distinct())
+        own = small_join(sigs, nodes, "node", "left_semi").dropDuplicates(["node"])
         dealt = _dealt(members, "key", F.col("n"), block).join(own, "node").select("key", "bi", "bj", "node", "sig")
         links = settle(dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_linker(hashes, floors), "a long, b long"))
     found = settle(components(links))
-    discard(crowded, members, links)
+    discard(crowded, members, nodes, links)
     return found
 
 
@@ -239,7 +240,7 @@ def classes(texts: DataFrame, sigs: DataFrame, shingle: Callable, hashes: int, r
     loose = candidates(sigs, hashes, rows, floors)
     wanted = settle(hub_join(loose, loose.groupBy("root").agg(F.count("*").alias("n")), "root", "n"))
     asked = wanted.where("n > 1")  # true of all; a filter is what lets Spark make a runtime filter of it
-    own = sigs.join(loose.select("node").where("node is not null"), "node", "left_semi").dropDuplicates(["node"])
+    own = small_join(sigs, loose.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     def verified(members: DataFrame) -> DataFrame:
         """members: node, text, root, bi, bj, own, group."""
@@ -247,7 +248,7 @@ def classes(texts: DataFrame, sigs: DataFrame, shingle: Callable, hashes: int, r
         with runtime_filters(spark):  # most texts have no near text; they needn't be shuffled to learn that
             return settle(dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_verifier(shingle, hashes, floors, threshold, counting), "a long, b long, links long"))
 
-    text = lambda of: texts.join(of, "node").select("node", "text", *[c for c in of.columns if c != "node"]).mapInArrow(once, f"node long, text string, {', '.join(f'{c} long' for c in of.columns if c != 'node')}")
+    text = lambda of: small_join(texts, of, "node").select("node", "text", *[c for c in of.columns if c != "node"]).mapInArrow(once, f"node long, text string, {', '.join(f'{c} long' for c in of.columns if c != 'node')}")
     if counting:
         found = verified(_dealt(text(asked), "root", F.col("n"), block).withColumn("group", F.col("node")))
         links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -74,6 +74,15 @@ def runtime_filters(spark: SparkSession) -> contextlib.AbstractContextManager:
     return settings(spark, FILTERS)
 
 
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
+def small_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """big joined with small, a settled table of a few numbers a row: it's broadcast if its rows are counted as BROADCAST_ROWS or fewer, else both are shuffled by key."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, how)
+
+
 def hub_join(big: DataFrame, small: DataFrame, key: str, rows: str | None = None, least: int = 512, most: int = 100_000) -> DataFrame:
     """Inner join of big, a settled table, with small, which has a row for each key.
 
