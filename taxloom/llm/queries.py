@@ -11,10 +11,13 @@ from .chat import chat_digests, format_chats
 from .chroma import alignments, catalogue, fingerprints, members
 from .forest import nearest
 from .line_dedup import repeated_lines, text_hash
+from .mixing import mix
 from .ngram_join import near_classes, ngram_join
 from .packing import pack
+from .periods import periodic_runs, plant_repeats, run_digests
 from .pieces import piece_digests
 from .quality import quality_scores
+from .repair import damage, repair, repair_digests
 from .scratch import settle
 from .shards import kd_shards
 from .warc import archive_index
@@ -86,7 +89,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(turns.unionByName(hard)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma, op2_forest, op3_pieces, op4_warc, op5_kd_shards, op6_ngram_join, op7_packing, op8_line_dedup, op9_quality, op10_chat)}
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(plant_repeats(_table(spark, sf_dir, "documents"))))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(repair(damage(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).drop("source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma, op2_forest, op3_pieces, op4_warc, op5_kd_shards, op6_ngram_join, op7_packing, op8_line_dedup, op9_quality, op10_chat, op11_periods, op12_repair, op13_mixing)}
 
 ORACLES: dict[str, str] = {
     "op10_chat": r"""
@@ -104,4 +119,29 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
             CAST(CASE WHEN hard THEN escaped_chars + 15 ELSE raw_chars + 11 END AS BIGINT) AS formatted_chars
         FROM c""",
+    "op13_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce('0' || source, '1') AS key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS hash
+            FROM documents),
+        s AS (
+            SELECT key, CAST(sum(size) AS DOUBLE) AS source_size, CASE (row_number() OVER (ORDER BY key) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+            FROM d GROUP BY key),
+        -- by the share of a unit of weight at which they are full; those before are full if that share is reached
+        o AS (
+            SELECT *, sum(source_size) OVER () AS total,
+                coalesce(sum(3 * source_size) OVER w, 0) AS taken, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS left_weight
+            FROM s WINDOW w AS (ORDER BY source_size / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, weight * (total - taken) >= 3 * source_size * left_weight AS is_full FROM o),
+        u AS (
+            SELECT min(total) AS total, coalesce(sum(3 * source_size) FILTER (is_full), 0) AS taken, sum(weight) FILTER (NOT is_full) AS weight FROM f),
+        t AS (
+            SELECT key, source_size, CASE WHEN is_full THEN 3 * source_size ELSE f.weight * (u.total - u.taken) / u.weight END AS target FROM f, u),
+        k AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS times FROM t),
+        h AS (SELECT key, hash, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY key ORDER BY hash) AS upto FROM d WHERE size > 0 GROUP BY key, hash),
+        i AS (
+            SELECT h.key, h.hash, h.upto + h.upto - h.size <= 2 * (target - times * source_size) AND times < 3 AS more FROM h JOIN k USING (key))
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+            CAST(size * (times + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM d JOIN k USING (key) LEFT JOIN i USING (key, hash)""",
 }
