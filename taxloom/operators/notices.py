@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, financial_year
+from ..functions.money import MONEY
 from ..plans.dimensions import NOTICE_TYPES, notice_types
-from ..plans.places import places
+from ..plans.places import PLACES, places
+from .filing import snippet_at
+from .intake import CODES, DIRECTION, DIRECTION_LOOKBACK, GSTIN, NAME, NAME_LABEL, Scanned, as_date, best_form, compact, office, scan, years
 from .limbs import Catalogue, figure_of, head_order, let, limbs_of, money, printed_total
 
-# Patterns of identifiers and provisions.
-GSTIN = r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]{3})\b"
-PORTAL_ID = r"[A-Z]{2}\d{10,14}[A-Z0-9]"
-PROVISION = r"(\d{1,3}[A-Z]?(?:\s*\(\s*[0-9a-zA-Z]{1,3}\s*\))*)"
-WORDED = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)?\s+(january|february|march|april|may|june|july|august|september|october|november|december)\s*,?\s+(\d{4})\b"
-DATE = r"(?:\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b|" + WORDED.removeprefix("(?i)").replace("(\\d", "(?:\\d").replace("(january", "(?:january") + ")"
 # Patterns of a taxpayer's name, of the block that states it, lines of that block that are no name, and how far a name stands from the GSTIN.
-LABELLED_NAME = r"(?:Legal|Trade)\s*Name\s*[:\-]\s*(?:M/s\.?|Tvl\.?|Messrs\.?)?[ \t]*([A-Za-z][\w&.'\-]*(?:[ \t]+[A-Za-z][\w&.'\-]*){0,7})"
+LABELLED_NAME = NAME_LABEL + NAME
 PREFIXED_NAME = r"(?:M/s\.?|Tvl\.?|Messrs\.?)[ \t]*\n?[ \t]*([A-Z][\w&.'\-]*(?:[ \t]+[A-Z][\w&.'\-]*){0,7})"
 SUFFIXED_NAME = r"\b((?:[A-Z][\w&.'\-]*[ \t]+){1,6}(?i:PRIVATE[ \t]+LIMITED|PVT\.?[ \t]*LTD\.?|PUBLIC[ \t]+LIMITED|LIMITED|LTD\.?|LLP|LIMITED[ \t]+LIABILITY[ \t]+PARTNERSHIP|&[ \t]*CO\.?|AND[ \t]+COMPANY|&[ \t]*SONS|ENTERPRISES|INDUSTRIES|ASSOCIATES|TRADERS|AGENCIES|ELECTRICALS|HOTELS))\b"
 TAXPAYER_BLOCK = r"(?i)Details\s+of\s+the\s+Tax\s?payer|Reg\s+Status|Trade\s+Name"
@@ -28,7 +24,7 @@ NO_NAMES = [
 NAME_WINDOW = 600
 SCAN_CHARS = 200
 #: Fields that a notice should state.
-FIELDS = ("gstin", "reference", "form", "section", "period", "name", "notice_date", "due_date")
+FIELDS = ("name", "gstin", "form", "state", "period", "due_date", "notice_date", "section")
 
 
 def tidy(text: Column) -> Column:
@@ -47,33 +43,12 @@ def every(text: Column, pattern: str, group: int = 1) -> Column:
 
 def form_code(text: Column) -> Column:
     """The longest known code that the text names; of equally long ones the first in the table. One scan finds all that are named."""
-    codes = sorted((code for code, _, _ in NOTICE_TYPES if code != "OTHER"), key=len, reverse=True)
-    said = every(text, r"(?i)\b(?:" + "|".join(c.replace("-", r"[\s-]*") for c in codes) + r")\b", 0)
-    rank = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c.replace("-", ""), i)])
-    best = F.array_min(F.transform(said, lambda x: F.element_at(rank, F.upper(F.regexp_replace(x, r"[\s-]+", "")))))
-    return F.try_element_at(F.array(*[F.lit(c) for c in codes]), best + 1)
+    return best_form(every(text, r"(?i)\b(?:" + "|".join(c.replace("-", r"[\s-]*") for c in CODES) + r")\b", 0))
 
 
-def provisions(text: Column, word: str = r"(?:section|sec\.?|u/s)") -> Column:
-    """Sections (or, by another word, rules) with their sub-sections, without spaces, each once, in order."""
-    return F.array_distinct(F.transform(every(text, rf"(?i)\b{word}\s*{PROVISION}"), lambda x: F.regexp_replace(x, r"\s+", "")))
-
-
-def as_date(day: Column) -> Column:
-    """d.m.y by dots, slashes or hyphens, or with the month's name (14th June, 2026); a day that isn't in the calendar is null."""
-
-    def read(d: Column) -> Column:
-        word = lambda g: F.regexp_extract(d, WORDED, g)
-        month = F.ceil(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(word(2), F.lit(3)))) / 3)
-        plain = F.when(d.rlike(r"^[\d./-]+$"), F.regexp_replace(d, "[.-]", "/")).otherwise(F.concat_ws("/", word(1), month.cast("string"), word(3)))
-        return F.try_to_date(plain, "d/M/yyyy")
-
-    return let(day, read)
-
-
-def entity_name(text: Column) -> Column:
-    """The taxpayer's name: labelled, else on the line above a GSTIN that stands alone in the taxpayer's block, else (the longest) after a prefix or before a
-    legal suffix within 600 characters of the GSTIN, else in all the text. A name far off is mostly a supplier's."""
+def entity_name(text: Column, labelled: Column | None = None, code: Column | None = None) -> Column:
+    """The taxpayer's name: labelled, else on the line above a GSTIN (code, the first) that stands alone in the taxpayer's block, else (the longest) after a prefix or
+    before a legal suffix within 600 characters of the GSTIN, else in all the text. A name far off is mostly a supplier's."""
     bare = lambda c: F.nullif(F.btrim(c, F.lit(" .,")), F.lit(""))
 
     def longest(t: Column, pattern: str) -> Column:
@@ -86,40 +61,78 @@ def entity_name(text: Column) -> Column:
         above = F.concat(F.lit(r"(?m)^([^\n]*\S[^\n]*)\n(?:[^\S\n]*\n){0,2}[^\S\n]*"), code, F.lit(r"[^\S\n]*$"))
         line = F.btrim(F.btrim(F.call_function("regexp_extract", text, above, F.lit(1))), F.lit(".,;"))
         named = F.length(line).between(3, 80) & ~F.contains(line, F.lit(":")) & ~line.rlike(r"^\d") & line.rlike("[A-Za-z]{2}") & ~F.lower(F.regexp_replace(line, r"\s+", " ")).isin(*NO_NAMES)
-        return F.coalesce(F.when(window.rlike(TAXPAYER_BLOCK) & named, line), longest(window, PREFIXED_NAME), longest(window, SUFFIXED_NAME))
+        return F.coalesce(F.when(window.rlike(TAXPAYER_BLOCK), F.when(named, line)), longest(window, PREFIXED_NAME), longest(window, SUFFIXED_NAME))
+
+    labelled = first(text, LABELLED_NAME) if labelled is None else labelled
+    code = first(text, GSTIN) if code is None else code
+    return F.coalesce(bare(labelled), let(code, near), longest(text, PREFIXED_NAME), longest(text, SUFFIXED_NAME))
+
 
-    code = first(text, GSTIN)
-    return F.coalesce(bare(first(text, LABELLED_NAME)), let(code, near), longest(text, PREFIXED_NAME), longest(text, SUFFIXED_NAME))
+def _directed(text: Column, got: Scanned) -> Column:
+    """The first "on or before" a date that a direction to answer leads up to."""
+    near = lambda at: F.substr(text, F.greatest(at - DIRECTION_LOOKBACK, F.lit(0)) + 1, F.least(at, F.lit(DIRECTION_LOOKBACK))).rlike(DIRECTION)
+    return F.get(F.filter(got.of("on_or_before"), lambda m: let(got.at(m), near)), 0)
 
 
 def fields(notices: DataFrame) -> DataFrame:
-    """Adds what a notice (notice_id, text) states of itself; null where it doesn't. A window of days is kept apart from a date."""
+    """Adds what a notice (notice_id, text) states of itself; null where it doesn't.
+
+    One scan of the text (see intake) gives all but the name. A labelled row is believed before prose, a deadline is labelled or directed, never just a late date, and
+    a window of days is no date; a notice's date may be the first that it has. sources: where each field came from (notice, notice-labelled, notice-directed,
+    notice-inferred, gstin); snippets: the text around each, with its place. Neither is worked out if it isn't used.
+    """
     t = F.col("text")
-    read = notices.withColumn("text", tidy(t)).withColumns({
-        "gstin": first(t, GSTIN),
-        "reference": F.coalesce(first(t, rf"(?i)ref(?:erence)?\.?\s*(?:no|number)?\.?\s*[:-]?\s*((?-i:{PORTAL_ID}))"), first(t, rf"\b({PORTAL_ID})\b")),
-        "arn": first(t, rf"\bARN\s*[:-]?\s*({PORTAL_ID})"),
-        "form": form_code(t),
-        "section": F.regexp_replace(F.coalesce(first(t, rf"(?i)section under which[^:\n]*:\s*{PROVISION}"), first(t, rf"(?i)\bsection\s*{PROVISION}")), r"\s+", ""),
-        "sections": provisions(t),
-        "rules": provisions(t, "rules?"),
-        "period": let(first(t, r"(?i)tax period\s*:\s*([^\n]+)"), financial_year),
-        "name": entity_name(t),
-        "notice_date": as_date(first(t, rf"(?i)(?<!reply )\bdate\s*:\s*({DATE})")),
-        "due_date": as_date(F.coalesce(first(t, rf"(?i)(?:reply by|due date)\s*:?\s*({DATE})"), first(t, rf"(?i)\b(?:reply|respond|submit|furnish|appear)\b[^\n]{{0,200}}?on or before\s+({DATE})"))),
-        "window_days": first(t, r"(?i)within\s+(\d{1,3})\s+days\s+(?:of|from)[^.\n]{0,40}receipt").try_cast("int"),
-        "dates": F.array_distinct(F.array_compact(F.transform(every(t, f"(?i){DATE}", 0), as_date))),
-        "amounts": F.array_compact(F.transform(every(t, r"(?:Rs\.?|INR|₹)\s*([\d,]*\d(?:\.\d+)?)"), money)),
+    read = notices.withColumn("text", tidy(t)).withColumn("_scan", scan(t))
+    got = Scanned(F.col("_scan"))
+    # what later fields are read from
+    read = read.withColumns({"gstin": got.first("gstin"), "_on": _directed(t, got), "_dates": F.filter(F.transform(got.of("date"), lambda m: F.struct(m.alias("m"), as_date(got.value(m, "date")).alias("day"))), lambda d: d["day"].isNotNull())})
+    states = F.create_map(*[F.lit(x) for code, state, _ in PLACES for x in (code, state)])
+    labelled_date, labelled_due, labelled_section = as_date(got.first("dated")), as_date(got.first("labelled_due")), got.first("labelled_section")
+    dates, on = F.col("_dates"), F.col("_on")
+    read = read.withColumns({
+        "reference": F.coalesce(got.first("dated_id", "referred"), got.first("portal_id")),
+        "arn": got.first("arn"),
+        "din": got.first("din"),
+        "form": best_form(got.every("form")),
+        "sections": compact(got.every("section")),
+        "rules": compact(got.every("rule")),
+        "period": years(F.coalesce(got.first("year"), got.first("bare_year"))),
+        "name": entity_name(t, got.first("name"), F.col("gstin")),
+        "state": F.try_element_at(states, F.left("gstin", F.lit(2))),
+        "notice_date": F.coalesce(labelled_date, F.get(dates, 0)["day"]),
+        # a labelled row that can't be read leaves no deadline, as it is believed before prose
+        "due_date": F.when(got.first("labelled_due").isNotNull(), labelled_due).otherwise(as_date(got.value(on, "on_or_before"))),
+        "officer": F.nullif(F.concat_ws(", ", F.nullif(F.btrim(got.first("officer")), F.lit("")), F.nullif(F.btrim(got.first("designation")), F.lit(""))), F.lit("")),
+        "office": F.coalesce(office(got.first("jurisdiction")), F.btrim(got.first("circle"), F.lit(" ,"))),
+        "dates": F.array_distinct(F.transform(dates, lambda d: d["day"])),
+        "amounts": F.array_compact(F.transform(got.every("amount"), money)),
         "scan_like": F.length(t) < SCAN_CHARS,
     })
+    read = read.withColumn("section", F.coalesce(labelled_section, F.get("sections", 0))).withColumn("window_days", F.when(F.col("due_date").isNull(), got.first("window").cast("int")))
+    match = lambda *groups: F.get(got.of(*groups), 0)
+    long_form = F.get(F.filter(got.of("form"), lambda m: F.upper(F.regexp_replace(got.value(m, "form"), r"[\s-]+", "")) == F.replace("form", F.lit("-"), F.lit(""))), 0)
+    name_at = F.instr(t, F.col("name")) - 1
+    told = {
+        "gstin": ("gstin", "notice", got.at(match("gstin"))), "state": ("state", "gstin", got.at(match("gstin"))), "name": ("name", "notice", F.when(name_at >= 0, name_at)), "form": ("form", "notice", got.at(long_form)),
+        "period": ("period", "notice", F.coalesce(got.at(match("year")), got.at(match("bare_year")))), "reference": ("reference", "notice", F.coalesce(got.at(match("dated_id", "referred")), got.at(match("portal_id")))),
+        "arn": ("arn", "notice", got.at(match("arn"))), "din": ("din", "notice", got.at(match("din"))),
+        "section": ("section", F.when(labelled_section.isNotNull(), "notice-labelled").otherwise("notice"), F.coalesce(got.at(match("labelled_section")), got.at(match("section")))),
+        "notice_date": ("notice_date", F.when(labelled_date.isNotNull(), "notice-labelled").otherwise("notice-inferred"), F.when(labelled_date.isNotNull(), got.at(match("dated"))).otherwise(got.at(F.get(dates, 0)["m"]))),
+        "due_date": ("due_date", F.when(got.first("labelled_due").isNotNull(), "notice-labelled").otherwise("notice-directed"), F.coalesce(got.at(match("labelled_due")), got.at(on))),
+        "window_days": ("window_days", "notice", got.at(match("window"))), "officer": ("officer", "notice", F.coalesce(got.at(match("officer")), got.at(match("designation")))),
+        "office": ("office", "notice", F.coalesce(got.at(match("jurisdiction")), got.at(match("circle")))),
+    }
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    entries = lambda value: F.map_from_entries(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(k).alias("key"), value(source, at).alias("value"))) for k, (c, source, at) in told.items()]), lambda e: e.isNotNull()))
+    read = read.withColumns({"sources": entries(lambda source, at: lit(source)), "snippets": entries(lambda source, at: snippet_at(t, at))})
     # a reply that is due within days of receipt has no date to miss
     gone = [F.when(F.col(f).isNull() & (F.col("window_days").isNull() if f == "due_date" else F.lit(True)), f) for f in FIELDS]
-    return read.withColumn("missing", F.array_compact(F.array(*gone)))
+    return read.withColumn("missing", F.array_compact(F.array(*gone))).drop("_scan", "_dates", "_on")
 
 
 def with_jurisdiction(df: DataFrame) -> DataFrame:
     """Adds state and high_court by the GSTIN's first two digits; unknown ones stay, with nulls."""
-    return df.withColumn("code", F.left("gstin", F.lit(2))).join(F.broadcast(places(df.sparkSession)), "code", "left").drop("code")
+    return df.drop("state").withColumn("code", F.left("gstin", F.lit(2))).join(F.broadcast(places(df.sparkSession)), "code", "left").drop("code")
 
 
 def with_reply_form(df: DataFrame) -> DataFrame:

@@ -244,15 +244,36 @@ def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _scan = "o_orderkey % 29 = 0"
 _told = lambda e: f"CASE WHEN NOT {_scan} THEN {e} END"
 _window = "o_orderkey % 23 = 0"
-_missing = f"concat_ws(',', CASE WHEN {_scan} THEN 'gstin,reference,section' END, CASE WHEN {_scan} OR o_orderkey % 7 = 0 THEN 'period' END, CASE WHEN {_scan} THEN 'name,notice_date,due_date' END)"
-
-
-@query(f"""SELECT o_orderkey AS notice_id, {_told("lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') || 'AAAAA' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'A1Z5'")} AS gstin, {_told("'ZD' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || 'F'")} AS reference,
-    CASE WHEN {_scan} OR o_orderkey % 3 = 0 THEN 'DRC-01' WHEN o_orderkey % 3 = 1 THEN 'ASMT-10' ELSE 'DRC-01A' END AS form, {_told("'73(1)'")} AS section, coalesce({_told("'16(2)'")}, '') AS sections, coalesce({_told("'36(4)'")}, '') AS rules,
-    CASE WHEN NOT {_scan} AND o_orderkey % 7 <> 0 THEN '2019-20' END AS period, {_told("'Trader T' || o_custkey")} AS name, {_told('CAST(o_orderdate AS DATE)')} AS notice_date, CASE WHEN NOT {_scan} AND NOT {_window} THEN DATE '2025-06-30' END AS due_date, {_missing} AS missing FROM orders""")
+_code = "lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0')"
+_stated = f"{_code} IN ({', '.join(repr(c) for c, _, _ in PLACES)})"
+_due = f"CASE WHEN NOT {_scan} AND NOT {_window} AND o_orderkey % 31 <> 0 THEN DATE '2025-06-30' END"
+_missing = f"concat_ws(',', CASE WHEN {_scan} THEN 'name,gstin' END, CASE WHEN {_scan} OR NOT {_stated} THEN 'state' END, CASE WHEN {_scan} OR o_orderkey % 7 = 0 THEN 'period' END, CASE WHEN {_due} IS NULL AND ({_scan} OR NOT {_window}) THEN 'due_date' END, CASE WHEN {_scan} THEN 'notice_date,section' END)"
+
+
+@query(f"""SELECT o_orderkey AS notice_id, {_told(_code + " || 'AAAAA' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || 'A1Z5'")} AS gstin, {_told("'ZD' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || 'F'")} AS reference,
+    CASE WHEN NOT {_scan} AND o_orderkey % 6 = 0 THEN '2025' || lpad(CAST(o_orderkey AS VARCHAR), 14, '0') END AS din,
+    CASE WHEN {_scan} OR o_orderkey % 3 = 0 THEN 'DRC-01' WHEN o_orderkey % 3 = 1 THEN 'ASMT-10' ELSE 'DRC-01A' END AS form, {_told("CASE o_orderkey % 3 WHEN 0 THEN '73' WHEN 1 THEN '61' ELSE '74(1)' END")} AS section,
+    CASE WHEN {_scan} THEN '' WHEN o_orderkey % 3 = 2 THEN '74(1),16(2)' ELSE '16(2)' END AS sections, coalesce({_told("'36(4)'")}, '') AS rules,
+    CASE WHEN NOT {_scan} AND o_orderkey % 7 <> 0 THEN '2019-20' END AS period, {_told("'Trader T' || o_custkey")} AS name, {_told('CAST(o_orderdate AS DATE)')} AS notice_date, {_due} AS due_date, CASE WHEN NOT {_scan} AND {_window} THEN 30 END AS window_days,
+    CASE WHEN NOT {_scan} AND o_orderkey % 2 = 0 THEN 'R. KUMAR, State Tax Officer / RAM NAGAR, Coimbatore-II, Tamil Nadu' END AS office, {_missing} AS missing FROM orders""")
 def notice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = N.fields(view(spark, sf_dir, "notices"))
-    return found.select("notice_id", "gstin", "reference", "form", "section", F.array_join("sections", ",").alias("sections"), F.array_join("rules", ",").alias("rules"), "period", "name", "notice_date", "due_date", F.array_join("missing", ",").alias("missing"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("notice_id", "gstin", "reference", "din", "form", "section", joined("sections"), joined("rules"), "period", "name", "notice_date", "due_date", "window_days", F.concat("officer", F.lit(" / "), "office").alias("office"), joined("missing"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS notice_id, o_custkey, o_orderkey, {_due} AS due, {_stated} AS stated, strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y') AS day FROM orders WHERE NOT {_scan}),
+    s AS (SELECT notice_id, 'due_date' AS field, CASE WHEN o_orderkey % 3 = 0 THEN 'notice-labelled' ELSE 'notice-directed' END AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'Date by wh' ELSE 'on or befo' END AS starts FROM o WHERE due IS NOT NULL
+        UNION ALL SELECT notice_id, 'notice_date', CASE WHEN o_orderkey % 4 = 3 THEN 'notice-inferred' ELSE 'notice-labelled' END, CASE WHEN o_orderkey % 4 = 3 THEN day ELSE 'Reference ' END FROM o
+        UNION ALL SELECT notice_id, 'section', CASE WHEN o_orderkey % 3 = 2 THEN 'notice' ELSE 'notice-labelled' END, CASE WHEN o_orderkey % 3 = 2 THEN 'u/s 74 (1)' ELSE 'Section un' END FROM o
+        UNION ALL SELECT notice_id, 'state', 'gstin', {_code} || 'AAAAA' || left(lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0'), 3) FROM o WHERE stated
+        UNION ALL SELECT notice_id, 'window_days', 'notice', 'within (30' FROM o WHERE {_window}
+        UNION ALL SELECT notice_id, 'officer', 'notice', 'Signature' || chr(10) FROM o WHERE o_orderkey % 2 = 0)
+    SELECT notice_id, field, source, starts FROM s""")
+def field_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where six fields were read, and what the notice says from there. An outer explode, as an inner one would put a test of the whole map, with the scan in it, before all."""
+    rows = N.fields(view(spark, sf_dir, "notices")).select("notice_id", "text", "sources", F.explode_outer("snippets").alias("field", "s")).where(F.col("field").isin("due_date", "notice_date", "section", "state", "window_days", "officer") & (F.col("s.text") != ""))
+    return rows.select("notice_id", "field", F.element_at("sources", F.col("field")).alias("source"), F.substr("text", F.col("s.offset") + 1, F.lit(10)).alias("starts"))
 
 
 @query(f"WITH p AS (SELECT o_orderkey AS notice_id, {_told("lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0')")} AS code FROM orders), q(code, state, high_court) AS (VALUES " + ", ".join(f"('{c}', '{s}', '{h}')" for c, s, h in PLACES) + ") SELECT notice_id, state, high_court FROM p LEFT JOIN q USING (code)")
@@ -275,7 +296,7 @@ CHECKED = f"""r AS (SELECT *, {_scan} AS scan, {FIRST} AS one, {SECOND} AS two,
     e AS (SELECT *, CASE WHEN scan OR said < 10 OR coalesce(abs(said - one) <= 2, FALSE) OR coalesce(abs(said - two) <= 2, FALSE) THEN NULL ELSE said END AS kept FROM s),
     k AS (SELECT o_orderkey AS notice_id, CASE WHEN scan THEN 0 WHEN two IS NULL THEN 1 ELSE 2 END AS limbs, CASE WHEN NOT scan THEN CAST(sums AS DOUBLE) END AS limb_sum, CAST(kept AS DOUBLE) AS printed, abs(kept - sums) <= 2 AS reconciles,
         concat_ws(',', CASE WHEN scan THEN 'no_limbs' END, CASE WHEN abs(kept - sums) > 2 THEN 'does_not_reconcile' END, CASE WHEN NOT scan AND one IS NULL THEN 'unread_figures' END, CASE WHEN scan THEN 'scan' END, CASE WHEN NOT scan AND {_window} THEN 'window_without_date' END,
-            CASE WHEN scan OR o_orderkey % 7 = 0 THEN 'fields_missing' END, CASE WHEN kept IS NULL THEN 'no_printed_total' END) AS flags, scan FROM e)"""
+            CASE WHEN {_missing} <> '' THEN 'fields_missing' END, CASE WHEN kept IS NULL THEN 'no_printed_total' END) AS flags, scan FROM e)"""
 
 
 @query(f"WITH {CHECKED} SELECT * EXCLUDE (scan) FROM k")

@@ -20,12 +20,13 @@ _heading = lambda n, name: f"CASE o_orderkey % 3 WHEN 0 THEN '{n}. {name}' WHEN
 _printed = f"coalesce({FIRST}, 0) + coalesce({SECOND}, 0) + {OFF}"
 _whole = f"{_n(f'CAST(floor({_printed}) AS BIGINT)')} || CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 5 < 2 THEN '.50' ELSE '.00' END"
 _filler = "The returns of the period were examined together with the records that are on file in this office, and what was found is put before the taxpayer for an answer in writing."
-#: A notice of one or two limbs: three kinds of headings, five of figures, or none; two ends of its operative part; scans without text.
+#: A notice of one or two limbs: rows of a portal's form or words of a letter, five ways to write a year, four of a deadline or none; three kinds of headings, five of figures, or none; two ends of its operative part; scans without text.
 NOTICE = f"""CASE WHEN o_orderkey % 29 = 0 THEN 'FORM GST DRC-01' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'FORM GST DRC - 01' WHEN 1 THEN 'FORM GST ASMT-10' ELSE 'FORM GST DRC-01A' END
-    || chr(10) || CASE WHEN o_orderkey % 4 = 1 THEN 'To' || chr(10) || 'M/s. ' ELSE 'Legal Name : ' END || 'Trader T' || {_n('o_custkey')} || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'Tax Period : FY 2019-20' || chr(10) END
-    || 'Reference No : ZD' || lpad({_n('o_orderkey')}, 12, '0') || 'F   Date : ' || lpad({_n('day(o_orderdate)')}, 2, '0') || '/' || lpad({_n('month(o_orderdate)')}, 2, '0') || '/' || {_n('year(o_orderdate)')}
+    || chr(10) || CASE WHEN o_orderkey % 4 = 1 THEN 'To' || chr(10) || 'M/s. ' ELSE 'Legal Name : ' END || 'Trader T' || {_n('o_custkey')} || chr(10) || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CASE o_orderkey % 5 WHEN 0 THEN 'Tax Period : 2019-20' WHEN 1 THEN 'For F.Y. 2019-2020' WHEN 2 THEN 'Financial year - 2019/20' WHEN 3 THEN 'Returns of 2019-20' ELSE 'Tax Period : FY 2019-20' END || chr(10) END
+    || CASE WHEN o_orderkey % 4 = 3 THEN 'Ref. No. ZD' ELSE 'Reference No : ZD' END || lpad({_n('o_orderkey')}, 12, '0') || 'F   ' || CASE WHEN o_orderkey % 4 = 3 THEN 'dated ' ELSE 'Date : ' END || lpad({_n('day(o_orderdate)')}, 2, '0') || '/' || lpad({_n('month(o_orderdate)')}, 2, '0') || '/' || {_n('year(o_orderdate)')}
+    || CASE WHEN o_orderkey % 6 = 0 THEN chr(10) || 'DIN : 2025' || lpad({_n('o_orderkey')}, 14, '0') ELSE '' END
     || chr(10) || 'GSTIN : ' || lpad({_n('o_custkey % 40')}, 2, '0') || 'AAAAA' || lpad({_n('o_custkey % 10000')}, 4, '0') || 'A1Z5'
-    || chr(10) || 'Section under which notice is issued : 73 (1)' || chr(10) || 'This is under section 16(2) and rule 36 (4).' || CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE ' {_filler} {_filler}' END || chr(10)
+    || chr(10) || CASE o_orderkey % 3 WHEN 0 THEN 'Section under which notice is issued : 73 (1)' WHEN 1 THEN 'Section under which the notice is issued - 61' ELSE 'Issued u/s 74 (1)' END || chr(10) || 'This is under section 16(2) and rule 36 (4).' || CASE WHEN o_orderkey % 4 < 2 THEN '' ELSE ' {_filler} {_filler}' END || chr(10)
     || {_heading(1, 'Excess credit claimed')} || CASE WHEN o_orderkey % 17 = 0 THEN 'What was claimed stands in the annexure.' ELSE CASE o_orderkey % 5
         WHEN 0 THEN 'As returned and as allowed:' || chr(10) || 'Difference  ' || {_n(HEAD)} || '  ' || {_n(HEAD)} || '  ' || {_third} || '  0  ' || {_total}
         WHEN 1 THEN 'IGST CGST SGST CESS' || chr(10) || '1 2 3 4 5' || chr(10) || 'Excess claimed ' || {_third} || ' ' || {_n(HEAD)} || ' ' || {_n(HEAD)} || ' 0 ' || {_total}
@@ -34,7 +35,9 @@ NOTICE = f"""CASE WHEN o_orderkey % 29 = 0 THEN 'FORM GST DRC-01' ELSE CASE o_or
         ELSE '5 Difference (Highest of 1 to 3)-4 ' || {_lump} END END
     || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || {_heading(2, 'Late fee for delay')} || 'Difference of Rs. ' || {_lump} || chr(10) || '1. not a limb here' ELSE '' END
     || chr(10) || CASE WHEN o_orderkey % 4 < 2 THEN 'Proper officer' ELSE 'The total tax payable on account of these deficiencies is arrived at below.' END || chr(10) || '{_filler}' || chr(10) || 'Total tax payable  0  0  ' || {_whole} || '  0  ' || {_whole}
-    || chr(10) || CASE WHEN o_orderkey % 23 = 0 THEN 'A reply is due within 30 days of receipt.' ELSE 'You are to submit a reply on or before 30/06/2025.' END END"""
+    || chr(10) || CASE WHEN o_orderkey % 23 = 0 THEN 'A reply is due within (30) days from the date of receipt of this notice.' WHEN o_orderkey % 31 = 0 THEN 'Appear in person on or before 30/06/2025.'
+        WHEN o_orderkey % 3 = 0 THEN 'Date by which reply has to be submitted : 30.06.2025' WHEN o_orderkey % 3 = 1 THEN 'You are to submit a reply' || chr(10) || 'on or before 30/06/2025.' ELSE 'Explain the reasons for the above discrepancy on or before 30-06-2025.' END
+    || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'Signature' || chr(10) || 'Name : R. KUMAR' || chr(10) || 'Designation : State Tax Officer' || chr(10) || 'Jurisdiction : RAM NAGAR , Coimbatore-' || chr(10) || 'II , Tamil Nadu' ELSE '' END END"""
 #: Each view: the tables it joins (first, then (table, left column, right column)), and its columns.
 VIEWS: dict[str, tuple[list, dict[str, str]]] = {
     "register_lines": (
