@@ -41,8 +41,12 @@ def collected(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def judged(citations: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Adds status, note and as_of by (matter_id, position). Without a valid verdict a citation is UNVERIFIED; one marked to_verify is never VERIFIED."""
-    said = citations.join(verdicts.select("matter_id", "position", F.upper("status").alias("said"), "note", "as_of"), ["matter_id", "position"], "left")
+    """Adds status, note and as_of by (matter_id, position). Without a valid verdict a citation is UNVERIFIED; one marked to_verify is never VERIFIED.
+
+    Of several verdicts on a position the last one by place counts.
+    """
+    last = verdicts.groupBy("matter_id", "position").agg(F.max(F.struct("place", F.upper("status").alias("said"), "note", "as_of")).alias("v")).select("matter_id", "position", "v.said", "v.note", "v.as_of")
+    said = citations.join(last, ["matter_id", "position"], "left")
     valid = F.when(F.col("said").isin(*STATUSES), F.col("said")).otherwise("UNVERIFIED")
     return said.withColumn("status", F.when((valid == "VERIFIED") & (F.col("certainty") == "to_verify"), "UNVERIFIED").otherwise(valid)).drop("said")
 
@@ -75,9 +79,14 @@ def prose_gaps(texts: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def authorities_for(limbs: DataFrame, library: DataFrame, k: int = 8) -> DataFrame:
-    """limbs: matter_id, index, tags; library: authority_id, kind, tags. The first k authorities that share a tag with a limb: filed ones, then statutes."""
-    asked = limbs.select("matter_id", "index", F.explode(F.array_distinct("tags")).alias("tag"))
-    held = library.select("authority_id", "kind", F.explode(F.array_distinct("tags")).alias("tag"))
-    met = asked.join(held, "tag").groupBy("matter_id", "index", "authority_id").agg(F.min("kind").alias("kind"))
-    order = F.when(F.col("kind") == "filed", 0).when(F.col("kind") == "statute", 1).otherwise(2)
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("matter_id", "index").orderBy(order, "authority_id"))).where(F.col("rank") <= k)
+    """limbs: matter_id, index, tags; library: authority_id, certainty, kind, tags. The first k authorities that share a tag with a limb: filed ones first, of these statutes.
+
+    That order doesn't hang on the limb, so each tag keeps its k best (cut before the shuffle, where a tag is popular), and a limb merges the lists of its tags: it
+    meets k rows a tag at most, however many the library has.
+    """
+    order = F.struct((F.col("certainty") != "filed").alias("later"), (F.col("kind") != "statute").alias("softer"), "authority_id", "certainty", "kind").alias("a")
+    held = library.select(F.explode(F.array_distinct("tags")).alias("tag"), order).distinct()
+    best = held.withColumn("n", F.row_number().over(Window.partitionBy("tag").orderBy("a"))).where(F.col("n") <= k)
+    lists = best.groupBy("tag").agg(F.collect_list("a").alias("list"))
+    met = limbs.select("matter_id", "index", F.explode(F.array_distinct("tags")).alias("tag")).join(lists, "tag").groupBy("matter_id", "index").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("list")))), 1, k).alias("list"))
+    return met.select("matter_id", "index", F.posexplode("list").alias("at", "a")).select("matter_id", "index", "a.authority_id", "a.certainty", "a.kind", (F.col("at") + 1).alias("rank"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.money import needs_panel
+from .matters import run_tier
 
 POSTURES = ("explained", "contested", "agreed_paid", "paid_under_protest", "partial", "undecided")
 # US dollars by argued limb and by run of each tier, the band around an estimate, runs before history counts, rupees for a dollar.
@@ -20,15 +21,35 @@ BAND, SAMPLES, RUPEES = 0.45, 3, 88.0
 LINE_GAP, DOUBTFUL, POOR, LISTED = 14, 0.80, 0.90, 12
 
 
-def merged(limbs: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Answers on limbs by (matter_id, index): a limb keeps its heading and figures, a non-blank answer overrides `keys`, answers without a limb are added.
+# What an answer may say of a limb, and the shape in which each is taken.
+ANSWERS = {
+    "posture": "text", "strength": "text", "our_position": "text", "facts": "text", "submission": "text", "department_contention": "text", "legal_framework": "list", "authorities": "list",
+    "evidence_required": "list", "evidence_gap": "list", "annexures": "list", "payment": "object", "splits": "list", "prayer_relief": "text", "amount_note": "text",
+}
 
-    limbs: matter_id, index, heading, total and keys; answers: matter_id, index, posture and keys. An unknown posture is undecided; a limb without an answer is flagged.
+
+def merged(limbs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers folded onto limbs by (matter_id, index): a limb keeps its heading and total, and each of ANSWERS that an answer gives overrides what the limb holds.
+
+    limbs: matter_id, index, heading, total, posture, held (VARIANT, an object); answers: matter_id, index, place, answer (VARIANT). An answer without a limb makes one.
+    Empty values ("", [], {}, null) and values of another shape override nothing; of several answers the last by place that says something of a key
+    counts for it. An answered limb whose posture isn't known is undecided; a limb without an answer keeps its own. What is no text comes as JSON.
     """
-    told = answers.groupBy("matter_id", "index").agg(*[F.max(F.nullif(F.trim(k), F.lit(""))).alias(f"_{k}") for k in dict.fromkeys(["posture", *keys])], F.lit(True).alias("answered"))
-    both = limbs.join(told, ["matter_id", "index"], "full_outer")
-    posture = F.when(F.col("_posture").isin(*POSTURES), F.col("_posture")).otherwise("undecided")
-    return both.select("matter_id", "index", "heading", "total", posture.alias("posture"), *[F.coalesce(f"_{k}", k).alias(k) for k in keys if k != "posture"], F.coalesce("answered", F.lit(False)).alias("answered"))
+    kinds = {"list": "ARRAY", "object": "OBJECT"}
+
+    def said(value: str, key: str, shape: str) -> Column:
+        at = F.try_variant_get(F.col(value), f"$.{key}", "variant")
+        text = F.to_json(at)
+        if shape == "text":
+            return F.nullif(F.coalesce(F.try_variant_get(F.col(value), f"$.{key}", "string"), F.when(~text.isin("null", "[]", "{}"), text)), F.lit(""))
+        return F.when(F.startswith(F.schema_of_variant(at), F.lit(kinds[shape])) & ~text.isin("[]", "{}"), text)
+
+    read = answers.where(F.startswith(F.schema_of_variant("answer"), F.lit("OBJECT"))).select("matter_id", "index", "place", *[said("answer", k, shape).alias(f"_{k}") for k, shape in ANSWERS.items()])
+    told = read.groupBy("matter_id", "index").agg(*[F.max_by(f"_{k}", F.when(F.col(f"_{k}").isNotNull(), F.col("place"))).alias(f"_{k}") for k in ANSWERS], F.lit(True).alias("answered"))
+    both = limbs.join(told, ["matter_id", "index"], "full_outer").withColumn("answered", F.coalesce("answered", F.lit(False)))
+    posture = F.coalesce("_posture", "posture")
+    posture = F.when(~F.col("answered") | posture.isin(*POSTURES), posture).otherwise("undecided")
+    return both.select("matter_id", "index", "heading", "total", posture.alias("posture"), *[F.coalesce(f"_{k}", said("held", k, shape)).alias(k) for k, shape in ANSWERS.items() if k != "posture"], "answered")
 
 
 def problems(limbs: DataFrame) -> DataFrame:
@@ -62,29 +83,33 @@ def hearing_brief(limbs: DataFrame, questions: DataFrame, default: list[str]) ->
 
 
 def estimates(matters: DataFrame, rates: DataFrame) -> DataFrame:
-    """matters: matter_id, tier, argued; rates: tier, rate (dollars a limb), samples. A run's cost in dollars and rupees with its band; one limb's where there is none."""
+    """matters: matter_id, tier (see tier_of), argued; rates: tier, rate (dollars a limb), samples. A run's cost in dollars and rupees with its band."""
     given = matters.sparkSession.createDataFrame(TIERS, "tier string, unit double, fixed double")
     known = F.coalesce(F.col("samples") >= SAMPLES, F.lit(False))
-    n = F.greatest(F.coalesce("argued", F.lit(0)), F.lit(1))
+    n = F.greatest(F.coalesce("argued", F.lit(0)), F.lit(0))
     cost = F.when(known, F.col("rate") * n).otherwise(F.col("unit") * n + F.col("fixed"))
-    joined = matters.join(F.broadcast(given), "tier", "left").join(rates, "tier", "left").withColumn("cost", cost)
+    joined = matters.withColumn("tier", run_tier(F.col("tier"))).join(F.broadcast(given), "tier", "left").join(rates, "tier", "left").withColumn("cost", cost)
     return joined.select("matter_id", "tier", known.alias("learned"), F.round("cost", 4).alias("usd"), F.round(F.col("cost") * (1 - BAND), 4).alias("low"), F.round(F.col("cost") * (1 + BAND), 4).alias("high"), F.round(F.col("cost") * RUPEES, 2).alias("inr"))
 
 
 def fitting(slots: DataFrame, catalogue: DataFrame, k: int = 3, most: int = 1000) -> DataFrame:
-    """slots (at most `most`, or it fails): slot, vendor, least_context, price_ceiling (null: any). The k fitting models of each: its own vendor's first, then the cheapest (with a ceiling) or those of the largest context."""
+    """slots (at most `most`, or it fails): slot, vendor, least_context, price_ceiling (null: any). The k fitting models of each: its own vendor's first, then the cheapest (with a ceiling) or those of the largest context.
+
+    A free model, or one of unknown price, fits no slot; an unknown context (null or 0) fits any.
+    """
     if slots.count() > most:
         raise ValueError(f"over {most} slots")
-    fits = (F.col("context") >= F.col("least_context")) & (F.col("price_ceiling").isNull() | ((F.col("price") <= F.col("price_ceiling")) & (F.col("price") > 0)))
+    wide = (F.coalesce("context", F.lit(0)) == 0) | (F.col("context") >= F.col("least_context"))
+    fits = wide & (F.col("price") > 0) & (F.col("price_ceiling").isNull() | (F.col("price") <= F.col("price_ceiling")))
     met = catalogue.join(F.broadcast(slots.withColumnRenamed("vendor", "own")), fits)
-    order = [F.desc(F.coalesce(F.col("vendor") == F.col("own"), F.lit(False))), F.when(F.col("price_ceiling").isNotNull(), F.col("price")).otherwise(-F.col("context")), F.col("model_id")]
+    order = [F.desc(F.coalesce(F.col("vendor") == F.col("own"), F.lit(False))), F.when(F.col("price_ceiling").isNotNull(), F.col("price")).otherwise(-F.coalesce("context", F.lit(0))), F.col("model_id")]
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy(*order))).where(F.col("rank") <= k).select("slot", "rank", "model_id")
 
 
 def verdicts(slots: DataFrame, catalogue: DataFrame) -> DataFrame:
     """slots: slot, model_id, least_context, price_ceiling. Whether a slot's model is MISSING from the catalogue, of the WRONG SHAPE, or OK."""
     known = catalogue.select(F.col("model_id").alias("_id"), "context", "price")
-    wrong = (F.col("context") < F.col("least_context")) | F.coalesce(F.col("price") > F.col("price_ceiling"), F.lit(False))
+    wrong = F.coalesce((F.col("context") > 0) & (F.col("context") < F.col("least_context")), F.lit(False)) | F.coalesce(F.col("price") > F.col("price_ceiling"), F.lit(False))
     joined = slots.join(known, F.col("model_id") == F.col("_id"), "left")
     return joined.select("slot", "model_id", F.when(F.col("_id").isNull(), "MISSING").when(wrong, "WRONG SHAPE").otherwise("OK").alias("verdict"))
 

@@ -54,9 +54,10 @@ def position_scores(results: DataFrame) -> DataFrame:
 
 
 def procedural_points(points: DataFrame) -> DataFrame:
-    """points: matter_id, expected, chairman, counsel (arrays). Found by either, missed by both, and dropped by the chairman."""
-    either = F.array_union("chairman", "counsel")
-    return points.select("matter_id", F.array_intersect("expected", either).alias("found"), F.array_except("expected", either).alias("missed"), F.array_except("counsel", "chairman").alias("dropped"))
+    """points: matter_id, expected, chairman, counsel (arrays; null: none). Found by either, missed by both, and dropped by the chairman."""
+    expected, chairman, counsel = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("expected", "chairman", "counsel"))
+    either = F.array_union(chairman, counsel)
+    return points.select("matter_id", F.array_intersect(expected, either).alias("found"), F.array_except(expected, either).alias("missed"), F.array_except(counsel, chairman).alias("dropped"))
 
 
 def integrity(verification: DataFrame) -> DataFrame:
@@ -68,9 +69,8 @@ def integrity(verification: DataFrame) -> DataFrame:
 def matched_limbs(expected: DataFrame, produced: DataFrame) -> DataFrame:
     """expected: matter_id, index, fragment; produced: matter_id, index, heading. Each expected limb with the produced one of its index, else the first whose heading holds the fragment.
 
-    Both joins are equi-joins on matter_id; a matter has few limbs.
+    Case and white space don't count, signs do. Both joins are equi-joins on matter_id; a matter has few limbs.
     """
-    plain = lambda c: F.btrim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
     p = produced.groupBy("matter_id", "index").agg(F.min("heading").alias("heading"))
     e = expected.join(p.select("matter_id", "index", F.col("index").alias("by_index")), ["matter_id", "index"], "left")
     other = e.where("by_index is null").join(p.select("matter_id", F.col("index").alias("at"), "heading"), "matter_id").where((plain(F.col("fragment")) != "") & F.contains(plain(F.col("heading")), plain(F.col("fragment"))))

@@ -119,6 +119,11 @@ def tier_of(name: Column) -> Column:
     return F.when(real.isin(*TIERS), real).otherwise(SAFE_TIER)
 
 
+def run_tier(name: Column) -> Column:
+    """tier_of() of a run; one that names none ran on pro."""
+    return tier_of(F.coalesce(F.nullif(name, F.lit("")), F.lit("pro")))
+
+
 def limb_total(heads: Column) -> Column:
     return F.aggregate(F.map_values(heads), F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + F.coalesce(x, F.lit(0))).cast("decimal(18,2)"))
 
@@ -135,7 +140,7 @@ def triage(limbs: DataFrame) -> DataFrame:
 def observed_rates(matters: DataFrame) -> DataFrame:
     """Median cost of an argued limb by tier, over complete matters with both; all limbs stand in where none is argued."""
     limbs = F.coalesce(F.nullif("argued", F.lit(0)), F.col("limbs"))
-    return matters.withColumn("n", limbs).where("status = 'complete' and cost_cents > 0 and n > 0").groupBy(tier_of(F.col("tier")).alias("tier")).agg(F.median(F.col("cost_cents") / F.col("n")).alias("rate_cents"), F.count("*").alias("samples"))
+    return matters.withColumn("n", limbs).where("status = 'complete' and cost_cents > 0 and n > 0").groupBy(run_tier(F.col("tier")).alias("tier")).agg(F.median(F.col("cost_cents") / F.col("n")).alias("rate_cents"), F.count("*").alias("samples"))
 
 
 def spend(calls: DataFrame) -> DataFrame:

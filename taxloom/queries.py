@@ -143,10 +143,19 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.dashboard(view(spark, sf_dir, "matters"))
 
 
+#: The tier that those names mean.
+RAN = "CASE matter_id % 8 WHEN 1 THEN 'draft' WHEN 2 THEN 'pro' WHEN 3 THEN 'pro' WHEN 4 THEN 'pro' WHEN 5 THEN 'draft' ELSE tier END"
+
+
 @query(f"""WITH {MATTERS}, n AS (SELECT *, coalesce(nullif(argued, 0), limbs) AS n FROM m)
-    SELECT tier, median(CAST(cost_cents AS DOUBLE) / n) AS rate_cents, count(*) AS samples FROM n WHERE status = 'complete' AND cost_cents > 0 AND n > 0 GROUP BY tier""")
+    SELECT {RAN} AS tier, median(CAST(cost_cents AS DOUBLE) / n) AS rate_cents, count(*) AS samples FROM n WHERE status = 'complete' AND cost_cents > 0 AND n > 0 GROUP BY ALL""")
 def observed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.observed_rates(view(spark, sf_dir, "matters"))
+    return T.observed_rates(_named_tiers(spark, sf_dir))
+
+
+def _named_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matters whose tier goes by other names, too, or by none."""
+    return view(spark, sf_dir, "matters").withColumn("tier", F.expr("CASE matter_id % 8 WHEN 1 THEN 'Free' WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN ' PRO ' WHEN 5 THEN 'gold' ELSE tier END"))
 
 
 def _limbs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,14 +323,16 @@ _key = r"lower(trim(regexp_replace(citation, '\s+', ' ', 'g')))"
 CITED = rf"""a AS ({view_sql('authorities')}), s AS (SELECT *, {_key} AS key FROM a WHERE trim(citation) <> ''),
     o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY matter_id, key ORDER BY source, place, citation) = 1),
     n AS (SELECT *, row_number() OVER (PARTITION BY matter_id ORDER BY source, place, key) - 1 AS position FROM o QUALIFY position < 25),
-    v AS ({view_sql('verdicts')}), j AS (SELECT n.matter_id, n.position, n.key, n.citation, n.source,
+    first_verdicts AS ({view_sql('verdicts')}), v AS (SELECT matter_id, position, CASE WHEN matter_id % 7 = 0 THEN 'verified' ELSE status END AS status, CASE WHEN matter_id % 7 = 0 THEN 'seen again' ELSE note END AS note, as_of FROM first_verdicts), j AS (SELECT n.matter_id, n.position, n.key, n.citation, n.source,
         CASE WHEN upper(v.status) NOT IN ('VERIFIED', 'SUPERSEDED', 'UNVERIFIED', 'NOT_FOUND') OR v.status IS NULL OR (upper(v.status) = 'VERIFIED' AND n.source = 1) THEN 'UNVERIFIED' ELSE upper(v.status) END AS status, v.note FROM n LEFT JOIN v USING (matter_id, position))"""
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of source 1 are marked as yet to be verified."""
     found = C.collected(view(spark, sf_dir, "authorities")).withColumn("certainty", F.when(F.col("source") == 1, "to_verify").otherwise("settled"))
-    return C.judged(found, view(spark, sf_dir, "verdicts"))
+    first = view(spark, sf_dir, "verdicts").withColumn("place", F.lit(0))
+    again = first.where("matter_id % 7 = 0").withColumns({"status": F.lit("verified"), "note": F.lit("seen again"), "place": F.lit(1)})
+    return C.judged(found, first.unionByName(again))
 
 
 @query(f"WITH {CITED} SELECT matter_id, position, key, citation, source FROM n")
@@ -382,11 +393,11 @@ def citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.integrity(C.verification(_judged(spark, sf_dir)))
 
 
-@query(f"""WITH {MATTERS}, n AS (SELECT *, coalesce(nullif(argued, 0), limbs) AS n FROM m), r AS (SELECT tier, median(CAST(cost_cents AS DOUBLE) / n) / 100 AS rate, count(*) AS samples FROM n WHERE status = 'complete' AND cost_cents > 0 AND n > 0 GROUP BY tier),
-    c AS (SELECT matter_id, m.tier, coalesce(samples >= 3, FALSE) AS learned, CASE WHEN samples >= 3 THEN rate * greatest(argued, 1) WHEN m.tier = 'draft' THEN 0.02 * greatest(argued, 1) + 0.01 ELSE 0.18 * greatest(argued, 1) + 0.12 END AS cost FROM m LEFT JOIN r USING (tier))
+@query(f"""WITH {MATTERS}, n AS (SELECT *, coalesce(nullif(argued, 0), limbs) AS n FROM m), r AS (SELECT {RAN} AS tier, median(CAST(cost_cents AS DOUBLE) / n) / 100 AS rate, count(*) AS samples FROM n WHERE status = 'complete' AND cost_cents > 0 AND n > 0 GROUP BY ALL), t AS (SELECT matter_id, argued, {RAN} AS tier FROM m),
+    c AS (SELECT matter_id, t.tier, coalesce(samples >= 3, FALSE) AS learned, CASE WHEN samples >= 3 THEN rate * argued WHEN t.tier = 'draft' THEN 0.02 * argued + 0.01 ELSE 0.18 * argued + 0.12 END AS cost FROM t LEFT JOIN r USING (tier))
     SELECT matter_id, tier, learned, round(cost, 4) AS usd, round(cost * 0.55, 4) AS low, round(cost * 1.45, 4) AS high, round(cost * 88, 2) AS inr FROM c""")
 def run_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matters = view(spark, sf_dir, "matters")
+    matters = _named_tiers(spark, sf_dir)
     rates = T.observed_rates(matters).select("tier", (F.col("rate_cents") / 100).alias("rate"), "samples")
     return D.estimates(matters, rates)
 
@@ -415,12 +426,18 @@ def annexures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.annexures(_sheets(spark, sf_dir))
 
 
-@query(f"""WITH {SHEETS}, k AS (SELECT matter_id, index, min(total) AS total FROM h GROUP BY ALL), a AS (SELECT o_orderkey AS matter_id, o_orderkey % 4 + 1 AS index, CASE o_orderkey % 3 WHEN 0 THEN 'contested' WHEN 1 THEN 'partial' ELSE 'bogus' END AS posture FROM orders)
-    SELECT matter_id, index, total, CASE WHEN posture IN ('contested', 'partial') THEN posture ELSE 'undecided' END AS posture, posture IS NOT NULL AS answered FROM k FULL JOIN a USING (matter_id, index)""")
+@query(f"""WITH {SHEETS}, k AS (SELECT matter_id, index, min(total) AS total, min(posture) AS own FROM h GROUP BY ALL), a AS (SELECT o_orderkey AS matter_id, o_orderkey % 4 + 1 AS index, o_orderkey, TRUE AS answered,
+        CASE o_orderkey % 3 WHEN 0 THEN 'explained' WHEN 1 THEN 'partial' ELSE 'bogus' END AS said FROM orders)
+    SELECT matter_id, index, total, CASE WHEN answered IS NULL THEN own WHEN said = 'bogus' THEN 'undecided' ELSE said END AS posture, CASE WHEN answered THEN CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END END AS submission, CASE WHEN answered AND o_orderkey % 5 <> 0 THEN '{{"reference":"R"}}' END AS payment,
+        CASE WHEN answered AND o_orderkey % 6 = 0 THEN '["x","y"]' WHEN total IS NOT NULL THEN '["held"]' END AS annexures, CASE WHEN total IS NOT NULL THEN 'read' END AS facts, answered IS NOT NULL AS answered FROM k FULL JOIN a USING (matter_id, index)""")
 def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limbs = view(spark, sf_dir, "sheets").groupBy("matter_id", "index").agg(F.min("total").alias("total")).withColumn("heading", F.lit(None).cast("string"))
-    answers = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS matter_id", "o_orderkey % 4 + 1 AS index", "CASE o_orderkey % 3 WHEN 0 THEN 'contested' WHEN 1 THEN 'partial' ELSE 'bogus' END AS posture")
-    return D.merged(limbs, answers, []).select("matter_id", "index", "total", "posture", "answered")
+    """Two answers on a limb: the first says b, the second a or nothing; payments come as objects or as words; annexures as lists, some of them empty."""
+    held = F.parse_json(F.lit('{"annexures": ["held"], "facts": "read"}'))
+    limbs = view(spark, sf_dir, "sheets").groupBy("matter_id", "index").agg(F.min("total").alias("total"), F.min("posture").alias("posture")).withColumns({"heading": F.lit(None).cast("string"), "held": held})
+    one = """'{"posture": "contested", "submission": "b", "payment": ' || CASE WHEN o_orderkey % 5 = 0 THEN '"paid"' ELSE '{"reference": "R"}' END || ', "annexures": ' || CASE WHEN o_orderkey % 6 = 0 THEN '["x", "y"]' ELSE '"none"' END || '}'"""
+    two = """'{"posture": "' || CASE o_orderkey % 3 WHEN 0 THEN 'explained' WHEN 1 THEN 'partial' ELSE 'bogus' END || '", "submission": "' || CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE '' END || '", "payment": {}, "annexures": [], "facts": null}'"""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("matter_id"), (F.col("o_orderkey") % 4 + 1).alias("index"), F.posexplode(F.expr(f"array({one}, {two})")).alias("place", "answer"))
+    return D.merged(limbs, rows.withColumn("answer", F.parse_json("answer"))).select("matter_id", "index", "total", "posture", "submission", "payment", "annexures", "facts", "answered")
 
 
 @query("SELECT CASE event_id % 6 WHEN 0 THEN TRUE ELSE FALSE END AS degraded, count(*) AS calls FROM events GROUP BY 1")
@@ -593,18 +610,18 @@ def determination_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LIMBED = f"""e AS (SELECT l_orderkey AS matter_id, l_linenumber AS index, 'Point ' || l_linenumber || ' of it' AS fragment, CASE l_partkey % 3 WHEN 0 THEN 'contested' WHEN 1 THEN 'partial' END AS posture FROM lineitem),
-    d AS (SELECT l_orderkey AS matter_id, CASE WHEN l_suppkey % 4 = 0 THEN l_linenumber + 10 ELSE l_linenumber END AS index, CASE WHEN l_suppkey % 8 = 0 THEN 'ON POINT-' || l_linenumber || ' OF IT' ELSE 'Nothing' END AS heading, CASE l_partkey % 2 WHEN 0 THEN 'contested' ELSE 'partial' END AS posture FROM lineitem)"""
+    d AS (SELECT l_orderkey AS matter_id, CASE WHEN l_suppkey % 4 = 0 THEN l_linenumber + 10 ELSE l_linenumber END AS index, CASE WHEN l_suppkey % 8 = 0 THEN CASE WHEN l_suppkey % 16 = 0 THEN 'ON POINT  ' ELSE 'ON POINT-' END || l_linenumber || ' OF IT' ELSE 'Nothing' END AS heading, CASE l_partkey % 2 WHEN 0 THEN 'contested' ELSE 'partial' END AS posture FROM lineitem)"""
 
 
 def _limbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     e = lines.selectExpr("l_orderkey AS matter_id", "l_linenumber AS index", "'Point ' || l_linenumber || ' of it' AS fragment", "CASE l_partkey % 3 WHEN 0 THEN 'contested' WHEN 1 THEN 'partial' END AS posture")
-    d = lines.selectExpr("l_orderkey AS matter_id", "CASE WHEN l_suppkey % 4 = 0 THEN l_linenumber + 10 ELSE l_linenumber END AS index", "CASE WHEN l_suppkey % 8 = 0 THEN 'ON POINT-' || l_linenumber || ' OF IT' ELSE 'Nothing' END AS heading", "CASE l_partkey % 2 WHEN 0 THEN 'contested' ELSE 'partial' END AS posture")
+    d = lines.selectExpr("l_orderkey AS matter_id", "CASE WHEN l_suppkey % 4 = 0 THEN l_linenumber + 10 ELSE l_linenumber END AS index", "CASE WHEN l_suppkey % 8 = 0 THEN CASE WHEN l_suppkey % 16 = 0 THEN 'ON POINT  ' ELSE 'ON POINT-' END || l_linenumber || ' OF IT' ELSE 'Nothing' END AS heading", "CASE l_partkey % 2 WHEN 0 THEN 'contested' ELSE 'partial' END AS posture")
     return e, d
 
 
 MATCHED = f"""{LIMBED}, p AS (SELECT matter_id, index, min(heading) AS heading, min(posture) AS got FROM d GROUP BY ALL), k AS (SELECT matter_id, index, min(fragment) AS fragment, min(posture) AS posture FROM e GROUP BY ALL),
-    h AS (SELECT k.matter_id, k.index, k.posture, coalesce((SELECT index FROM p WHERE p.matter_id = k.matter_id AND p.index = k.index), (SELECT min(p.index) FROM p WHERE p.matter_id = k.matter_id AND contains(regexp_replace(lower(p.heading), '[^a-z0-9]+', ' ', 'g'), lower(k.fragment)))) AS produced FROM k)"""
+    h AS (SELECT k.matter_id, k.index, k.posture, coalesce((SELECT index FROM p WHERE p.matter_id = k.matter_id AND p.index = k.index), (SELECT min(p.index) FROM p WHERE p.matter_id = k.matter_id AND contains(regexp_replace(lower(p.heading), '\\s+', ' ', 'g'), lower(k.fragment)))) AS produced FROM k)"""
 
 
 @query(f"WITH {MATCHED} SELECT matter_id, index, produced FROM h")
@@ -656,11 +673,11 @@ def limb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.limb_document(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS set_id", "l_linenumber AS doc_no", "l_partkey % 3 AS limbs"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS matter_id, l_linenumber AS index, unnest(['t' || l_partkey % 40, 't' || l_suppkey % 40]) AS tag FROM lineitem), a AS (SELECT p_partkey AS authority_id, CASE p_partkey % 3 WHEN 0 THEN 'filed' WHEN 1 THEN 'statute' ELSE 'text' END AS kind, 't' || p_partkey % 40 AS tag FROM part WHERE p_size < 20),
-    m AS (SELECT DISTINCT matter_id, index, authority_id, kind FROM l JOIN a USING (tag)) SELECT matter_id, index, authority_id, kind, row_number() OVER (PARTITION BY matter_id, index ORDER BY CASE kind WHEN 'filed' THEN 0 WHEN 'statute' THEN 1 ELSE 2 END, authority_id) AS rank FROM m QUALIFY rank <= 8""")
+@query("""WITH l AS (SELECT l_orderkey AS matter_id, l_linenumber AS index, unnest(['t' || l_partkey % 40, 't' || l_suppkey % 40]) AS tag FROM lineitem), a AS (SELECT p_partkey AS authority_id, CASE p_partkey % 3 WHEN 0 THEN 'filed' ELSE 'to_verify' END AS certainty, CASE p_partkey % 4 WHEN 1 THEN 'statute' ELSE 'case' END AS kind, unnest(list_distinct(['t' || p_partkey % 40, 't' || p_size])) AS tag FROM part),
+    m AS (SELECT DISTINCT matter_id, index, authority_id, certainty, kind FROM l JOIN a USING (tag)) SELECT *, row_number() OVER (PARTITION BY matter_id, index ORDER BY certainty <> 'filed', kind <> 'statute', authority_id) AS rank FROM m QUALIFY rank <= 8""")
 def limb_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     limbs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS matter_id", "l_linenumber AS index", "array('t' || l_partkey % 40, 't' || l_suppkey % 40) AS tags")
-    library = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 20").selectExpr("p_partkey AS authority_id", "CASE p_partkey % 3 WHEN 0 THEN 'filed' WHEN 1 THEN 'statute' ELSE 'text' END AS kind", "array('t' || p_partkey % 40) AS tags")
+    library = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS authority_id", "CASE p_partkey % 3 WHEN 0 THEN 'filed' ELSE 'to_verify' END AS certainty", "CASE p_partkey % 4 WHEN 1 THEN 'statute' ELSE 'case' END AS kind", "array('t' || p_partkey % 40, 't' || p_size) AS tags")
     return C.authorities_for(limbs, library)
 
 
@@ -672,22 +689,22 @@ def parsed_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLOTS = [("verifier", "m-1", "v1", 2000, None), ("chairman", "m-2", "v2", 16_000, None), ("draft", "m-3", "v0", 1000, 500.0), ("grounding", "m-none", "v3", 1000, None)]
-CANDIDATES = "c AS (SELECT 'm-' || p_partkey AS model_id, 'v' || p_partkey % 5 AS vendor, p_size * 600 AS context, CASE WHEN p_partkey % 7 = 0 THEN 0.0 ELSE CAST(p_partkey % 1000 AS DOUBLE) END AS price FROM part)"
+CANDIDATES = "c AS (SELECT 'm-' || p_partkey AS model_id, 'v' || p_partkey % 5 AS vendor, CASE p_partkey % 11 WHEN 3 THEN NULL WHEN 4 THEN 0 ELSE p_size * 600 END AS context, CASE WHEN p_partkey % 7 = 0 THEN 0.0 WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_partkey % 1000 AS DOUBLE) END AS price FROM part)"
 _slots = "s AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, {'NULL' if e is None else e})" for a, b, c, d, e in SLOTS) + ") v(slot, model_id, vendor, least_context, price_ceiling))"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     slots = spark.createDataFrame(SLOTS, "slot string, model_id string, vendor string, least_context int, price_ceiling double")
-    models = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("'m-' || p_partkey AS model_id", "'v' || p_partkey % 5 AS vendor", "p_size * 600 AS context", "CASE WHEN p_partkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(p_partkey % 1000 AS DOUBLE) END AS price")
+    models = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("'m-' || p_partkey AS model_id", "'v' || p_partkey % 5 AS vendor", "CASE p_partkey % 11 WHEN 3 THEN NULL WHEN 4 THEN 0 ELSE p_size * 600 END AS context", "CASE WHEN p_partkey % 7 = 0 THEN CAST(0 AS DOUBLE) WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_partkey % 1000 AS DOUBLE) END AS price")
     return slots, models
 
 
-@query(f"WITH {CANDIDATES}, {_slots} SELECT slot, s.model_id, CASE WHEN c.model_id IS NULL THEN 'MISSING' WHEN context < least_context OR coalesce(price > price_ceiling, FALSE) THEN 'WRONG SHAPE' ELSE 'OK' END AS verdict FROM s LEFT JOIN c USING (model_id)")
+@query(f"WITH {CANDIDATES}, {_slots} SELECT slot, s.model_id, CASE WHEN c.model_id IS NULL THEN 'MISSING' WHEN coalesce(context > 0 AND context < least_context, FALSE) OR coalesce(price > price_ceiling, FALSE) THEN 'WRONG SHAPE' ELSE 'OK' END AS verdict FROM s LEFT JOIN c USING (model_id)")
 def slot_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.verdicts(*_candidates(spark, sf_dir))
 
 
-@query(f"""WITH {CANDIDATES}, {_slots}, m AS (SELECT s.slot, c.*, coalesce(c.vendor = s.vendor, FALSE) AS own, CASE WHEN price_ceiling IS NOT NULL THEN price ELSE -context END AS cost FROM s JOIN c ON context >= least_context AND (price_ceiling IS NULL OR (price <= price_ceiling AND price > 0)))
+@query(f"""WITH {CANDIDATES}, {_slots}, m AS (SELECT s.slot, c.*, coalesce(c.vendor = s.vendor, FALSE) AS own, CASE WHEN price_ceiling IS NOT NULL THEN price ELSE -coalesce(context, 0) END AS cost FROM s JOIN c ON (coalesce(context, 0) = 0 OR context >= least_context) AND price > 0 AND (price_ceiling IS NULL OR price <= price_ceiling))
     SELECT slot, row_number() OVER (PARTITION BY slot ORDER BY own DESC, cost, model_id) AS rank, model_id FROM m QUALIFY rank <= 3""")
 def slot_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots, models = _candidates(spark, sf_dir)
