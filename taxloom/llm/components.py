@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, hub_join, settle
+from .scratch import discard, hub_join, lean, settle
 
 
 #: Edges that a task unites at once.
@@ -66,7 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     plain = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    now = settle(plain.coalesce(max(1, -(-edges.count() // EDGES))).mapInArrow(_union, "u long, v long").distinct())
+    now = settle(plain.coalesce(max(1, -(-edges.count() // EDGES))).mapInArrow(lean(_union), "u long, v long").distinct())
     while not _is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = hub_join(both, _least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()

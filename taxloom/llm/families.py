@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import discard, hub_join, runtime_filters, settle, small_join
+from .scratch import discard, hub_join, lean, runtime_filters, settle, small_join
 from .shingles import Shingles, pieces
 
 #: (hashes compared so far, least matches with which a pair goes on).
@@ -139,7 +139,7 @@ def candidates(sigs: DataFrame, hashes: int, rows: int, floors: Floors, block: i
         nodes = settle(members.select("node").distinct())
         own = small_join(sigs, nodes, "node", "left_semi").dropDuplicates(["node"])
         dealt = _dealt(members, "key", F.col("n"), block).join(own, "node").select("key", "bi", "bj", "node", "sig")
-        links = settle(dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_linker(hashes, floors), "a long, b long"))
+        links = settle(dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(lean(_linker(hashes, floors)), "a long, b long"))
     found = settle(components(links))
     discard(crowded, members, nodes, links)
     return found
@@ -246,7 +246,7 @@ def classes(texts: DataFrame, sigs: DataFrame, shingle: Callable, hashes: int, r
         """members: node, text, root, bi, bj, own, group."""
         dealt = members.join(own, "node").select("root", "bi", "bj", "own", "node", "group", "sig", "text")
         with runtime_filters(spark):  # most texts have no near text; they needn't be shuffled to learn that
-            return settle(dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_verifier(shingle, hashes, floors, threshold, counting), "a long, b long, links long"))
+            return settle(dealt.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(lean(_verifier(shingle, hashes, floors, threshold, counting)), "a long, b long, links long"))
 
     text = lambda of: small_join(texts, of, "node").select("node", "text", *[c for c in of.columns if c != "node"]).mapInArrow(once, f"node long, text string, {', '.join(f'{c} long' for c in of.columns if c != 'node')}")
     if counting:

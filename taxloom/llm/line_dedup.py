@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .families import classes, posterior_floors
-from .scratch import discard, hub_join, runtime_filters, settle
+from .scratch import discard, hub_join, lean, runtime_filters, settle
 from .shingles import Shingles, char_shingles, pieces, signatures
 
 LINES = "doc_id long, text_hash long, line_no int, node long, sig binary, line string"
@@ -66,7 +66,7 @@ def repeated_lines(docs: DataFrame, *, size: int = 8, threshold: float = 0.8, ha
     """
     shingle = partial(char_shingles, size=size)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text")
-    lines = settle(texts.mapInArrow(_split(shingle, hashes), LINES))
+    lines = settle(texts.mapInArrow(lean(_split(shingle, hashes)), LINES))
     signed = lines.where("sig is not null")
     near = classes(signed.select("node", F.col("line").alias("text")), signed.select("node", "sig"), shingle, hashes, rows, posterior_floors(threshold, 1e-4, hashes, hashes // 2), threshold, counting=False)
     at = F.struct("doc_id", "text_hash", "line_no")

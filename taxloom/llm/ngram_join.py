@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .families import classes, posterior_floors
-from .scratch import hub_join, settle
+from .scratch import hub_join, lean, settle
 from .shingles import signer, word_shingles
 
 
@@ -46,7 +46,7 @@ def _near(docs: DataFrame, words: int, threshold: float, tolerance: float, hashe
     """(node, root, links) of texts with a near text."""
     texts = docs.select(_node(text_col), F.col(text_col).alias("text"))
     shingle = partial(word_shingles, size=words)
-    sigs = settle(texts.mapInArrow(signer(shingle, hashes), "node long, sig binary"))
+    sigs = settle(texts.mapInArrow(lean(signer(shingle, hashes)), "node long, sig binary"))
     return classes(texts, sigs, shingle, hashes, rows, posterior_floors(threshold, tolerance, hashes, 16), threshold, counting=counting)
 
 

@@ -27,7 +27,7 @@ class Encoder(dict):
     are recovered backwards.
     """
 
-    def __init__(self, model: str, most: int = 500_000) -> None:
+    def __init__(self, model: str, most: int = 500_000, most_pairs: int = 2_000_000) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -44,6 +44,7 @@ class Encoder(dict):
             self.matcher.add_word(p, (p, len(p), {"": p}))  # what is known of the pieces that may follow it; its own name stands under ""
         self.matcher.make_automaton()
         self.most, self.older = most, {}
+        self.most_pairs, self.pairs, self.filled = most_pairs, 0, []
         self.chunk, self.finer = self._cuts()
 
     def _cuts(self) -> tuple[re.Pattern, re.Pattern]:
@@ -98,7 +99,8 @@ class Encoder(dict):
                     one = last[end - size] = {"": chunk[end - size]}
                 known = one.get(piece)
                 if known is None:
-                    known = one[piece] = self.compatible(one[""], piece)
+                    known = self.compatible(one[""], piece)
+                    self._remember(one, piece, known)
                 if known:
                     last[end] = after
         at, found = len(chunk) - 1, []
@@ -107,6 +109,19 @@ class Encoder(dict):
             at -= len(found[-1])
         return found[::-1]
 
+    def _remember(self, one: dict, piece: str, known: bool) -> None:
+        """Keeps what a test found; beyond most_pairs all that were found before are forgotten, so that a worker's memory is bounded."""
+        if self.pairs >= self.most_pairs:
+            for table in self.filled:
+                own = table[""]
+                table.clear()
+                table[""] = own
+            self.pairs, self.filled = 0, []
+        if len(one) == 1:
+            self.filled.append(one)
+        one[piece] = known
+        self.pairs += 1
+
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         found = self.older.pop(chunk, None)
         if found is None:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import BATCHES, settings, settle
+from .scratch import BATCHES, lean, settings, settle
 from .shingles import pieces
 
 #: What is measured of a text; see statistics() for each.
@@ -100,7 +100,7 @@ def fit(measured: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float
     Each class covariance is shrunk towards the pooled one, then towards its own diagonal, and gets
     a floor on the diagonal, so that it has a Cholesky factor. Only sums, of a fixed size, reach the driver.
     """
-    cells = measured.select("label", "x").mapInArrow(_sums, "label int, i int, j int, v double").groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()
+    cells = measured.select("label", "x").mapInArrow(lean(_sums), "label int, i int, j int, v double").groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect()
     d = max((c.i for c in cells), default=0) + 1
     moments = np.zeros((2, d, d))
     for c in cells:
@@ -130,7 +130,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """(doc_id, x) of every whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_measure), "doc_id long, x array<double>")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -178,4 +178,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     """The rows of docs, unchanged, whose score by the model of quality_scores is least or more; null, empty and repeated rows as there."""
     with settings(docs.sparkSession, BATCHES):
         model = learn(measure(docs), labels)
-    return settle(docs.mapInArrow(_keeper(model, docs.columns.index("text"), least), docs.schema))
+    return settle(docs.mapInArrow(lean(_keeper(model, docs.columns.index("text"), least)), docs.schema))

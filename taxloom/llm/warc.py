@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BATCHES, folder, settings, settle
+from .scratch import BATCHES, folder, settings, settle, small_join
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -87,18 +87,26 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0, chunk_b
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
     shared = rows.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    named = rows.join(shared, "sha1", "left").withColumn("refers_to", F.expr("nullif(last, page_id)")).select("page_id", "url", "payload", "sha1", "refers_to")
+    # only digests that repeat, and ids, meet their rows: payloads aren't shuffled, and the rows of a common one stay where they are
+    named = small_join(rows, settle(shared), "sha1", "left").withColumn("refers_to", F.expr("nullif(last, page_id)")).select("page_id", "url", "payload", "sha1", "refers_to")
     with settings(pages.sparkSession, BATCHES):
         named.mapInArrow(_archive(chunk_bytes), "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", file_chunks).text(path)
 
 
+#: Bytes of an archive that are unpacked at once.
+SLICE = 1 << 14
+
+
 def _parsed(content: bytes) -> Iterator[tuple[int, int, dict, dict, bytes]]:
     """(offset, length, WARC head, HTTP head, payload) of each record of an archive."""
-    at, data, start = 0, b"", 0
+    at, data, start, view = 0, b"", 0, memoryview(content)
     while at < len(content):
-        member = zlib.decompressobj(31)
-        data += member.decompress(content[at:] if at == 0 else memoryview(content)[at:])
-        at = len(content) - len(member.unused_data)
+        member, parts = zlib.decompressobj(31), [data]
+        while not member.eof and at < len(view):  # slices, as what follows a member is handed back as a copy
+            part = view[at : at + SLICE]
+            parts.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+        data = b"".join(parts)
         while (cut := data.find(b"\r\n\r\n")) >= 0:
             head = dict(x.split(": ", 1) for x in data[:cut].decode().split("\r\n")[1:])
             end = cut + 4 + int(head["Content-Length"])

@@ -1,9 +1,11 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables, and brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -334,6 +336,30 @@ def test_url_key(url, key):
     assert warc.url_key(url) == key
 
 
+def test_archives_are_read_in_linear_time():
+    head = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {}\r\n\r\n"
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: 40\r\n\r\n" + b"x" * 40
+    record = gzip.compress(head.format(len(body)).encode() + body + b"\r\n\r\n")
+    began = time.process_time()
+    found = list(warc._parsed(record * 40_000))
+    assert time.process_time() - began < 10 and len(found) == 40_000
+    assert [f[:2] for f in found[:3]] == [(i * len(record), len(record)) for i in range(3)] and found[-1][4] == b"x" * 40
+    long = b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(1).randbytes(200_000)
+    large = gzip.compress(head.format(len(long)).encode() + long + b"\r\n\r\n")
+    assert [len(f[4]) for f in warc._parsed(large + record + large)] == [200_000, 40, 200_000]
+
+
+def test_pair_tables_are_bounded():
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    small, free = Encoder(model, most=4, most_pairs=50), Encoder(model)
+    for i in range(40):
+        text = words(i, 30)
+        assert small.encode(text) == free.encode(text) == free.model.encode(text)
+        assert small.pairs <= 50 and sum(len(t) - 1 for t in small.filled) == small.pairs
+
+
 def test_warc_members():
     record = b"WARC/1.1\r\nContent-Length: 40000004\r\n\r\n" + b"\r\n\r\n" + bytes(40_000_000) + b"\r\n\r\n"
     data = warc._members(record)
