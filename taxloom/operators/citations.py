@@ -51,10 +51,23 @@ def judged(citations: DataFrame, verdicts: DataFrame) -> DataFrame:
     return said.withColumn("status", F.when((valid == "VERIFIED") & (F.col("certainty") == "to_verify"), "UNVERIFIED").otherwise(valid)).drop("said")
 
 
+# What is said of citations that weren't found, are superseded, are yet to be confirmed, or are all good.
+NOT_FOUND_NOTE = " could not be located and must be removed or replaced before filing"
+SUPERSEDED_NOTE = " no longer represent the current position and must not be relied on as cited"
+UNVERIFIED_NOTE = "No fabricated or superseded authorities detected. Items marked UNVERIFIED still require manual confirmation before filing."
+VERIFIED_NOTE = "All authorities were traced, support the propositions cited, and appear to remain good law."
+
+
+def _note() -> Column:
+    part = lambda c, said: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(said)))
+    wrong = F.concat_ws("; ", part("not_found", NOT_FOUND_NOTE), part("superseded", SUPERSEDED_NOTE))
+    return F.when(wrong != "", F.concat(F.lit("Of the authorities checked, "), wrong, F.lit("."))).when(F.col("unverified") > 0, UNVERIFIED_NOTE).otherwise(VERIFIED_NOTE)
+
+
 def verification(judged: DataFrame) -> DataFrame:
-    """Counts by status of each matter, and the most serious status there is: not found, superseded, unverified, or verified."""
+    """Counts by status of each matter, the most serious status there is (not found, superseded, unverified, or verified), and a sentence that says so."""
     counts = judged.groupBy("matter_id").agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES], F.count("*").alias("total"))
-    return counts.withColumn("worst", F.when(F.col("not_found") > 0, "NOT_FOUND").when(F.col("superseded") > 0, "SUPERSEDED").when(F.col("unverified") > 0, "UNVERIFIED").otherwise("VERIFIED"))
+    return counts.withColumn("worst", F.when(F.col("not_found") > 0, "NOT_FOUND").when(F.col("superseded") > 0, "SUPERSEDED").when(F.col("unverified") > 0, "UNVERIFIED").otherwise("VERIFIED")).withColumn("note", _note())
 
 
 def _verified(judged: DataFrame) -> DataFrame:

@@ -64,8 +64,9 @@ def problems(limbs: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.size("annexures"), F.lit(0)) <= 0, "no_annexure"),
         F.when(gap, "evidence_gap"),
     ))
-    rows = limbs.select("matter_id", "index", F.posexplode(found).alias("at", "problem"))
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy("matter_id").orderBy("index", "at"))).drop("at")
+    order = F.array_position(F.array(*[F.lit(p) for p in ("no_posture", "paid_without_reference", "partial_without_split", "split_off", "no_annexure", "evidence_gap")]), F.col("problem"))
+    rows = limbs.select("matter_id", "index", F.explode(found).alias("problem"))
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("matter_id").orderBy("index", order)))
 
 
 def annexures(limbs: DataFrame) -> DataFrame:

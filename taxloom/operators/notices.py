@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY
 from ..plans.dimensions import NOTICE_TYPES, notice_types
 from ..plans.places import PLACES, places
+from ..plans.limb_types import catalogue as known_types
+from ..plans.limb_types import limb_types
 from .filing import snippet_at
 from .intake import CODES, DIRECTION, DIRECTION_LOOKBACK, GSTIN, NAME, NAME_LABEL, Scanned, as_date, best_form, compact, office, scan, years
 from .limbs import Catalogue, figure_of, head_order, let, limbs_of, money, printed_total
@@ -211,3 +213,9 @@ def typed(limbs: DataFrame, catalogue: list[tuple[str, list[str]]]) -> DataFrame
         return limbs.withColumn("type", F.lit(None).cast("string"))
     best = limbs.withColumn("_best", F.array_max(F.array(*entries)))
     return best.withColumn("type", F.when(F.col("_best.score") > 0, F.col("_best.type"))).drop("_best")
+
+
+def catalogued(limbs: DataFrame) -> DataFrame:
+    """Adds what the catalogue knows of each limb's type: type (other where nothing matches), label, statute, sections, rules, posture, tags."""
+    found = typed(limbs, known_types()).withColumn("type", F.coalesce("type", F.lit("other")))
+    return found.join(F.broadcast(limb_types(limbs.sparkSession)), "type")

@@ -17,6 +17,7 @@ from .operators import notices as N
 from .operators import reconcile as R
 from .operators import talk as K
 from .plans.dimensions import BUCKETS, BY_NAME, NOTICE_TYPES, PENALTY_STAGES
+from .plans.limb_types import LIMB_TYPES
 from .plans.places import PLACES
 from .sources.views import AS_ON, FIRST, HEAD, OFF, SECOND, view, view_sql
 from .streaming.lockout import lockouts_batch
@@ -206,7 +207,7 @@ _kinds = " UNION ALL ".join(f"SELECT '{label}' AS label, sum(n) AS matches, coun
 @query(_kinds)
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds whose patterns the SQL's engine has too; phone and account numbers stand in all_leaks."""
-    return K.audit_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").where(F.col("label").isin(*_ascii))
+    return K.audit_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", labels=list(_ascii))
 
 
 @query()
@@ -300,6 +301,26 @@ def notice_limbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("notice_id", "index", "heading", "basis", F.col("total").cast("double").alias("total"), head("cgst"), head("igst"))
 
 
+#: Headings of limbs in the departments' words, and their types.
+HEADINGS = [
+    ("Short payment of tax on outward supply", "outward_short_payment"), ("Turnover mismatch", "turnover_difference"), ("Credit notes issued late", "credit_notes"), ("Input tax credit availed in excess of that in GSTR-2B", "itc_excess_2b"), ("Blocked credit", "itc_blocked_17_5"),
+    ("Denial under Section 16 (4)", "itc_time_limit"), ("Suppliers who have not filed returns", "itc_supplier_default"), ("Reversal under Rule 42", "itc_common_credit"), ("Not paid in 180 days", "itc_180_days"), ("RCM short paid", "rcm"), ("LATE  FEE", "late_fee"),
+    ("Interest on belated payment", "interest_delayed_payment"), ("E-invoices without IRN", "einvoice"), ("General penalty", "penalty_general"), ("E-way bill expired", "eway_bill"), ("HSN is wrong", "classification"), ("Open market value", "valuation"), ("Tax under the wrong head", "place_of_supply"),
+    ("REG-17", "registration"), ("Refund is rejected", "refund_rejection"), ("Another matter", "other"),
+]
+_headings = "CASE l_partkey % 21 " + " ".join(f"WHEN {i} THEN '{h}'" for i, (h, _) in enumerate(HEADINGS)) + " END"
+_types = ", ".join(f"({i}, '{t[0]}', '{t[3]}', '{','.join(t[4])}', '{','.join(t[5])}', '{t[6]}', '{','.join([*t[7], t[0]])}')" for i, (_, key) in enumerate(HEADINGS) for t in LIMB_TYPES if t[0] == key)
+
+
+@query(f"""WITH t(n, type, statute, sections, rules, posture, tags) AS (VALUES {_types}) SELECT l_orderkey AS notice_id, l_linenumber AS index, t.* EXCLUDE (n) FROM lineitem JOIN t ON l_partkey % 21 = n""")
+def limb_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limbs by the catalogue; bodies tell of another type, which counts for less than the heading, and for nothing where it's none."""
+    body = "CASE WHEN l_partkey % 21 = 20 THEN 'nothing more' ELSE 'Late fee is due. See rule 37.' END AS body"
+    limbs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS notice_id", "l_linenumber AS index", f"{_headings} AS heading", body)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return N.catalogued(limbs).select("notice_id", "index", "type", "statute", joined("sections"), joined("rules"), "posture", joined("tags"))
+
+
 CHECKED = f"""r AS (SELECT *, {_scan} AS scan, {FIRST} AS one, {SECOND} AS two, {OFF} AS more FROM orders),
     s AS (SELECT *, CASE WHEN one IS NULL AND two IS NULL THEN NULL ELSE coalesce(one, 0) + coalesce(two, 0) END AS sums, coalesce(one, 0) + coalesce(two, 0) + more AS said FROM r),
     e AS (SELECT *, CASE WHEN scan OR said < 10 OR coalesce(abs(said - one) <= 2, FALSE) OR coalesce(abs(said - two) <= 2, FALSE) THEN NULL ELSE said END AS kept FROM s),
@@ -347,7 +368,9 @@ def judged_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CITED} SELECT matter_id, count(*) FILTER (status = 'VERIFIED') AS verified, count(*) FILTER (status = 'SUPERSEDED') AS superseded, count(*) FILTER (status = 'UNVERIFIED') AS unverified,
     count(*) FILTER (status = 'NOT_FOUND') AS not_found, count(*) AS total,
-    CASE WHEN bool_or(status = 'NOT_FOUND') THEN 'NOT_FOUND' WHEN bool_or(status = 'SUPERSEDED') THEN 'SUPERSEDED' WHEN bool_or(status = 'UNVERIFIED') THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS worst FROM j GROUP BY matter_id""")
+    CASE WHEN bool_or(status = 'NOT_FOUND') THEN 'NOT_FOUND' WHEN bool_or(status = 'SUPERSEDED') THEN 'SUPERSEDED' WHEN bool_or(status = 'UNVERIFIED') THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS worst,
+    CASE WHEN bool_or(status IN ('NOT_FOUND', 'SUPERSEDED')) THEN 'Of the authorities checked, ' || concat_ws('; ', CASE WHEN bool_or(status = 'NOT_FOUND') THEN count(*) FILTER (status = 'NOT_FOUND') || '{C.NOT_FOUND_NOTE}' END, CASE WHEN bool_or(status = 'SUPERSEDED') THEN count(*) FILTER (status = 'SUPERSEDED') || '{C.SUPERSEDED_NOTE}' END) || '.'
+        WHEN bool_or(status = 'UNVERIFIED') THEN '{C.UNVERIFIED_NOTE}' ELSE '{C.VERIFIED_NOTE}' END AS note FROM j GROUP BY matter_id""")
 def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.verification(_judged(spark, sf_dir))
 
@@ -411,9 +434,9 @@ SHEETS = f"h AS ({view_sql('sheets')})"
         UNION ALL SELECT matter_id, index, 2, 'partial_without_split' FROM x WHERE posture = 'partial' AND accepted IS NULL AND disputed IS NULL
         UNION ALL SELECT matter_id, index, 3, 'split_off' FROM x WHERE posture = 'partial' AND coalesce(accepted, 0) + coalesce(disputed, 0) > 0 AND abs(coalesce(accepted, 0) + coalesce(disputed, 0) - total) > 1
         UNION ALL SELECT matter_id, index, 4, 'no_annexure' FROM x WHERE bare = 1 UNION ALL SELECT matter_id, index, 5, 'evidence_gap' FROM x WHERE bare = 1)
-    SELECT problem, count(*) AS limbs, count(DISTINCT matter_id) AS matters FROM p GROUP BY problem""")
+    SELECT matter_id, index, problem, row_number() OVER (PARTITION BY matter_id ORDER BY index, p."at") AS number FROM p""")
 def limb_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.problems(_sheets(spark, sf_dir)).groupBy("problem").agg(F.count("*").alias("limbs"), F.count_distinct("matter_id").alias("matters"))
+    return D.problems(_sheets(spark, sf_dir))
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,10 @@ VIEWS: dict[str, tuple[list, dict[str, str]]] = {
 }
 
 
+#: Views whose rows are worked on long enough to be worth a shuffle first.
+HEAVY = ("notices", "register_lines")
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """A table of fewer pieces than there are cores, such as one row group, dealt out before its rows are worked on; only the columns in use are moved."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -149,7 +153,8 @@ def _spread(df: DataFrame) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; the joined tables are dimensions, whose size Spark knows before it broadcasts one."""
     (first, *joins), columns = VIEWS[name]
-    df = _spread(spark.read.parquet(f"{sf_dir}/{first}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{first}.parquet")
+    df = _spread(df) if name in HEAVY else df
     for table, left, right in joins:
         df = df.join(spark.read.parquet(f"{sf_dir}/{table}.parquet"), F.col(left) == F.col(right))
     return df.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
