@@ -29,15 +29,43 @@ def in_text(text: Column) -> Column:
     return F.filter(found, lambda c, i: F.array_position(keys, key(c)) == i + 1)
 
 
+def authority_sources(determinations: DataFrame) -> DataFrame:
+    """All that a determination cites, as one stream in the order in which it counts: its table, then of each limb its list, its framework and its prose, then the matter's prose.
+
+    determinations: matter_id, authorities (array of citation, proposition, certainty), defects (array of index, heading, authorities, legal_framework (array of provision, relevance),
+    submission, facts, our_position), preliminary_submissions, lead_argument, unstructured_output. Gives matter_id, source (0, as place alone orders), place, kind, citation,
+    proposition, certainty (asserted if none is stated), defect_index, defect_heading: rows for collected(). One unnest of tagged arrays; blank citations go.
+    """
+    none = F.lit(None)
+
+    def row(kind: str, citation: Column, proposition: Column, certainty: Column, limb: Column | None = None) -> Column:
+        of = (none.cast("int"), none.cast("string")) if limb is None else (limb["index"].cast("int"), limb["heading"])
+        return F.struct(F.lit(kind).alias("kind"), F.btrim(citation, F.lit(" \n\t\r")).alias("citation"), F.coalesce(proposition, F.lit("")).alias("proposition"), F.coalesce(F.nullif(certainty, F.lit("")), F.lit("asserted")).alias("certainty"), of[0].alias("defect_index"), of[1].alias("defect_heading"))
+
+    empty = F.array().cast("array<struct<kind:string,citation:string,proposition:string,certainty:string,defect_index:int,defect_heading:string>>")
+    some = lambda rows: F.coalesce(rows, empty)
+    listed = lambda rows, kind, limb=None: some(F.transform(rows, lambda a: row(kind, a["citation"], a["proposition"], a["certainty"], limb)))
+    said = lambda text, limb=None: some(F.transform(in_text(text), lambda c: row("filed_text", c, none.cast("string"), none.cast("string"), limb)))
+
+    def of_limb(d: Column) -> Column:
+        framework = some(F.transform(d["legal_framework"], lambda e: row("legal_framework", e["provision"], e["relevance"], none.cast("string"), d)))
+        return F.flatten(F.array(listed(d["authorities"], "defect", d), framework, *[said(d[c], d) for c in ("submission", "facts", "our_position")]))
+
+    prose = [said(F.col(c)) for c in ("preliminary_submissions", "lead_argument", "unstructured_output")]
+    every = F.flatten(F.array(listed(F.col("authorities"), "authorities_table"), some(F.flatten(F.transform("defects", of_limb))), *prose))
+    return determinations.select("matter_id", F.posexplode(F.filter(every, lambda a: a["citation"] != "")).alias("place", "a")).select("matter_id", F.lit(0).alias("source"), "place", "a.*")
+
+
 def collected(sources: DataFrame, most: int = MOST) -> DataFrame:
-    """sources: matter_id, source (its rank: 0 comes first), place, citation. Each citation of a matter once, from its first source; the first `most`, numbered from 0.
+    """sources: matter_id, source (its rank: 0 comes first), place, citation, and what authority_sources() adds. Each citation of a matter once, from its first source; the first `most`, numbered from 0.
 
     Copies are folded by a minimum before the shuffle; the window sees different citations only.
     """
     said = sources.where(F.length(F.trim("citation")) > 0).withColumn("key", key(F.col("citation")))
-    once = said.groupBy("matter_id", "key").agg(F.min(F.struct("source", "place", "citation")).alias("m"))
+    more = [c for c in ("kind", "proposition", "certainty", "defect_index", "defect_heading") if c in sources.columns]
+    once = said.groupBy("matter_id", "key").agg(F.min(F.struct("source", "place", "citation", *more)).alias("m"))
     number = F.row_number().over(Window.partitionBy("matter_id").orderBy("m.source", "m.place", "key")) - 1
-    return once.withColumn("position", number).where(F.col("position") < most).select("matter_id", "position", "key", "m.citation", "m.source")
+    return once.withColumn("position", number).where(F.col("position") < most).select("matter_id", "position", "key", "m.citation", "m.source", *[f"m.{c}" for c in more])
 
 
 def judged(citations: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -116,10 +116,10 @@ def verdicts(slots: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def redacted(matters: DataFrame, costs: bool, deliberation: bool) -> DataFrame:
-    """What a role may see: without costs no usage or cost columns, without deliberation no analyses or cross-examinations."""
+    """What a role may see: without costs no usage or cost columns, without deliberation empty analyses and cross-examinations."""
     out = matters if costs else matters.drop("usage", "cost", "cost_cents", "tokens")
-    hidden = [c for c in ("analyses", "cross_exams") if c in out.columns]
-    return out if deliberation else out.drop(*hidden).withColumn("deliberation_hidden", F.lit(True))
+    blank = {c: F.array().cast(t) if t.startswith("array") else F.lit("").cast(t) for c, t in out.dtypes if c in ("analyses", "cross_exams")}
+    return out if deliberation else out.withColumns(blank).withColumn("deliberation_hidden", F.lit(True))
 
 
 def _balanced(text: str | None) -> str | None:

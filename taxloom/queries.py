@@ -356,6 +356,24 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.judged(found, first.unionByName(again))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS matter_id, o_orderkey % 5 AS k FROM orders),
+    r AS (SELECT matter_id, 0 AS position, '(2023) ' || k || ' GSTL 7' AS citation, 'authorities_table' AS kind, CASE WHEN k % 2 = 1 THEN 'settled' ELSE 'asserted' END AS certainty, NULL AS defect_index, NULL AS defect_heading FROM o
+        UNION ALL SELECT matter_id, 1, 'AIR 2020 SC 5', 'defect', 'to_verify', 1, 'First' FROM o
+        UNION ALL SELECT matter_id, 2, 'Section 16', 'legal_framework', 'asserted', 1, 'First' FROM o
+        UNION ALL SELECT matter_id, 3, '(2021) 3 STR 9', 'filed_text', 'asserted', 1, 'First' FROM o
+        UNION ALL SELECT matter_id, 4, 'AIR 2019 SC ' || k, 'filed_text', 'asserted', 2, 'Second' FROM o
+        UNION ALL SELECT matter_id, 5, 'Circular No. 12/3/2020', 'filed_text', 'asserted', NULL, NULL FROM o WHERE k % 2 = 0) SELECT * FROM r""")
+def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What nested determinations cite in lists, frameworks and prose: each citation once, from where it's first said."""
+    nested = """SELECT o_orderkey AS matter_id, array(named_struct('citation', '(2023) ' || o_orderkey % 5 || ' GSTL 7', 'proposition', 'p', 'certainty', CASE WHEN o_orderkey % 5 % 2 = 1 THEN 'settled' ELSE '' END), named_struct('citation', ' ', 'proposition', 'p', 'certainty', 'x')) AS authorities,
+        array(named_struct('index', 1, 'heading', 'First', 'authorities', array(named_struct('citation', ' (2023)  ' || o_orderkey % 5 || ' gstl 7', 'proposition', 'q', 'certainty', 'settled'), named_struct('citation', 'AIR 2020 SC 5', 'proposition', NULL, 'certainty', 'to_verify')),
+                'legal_framework', array(named_struct('provision', 'Section 16', 'relevance', 'r')), 'submission', 'See (2021) 3 STR 9, and AIR 2020 SC 5.', 'facts', NULL, 'our_position', ''),
+            named_struct('index', 2, 'heading', 'Second', 'authorities', NULL, 'legal_framework', NULL, 'submission', 'none', 'facts', 'As in AIR 2019 SC ' || o_orderkey % 5, 'our_position', NULL)) AS defects,
+        CASE WHEN o_orderkey % 5 % 2 = 0 THEN 'By Circular No. 12/3/2020 it is so' END AS preliminary_submissions, '' AS lead_argument, CAST(NULL AS STRING) AS unstructured_output FROM {t}"""
+    found = C.collected(C.authority_sources(spark.sql(nested, t=spark.read.parquet(f"{sf_dir}/orders.parquet"))))
+    return found.select("matter_id", "position", "citation", "kind", "certainty", "defect_index", "defect_heading")
+
+
 @query(f"WITH {CITED} SELECT matter_id, position, key, citation, source FROM n")
 def collected_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.collected(view(spark, sf_dir, "authorities"))

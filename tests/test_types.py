@@ -34,7 +34,9 @@ def test_guard_in_one_pass(spark, tmp_path):
 
 def test_what_a_role_sees_and_files(spark, tmp_path):
     m = spark.createDataFrame([(1, 2, "x", "y")], "id int, cost int, analyses string, verdict string")
-    assert desk.redacted(m, True, True).columns == m.columns and desk.redacted(m, False, False).columns == ["id", "verdict", "deliberation_hidden"]
+    assert desk.redacted(m, True, True).columns == m.columns and tuple(desk.redacted(m, False, False).first()) == (1, "", "y", True)
+    lists = m.withColumn("analyses", F.array("analyses"))
+    assert desk.redacted(lists, True, False).first().analyses == []
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "a.txt").write_text("FORM GST DRC-01\nGSTIN 33AAAAA0001A1Z5")
     read = files.read_notices(spark, str(tmp_path / "n"))
