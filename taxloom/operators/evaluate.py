@@ -118,12 +118,19 @@ def determination_integrity(results: DataFrame) -> DataFrame:
 
 
 def limb_coverage(expected: DataFrame, produced: DataFrame) -> DataFrame:
-    """expected: matter_id, index, fragment, posture; produced: matter_id, index, heading, posture. By matter: limbs expected, found (see matched_limbs()) and of the right posture, and their shares; passed if all are found."""
+    """expected: matter_id, index, fragment, posture; produced: matter_id, index, heading, posture. By matter: limbs expected, found (see matched_limbs()) and of the right posture, and their shares; passed if all are found.
+
+    missed: fragments (or, without one, indexes) of limbs not found; posture_errors: the fragment, the posture wanted and got of those found with another one. Both by index.
+    """
     expected = expected.groupBy("matter_id", "index").agg(F.min("fragment").alias("fragment"), F.min("posture").alias("posture"))
     hits = matched_limbs(expected, produced)
     stated = produced.groupBy("matter_id", F.col("index").alias("produced")).agg(F.min("posture").alias("got"))
     rows = expected.join(hits, ["matter_id", "index"]).join(stated, ["matter_id", "produced"], "left")
-    sums = rows.groupBy("matter_id").agg(F.count("*").alias("expected"), F.count("produced").alias("found"), F.count_if(F.col("got") == F.col("posture")).alias("posture_matches"))
+    rows = rows.withColumn("name", F.coalesce(F.nullif("fragment", F.lit("")), F.col("index").cast("string")))
+    lost, off = F.col("produced").isNull(), F.col("produced").isNotNull() & F.col("posture").isNotNull() & ~F.col("got").eqNullSafe(F.col("posture"))
+    listed = lambda when, *columns: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("index", F.struct(*columns).alias("of"))))), lambda x: x["of"])
+    sums = rows.groupBy("matter_id").agg(F.count("*").alias("expected"), F.count("produced").alias("found"), F.count_if(F.col("got") == F.col("posture")).alias("posture_matches"), listed(lost, "name").alias("missed"), listed(off, "name", F.col("posture").alias("expected"), "got").alias("posture_errors"))
+    sums = sums.withColumn("missed", F.transform("missed", lambda m: m["name"]))
     return sums.select("*", F.round(F.col("found") / F.col("expected"), 3).alias("rate"), F.round(F.col("posture_matches") / F.col("expected"), 3).alias("posture_rate"), (F.col("found") == F.col("expected")).alias("passed"))
 
 

@@ -674,9 +674,12 @@ def matched_limbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 COVERED = f"{MATCHED}, c AS (SELECT h.matter_id, count(*) AS expected, count(produced) AS found, count(*) FILTER (got = posture) AS posture_matches FROM h LEFT JOIN p ON p.matter_id = h.matter_id AND p.index = h.produced GROUP BY h.matter_id)"
 
 
-@query(f"WITH {COVERED} SELECT *, round(found / expected, 3) AS rate, round(posture_matches / expected, 3) AS posture_rate, found = expected AS passed FROM c")
+@query(f"""WITH {COVERED}, x AS (SELECT h.matter_id, string_agg('Point ' || h.index || ' of it', ',' ORDER BY h.index) FILTER (h.produced IS NULL) AS missed,
+        string_agg('Point ' || h.index || ' of it: ' || h.posture || ' > ' || p.got, ',' ORDER BY h.index) FILTER (h.produced IS NOT NULL AND h.posture IS NOT NULL AND p.got <> h.posture) AS errors FROM h LEFT JOIN p ON p.matter_id = h.matter_id AND p.index = h.produced GROUP BY h.matter_id)
+    SELECT c.*, round(found / expected, 3) AS rate, round(posture_matches / expected, 3) AS posture_rate, found = expected AS passed, coalesce(missed, '') AS missed, coalesce(errors, '') AS posture_errors FROM c JOIN x USING (matter_id)""")
 def limb_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.limb_coverage(*_limbed(spark, sf_dir))
+    errors = F.array_join(F.transform("posture_errors", lambda e: F.concat(e["name"], F.lit(": "), e["expected"], F.lit(" > "), e["got"])), ",")
+    return E.limb_coverage(*_limbed(spark, sf_dir)).withColumns({"missed": F.array_join("missed", ","), "posture_errors": errors})
 
 
 @query(f"""WITH {RATED}, z AS (SELECT matter_id, NOT (matter_id % 4 = 0) AND coalesce(text, '') <> '' AND matter_id % 7 <> 0 AND matter_id % 13 <> 0 AND matter_id % 11 <> 0 AS passed FROM i), s AS (SELECT matter_id, CASE WHEN matter_id % 3 <> 0 THEN coalesce(contains(lower(text), 'resist it'), FALSE) AND contains(lower(text), 'limb') END AS passed FROM i)
