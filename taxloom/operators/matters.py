@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..plans.dimensions import penalty_stages as stages_of
+from .selection import medians
 
 HEADS = ("igst", "cgst", "sgst", "cess")
 # Other names of tiers, the tier of an unknown name, and rupees for a dollar.
@@ -138,9 +139,10 @@ def triage(limbs: DataFrame) -> DataFrame:
 
 
 def observed_rates(matters: DataFrame) -> DataFrame:
-    """Median cost of an argued limb by tier, over complete matters with both; all limbs stand in where none is argued."""
+    """Median cost of an argued limb by tier (two, see run_tier), over complete matters with both; all limbs stand in where none is argued. Exact, by selection."""
     limbs = F.coalesce(F.nullif("argued", F.lit(0)), F.col("limbs"))
-    return matters.withColumn("n", limbs).where("status = 'complete' and cost_cents > 0 and n > 0").groupBy(run_tier(F.col("tier")).alias("tier")).agg(F.median(F.col("cost_cents") / F.col("n")).alias("rate_cents"), F.count("*").alias("samples"))
+    costs = matters.withColumn("n", limbs).where("status = 'complete' and cost_cents > 0 and n > 0").select(run_tier(F.col("tier")).alias("tier"), (F.col("cost_cents") / F.col("n")).alias("rate"))
+    return medians(costs, "tier", "rate").withColumnRenamed("median", "rate_cents")
 
 
 def spend(calls: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from .plans.limb_types import LIMB_TYPES
 from .plans.places import PLACES
 from .sources.views import AS_ON, FIRST, HEAD, OFF, SECOND, view, view_sql
 from .streaming.lockout import lockouts_batch
+from .streaming.totals import keep_registers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +84,17 @@ def register_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.registers(view(spark, sf_dir, "register_lines"))
 
 
+@query(f"""WITH {LINES}, c AS (SELECT *, coalesce(amount >= 1, FALSE) AS ok FROM lines), r AS (SELECT recon_id, sum(amount) FILTER (ok) AS total, count(*) FILTER (ok) AS counted, count(*) FILTER (NOT ok) AS skipped,
+        count(DISTINCT supplier_gstin) FILTER (ok AND trim(supplier_gstin) <> '') AS suppliers, coalesce(CAST(sum(amount) FILTER (ok AND bucket = 'unreconciled') AS DOUBLE) / CAST(sum(amount) FILTER (ok) AS DOUBLE) > 0.25, FALSE) AS mostly_open,
+        count(*) FILTER (trim(status) <> '') = 0 AS no_status FROM c GROUP BY recon_id), b AS (SELECT recon_id, bucket, sum(amount) AS amount, count(*) AS lines FROM c WHERE ok GROUP BY ALL)
+    SELECT recon_id, bucket, CAST(amount AS DOUBLE) AS amount, lines, round(CAST(amount AS DOUBLE) / CAST(total AS DOUBLE), 6) AS share, CAST(total AS DOUBLE) AS total, counted, skipped, suppliers, mostly_open, no_status FROM r JOIN b USING (recon_id)""")
+def running_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's operators over the whole table, a row for each bucket."""
+    kept = keep_registers(view(spark, sf_dir, "register_lines"))
+    rows = kept.select("recon_id", F.explode("buckets").alias("bucket", "b"), "total", "counted", "skipped", "suppliers", "mostly_open", "no_status")
+    return rows.select("recon_id", "bucket", "b.amount", "b.lines", "b.share", "total", "counted", "skipped", "suppliers", "mostly_open", "no_status")
+
+
 MATTERS = f"m AS ({view_sql('matters')})"
 _s = "replace(upper(trim(section)), ' ', '')"
 SCHEME = f"CASE WHEN starts_with({_s}, '74A') THEN CASE WHEN fraud THEN '74A_fraud' ELSE '74A_non_fraud' END WHEN starts_with({_s}, '74') THEN '74' WHEN starts_with({_s}, '73') THEN '73' END"
@@ -244,7 +256,11 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.aggregate_rankings(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("review_id"), arrays.alias("ranking"), models.alias("models")))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS at, event_type = 'signup' AS success, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'signup') AS n FROM events WHERE event_type IN ('error', 'signup')),
+    f AS (SELECT key, CAST(0 AS BIGINT) AS n, 0 AS failures, CAST(0 AS DOUBLE) AS until, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS locks FROM t WHERE n = 1
+        UNION ALL SELECT key, n, CASE WHEN shut THEN failures WHEN success THEN 0 ELSE counted + 1 END, CASE WHEN shut THEN until WHEN NOT success AND counted + 1 >= 5 THEN at + 900 ELSE 0 END, refused + CAST(shut AS INT), locks + CAST(NOT shut AND NOT success AND counted + 1 >= 5 AS INT)
+        FROM (SELECT t.key, t.n, t.at, t.success, failures, until, refused, locks, until > 0 AND t.at < until AS shut, CASE WHEN until > 0 THEN 0 ELSE failures END AS counted FROM f JOIN t ON t.key = f.key AND t.n = f.n + 1))
+    SELECT key, n AS attempts, refused, locks, failures, until AS locked_until FROM f QUALIFY n = max(n) OVER (PARTITION BY key)""")
 def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors are failures and sign-ups successes of a user."""
     tries = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('error', 'signup')")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import batched, pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FAILURES, LOCK_S = 5, 900
+#: Neighbours that a level joins.
+FAN = 32
 OUT = "key string, seen long, failures int, locked_until double, outcome string"
 
 
@@ -34,29 +39,146 @@ def fold(state: tuple[int, float], attempts: Iterable[tuple[float, bool]]) -> tu
     return (failures, until), out
 
 
-def lockouts_batch(attempts: DataFrame) -> DataFrame:
-    """attempts (key, at double, success): the last state of each key and its attempts by outcome.
+@dataclass
+class Stretch:
+    """What a stretch of a key's attempts does to any state that comes to it.
 
-    The fold is sequential within a key: its attempts come to one task in order, a batch at a time, and only the state is kept of them.
+    starts: for 0 to 4 failures, then for each time in upto: a lock that ends after the time before and not after
+    this one. ends: for each start (failures, locked until, refused, locks) at the stretch's end. A lock that ends
+    after last is passed on, and all n attempts are refused.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, seen = None, (0, 0.0), Counter()
-        row = lambda: (key, seen.total(), seen["refused"], seen["locked"], *state)
-        for batch in batches:
-            done = []
-            for k, rows in batch.groupby(batch["key"].map(lambda x: (x,)), sort=False):
-                if seen and k != (key,):
-                    done.append(row())
-                    state, seen = (0, 0.0), Counter()
-                key = k[0]
-                state, out = fold(state, zip(rows["at"], rows["success"], strict=True))
-                seen.update(o[2] for o in out)
-            yield pd.DataFrame(done, columns=["key", "attempts", "refused", "locks", "failures", "locked_until"])
-        if seen:
-            yield pd.DataFrame([row()], columns=["key", "attempts", "refused", "locks", "failures", "locked_until"])
-
-    return attempts.select("key", "at", "success").repartition("key").sortWithinPartitions("key", "at", "success").mapInPandas(run, "key string, attempts long, refused long, locks long, failures int, locked_until double")
+    n: int
+    first: float
+    last: float
+    upto: np.ndarray
+    ends: list[tuple[int, float, int, int]]
+
+    def after(self, failures: int, until: float, refused: int = 0, locks: int = 0) -> tuple[int, float, int, int]:
+        """The end of a state that comes to the stretch, counts added."""
+        if until > self.last:
+            return failures, until, refused + self.n, locks
+        at = FAILURES + int(np.searchsorted(self.upto, until)) if until else failures
+        end = self.ends[at]
+        return end[0], end[1], refused + end[2], locks + end[3]
+
+
+def stretch_of(at: np.ndarray, success: np.ndarray) -> Stretch:
+    """The stretch of attempts in order. From an attempt that meets no lock, the next lock and the first attempt after it are found by search, and ends are remembered by attempt."""
+    n = len(at)
+    good = np.append(np.flatnonzero(success), n)
+    known: dict[int, tuple[int, float, int, int]] = {}
+
+    def end_of(i: int, failures: int) -> tuple[int, float, int, int]:
+        way = []
+        while True:
+            if not failures and i in known:
+                end = known[i]
+                break
+            s = int(good[np.searchsorted(good, i)])
+            if s - i + failures >= FAILURES:
+                lock = i + FAILURES - failures - 1
+                until = float(at[lock]) + LOCK_S
+                back = max(int(np.searchsorted(at, until)), lock + 1)
+                way.append((i if not failures else -1, back - lock - 1, 1))
+                if back == n:
+                    end = (FAILURES, until, 0, 0)
+                    break
+                i, failures = back, 0
+            elif s < n:
+                way.append((i if not failures else -1, 0, 0))
+                i, failures = s + 1, 0
+                if i == n:
+                    end = (0, 0.0, 0, 0)
+                    break
+            else:
+                end = (failures + n - i, 0.0, 0, 0)
+                break
+        for j, refused, locks in reversed(way):
+            end = (end[0], end[1], end[2] + refused, end[3] + locks)
+            if j >= 0:
+                known[j] = end
+        return end
+
+    near = np.append(True, at[1:] != at[:-1]) & (np.append(-np.inf, at[:-1]) < at[0] + LOCK_S)
+    places = np.flatnonzero(near)
+    ends = [end_of(0, f) for f in range(FAILURES)]
+    for i in places:
+        end = end_of(int(i), 0)
+        ends.append((end[0], end[1], end[2] + int(i), end[3]))
+    return Stretch(n, float(at[0]), float(at[-1]), at[places], ends)
+
+
+def joined(parts: list[Stretch]) -> Stretch:
+    """Stretches in order as one. A lock ends within LOCK_S of the first attempt, so only parts that begin by then are met by its end."""
+    run = lambda state, more: reduce(lambda s, p: p.after(*s), more, state)
+    ends = [run(e, parts[1:]) for e in parts[0].ends[:FAILURES]]
+    upto, passed, last = [], 0, -np.inf
+    for i, p in enumerate(parts):
+        if last >= parts[0].first + LOCK_S:
+            break
+        met = np.append(last, p.upto[:-1]) < parts[0].first + LOCK_S
+        upto.append(p.upto[met])
+        ends += [run((f, u, r + passed, k), parts[i + 1 :]) for (f, u, r, k), m in zip(p.ends[FAILURES:], met, strict=True) if m]
+        passed, last = passed + p.n, p.last
+    return Stretch(sum(p.n for p in parts), parts[0].first, parts[-1].last, np.concatenate(upto), ends)
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, int, pd.DataFrame]]:
+    """(key, part, rows) of batches sorted by both, a group whole however many batches it spans."""
+    held, head = [], None
+    for batch in batches:
+        key, part = batch["key"].to_numpy(object), batch["part"].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1), len(batch)] if len(batch) else [0]
+        for low, high in pairwise(cuts):
+            if held and (key[low], part[low]) != head:
+                yield *head, pd.concat(held)
+                held = []
+            head = (key[low], part[low])
+            held.append(batch.iloc[low:high])
+    if held:
+        yield *head, pd.concat(held)
+
+
+def _rows(stretches: Iterator[tuple[str | None, int, Stretch]]) -> Iterator[pd.DataFrame]:
+    names = ["key", "part", "n", "first", "last", "upto", "failures", "until", "refused", "locks"]
+    for some in batched(stretches, 1000):
+        yield pd.DataFrame([(k, part, s.n, s.first, s.last, s.upto, *(list(c) for c in zip(*s.ends, strict=True))) for k, part, s in some], columns=names)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield from _rows((k, int(part), stretch_of(g["at"].to_numpy(float), g["success"].to_numpy(bool))) for k, part, g in _groups(batches))
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each() -> Iterator[tuple[str | None, int, Stretch]]:
+        for k, part, g in _groups(batches):
+            parts = [Stretch(int(n), first, last, np.asarray(upto, float), list(zip(*ends, strict=True))) for n, first, last, upto, *ends in g[["n", "first", "last", "upto", "failures", "until", "refused", "locks"]].itertuples(index=False)]
+            yield k, int(part), joined(parts)
+
+    yield from _rows(each())
+
+
+def lockouts_batch(attempts: DataFrame, span: float = 3600.0) -> DataFrame:
+    """attempts (key, at double, success): the last state of each key and its attempts by outcome. Rows without a time or an outcome take no part; a null key is a key.
+
+    A key's history is cut into spans of seconds, each on a task of its own that finds what the span does to any
+    state. FAN neighbours are then joined into one, level by level, until a key is one stretch: a task holds a span,
+    or what FAN stretches tell of a lock's length from their beginning, never a whole history.
+    """
+    known = attempts.select("key", F.col("at").cast("double").alias("at"), "success").where("at is not null and success is not null and not isnan(at)")
+    cut = known.withColumn("part", F.floor(F.col("at") / span).cast("long"))
+    kind = "key string, part long, n long, first double, last double, upto array<double>, failures array<int>, until array<double>, refused array<long>, locks array<long>"
+    parts = cut.repartition("key", "part").sortWithinPartitions("key", "part", "at", "success").mapInPandas(_read, kind)
+    ends = known.agg(F.floor(F.min("at") / span).cast("long").alias("low"), F.floor(F.max("at") / span).cast("long").alias("high")).first()
+    low, high = ends.low or 0, ends.high or 0
+    parts = parts.withColumn("part", F.col("part") - low)
+    while high > low:
+        low, high = 0, (high - low) // FAN
+        parts = parts.withColumn("child", F.col("part")).withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+        parts = parts.repartition("key", "part").sortWithinPartitions("key", "part", "child").drop("child").mapInPandas(_joined, kind)
+    fresh = lambda c: F.col(c)[0]
+    return parts.select("key", F.col("n").alias("attempts"), fresh("refused").alias("refused"), fresh("locks").alias("locks"), fresh("failures").alias("failures"), fresh("until").alias("locked_until"))
 
 
 def lockouts(attempts: DataFrame, watermark: str = "1 hour") -> DataFrame:
