@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money as M
+from ..plans.dimensions import GST, Pack
 from ..plans.dimensions import penalty_stages as stages_of
 from .selection import medians
 
@@ -15,12 +16,12 @@ TIER_ALIASES, TIERS, SAFE_TIER, RUPEES = {"free": "draft"}, ("draft", "pro"), "d
 FLOOR = 10_000
 
 
-def penalty_stages(matters: DataFrame) -> DataFrame:
+def penalty_stages(matters: DataFrame, pack: Pack = GST) -> DataFrame:
     """A row for each stage of a matter's scheme; matters without a scheme or tax have none."""
     known = matters.withColumn("scheme", M.penalty_scheme(F.col("section"), F.col("fraud"))).where("scheme is not null and tax > 0")
     share = F.col("tax").cast(M.MONEY) * F.col("percent") / 100
     amount = F.when(F.col("floored"), F.greatest(share, F.lit(FLOOR))).otherwise(share).cast(M.MONEY)
-    return known.join(F.broadcast(stages_of(matters.sparkSession)), "scheme").select("matter_id", "scheme", "ordinal", "stage", "percent", amount.cast("double").alias("amount"), F.date_add("notice_date", F.col("window")).alias("deadline"))
+    return known.join(F.broadcast(stages_of(matters.sparkSession, pack)), "scheme").select("matter_id", "scheme", "ordinal", "stage", "percent", amount.cast("double").alias("amount"), F.date_add("notice_date", F.col("window")).alias("deadline"))
 
 
 def computed(matters: DataFrame, as_on: Column) -> DataFrame:

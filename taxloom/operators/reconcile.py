@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import money as M
-from ..plans.dimensions import GST, Pack, buckets
+from ..plans.dimensions import BRIEF_FOOT, BRIEF_HEAD, GST, Pack, buckets
 
 IMMATERIAL = 1.0
 
@@ -39,9 +39,30 @@ def _summed(lines: DataFrame, *by: str) -> DataFrame:
 def summary(lines: DataFrame, pack: Pack = GST) -> DataFrame:
     """Amount, count and share by register and bucket, largest first; the window runs over the few aggregated rows."""
     sums = _summed(classified(lines, pack), "recon_id", "bucket")
+    return _ranked(sums, lines.sparkSession, pack).select("recon_id", "rank", "bucket", "label", "strength", F.col("amount").cast("double").alias("amount"), "lines", "share")
+
+
+def _ranked(sums: DataFrame, spark: SparkSession, pack: Pack) -> DataFrame:
     whole = Window.partitionBy("recon_id")
     ranked = sums.withColumn("share", F.round(F.col("amount").cast("double") / F.sum("amount").over(whole).cast("double"), 6)).withColumn("rank", F.row_number().over(whole.orderBy(F.desc("amount"), "bucket")))
-    return ranked.join(F.broadcast(buckets(lines.sparkSession, pack)), "bucket").select("recon_id", "rank", "bucket", "label", "strength", F.col("amount").cast("double").alias("amount"), "lines", "share")
+    return ranked.join(F.broadcast(buckets(spark, pack)), "bucket")
+
+
+def briefs(lines: DataFrame, pack: Pack = GST) -> DataFrame:
+    """(recon_id, brief): a register told by its buckets, largest first, each with its amount, lines, share, strength and position. It names no line and no supplier, and its length doesn't grow with the register; one without material lines has none.
+
+    Figures are rounded half to even. A bucket without a position has an empty line in its place.
+    """
+    told = _ranked(_summed(classified(lines, pack), "recon_id", "bucket"), lines.sparkSession, pack)
+    rupees = lambda c: F.concat(F.lit("Rs. "), F.format_number(c, 0))
+    percent = F.format_number(F.col("amount").cast("double") / F.sum("amount").over(Window.partitionBy("recon_id")).cast("double") * 100, 0)
+    line = F.concat(
+        F.lit("- "), "label", F.lit(": "), rupees(F.col("amount")), F.lit(" ("), F.col("lines").cast("string"), F.lit(" line(s), "), percent, F.lit("% of the difference) — position: "), F.upper("strength"),
+        F.lit("\n    "), F.coalesce("position", F.lit("")), F.lit("\n\n"),
+    )
+    rows = told.withColumn("_line", F.struct("rank", line.alias("text"))).groupBy("recon_id").agg(F.array_sort(F.collect_list("_line")).alias("_lines"), F.sum("amount").alias("total"), F.sum("lines").alias("lines"))
+    head = F.concat(F.lit(BRIEF_HEAD + "\n\nTotal difference analysed: "), rupees(F.col("total")), F.lit(" across "), F.col("lines").cast("string"), F.lit(" line(s).\n\n"))
+    return rows.select("recon_id", F.concat(head, F.array_join(F.transform("_lines", lambda x: x["text"]), ""), F.lit(BRIEF_FOOT)).alias("brief"))
 
 
 def by_supplier(lines: DataFrame) -> DataFrame:

@@ -12,18 +12,22 @@ FRACTION, OFFSET, NORMAL, LEAST = 52, 1023, 2.0**-1022, 2.0**-1074
 SIGN = -(1 << 63)
 
 
-def ordered(x: Column) -> Column:
-    """A finite double as a long of the same order: 0 for both zeros, below zero for what is below it. Null for null."""
-    size = F.abs(x)
-    near = F.floor(F.log2(size)).cast("int")
-    power = near + F.when(size < F.pow(F.lit(2.0), near), -1).when(size >= F.pow(F.lit(2.0), near + 1), 1).otherwise(0)
-    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * 2.0**FRACTION).cast("long")
-    bits = F.when(size < NORMAL, (size / F.lit(LEAST)).cast("long")).otherwise((power + OFFSET).cast("long") * (1 << FRACTION) + fraction)
-    return F.when(x < 0, -bits).otherwise(bits)
+def with_ordered(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds a finite double as a long of the same order: 0 for both zeros and for null, below zero for what is below it.
+
+    A step that later ones use more than once is projected first, so that Catalyst doesn't copy it into them.
+    """
+    size = F.abs(F.col(value).cast("double"))
+    near = F.floor(F.log2("_size")).cast("int")
+    power = F.col("_near") + F.when(F.col("_size") < F.pow(F.lit(2.0), F.col("_near")), -1).when(F.col("_size") >= F.pow(F.lit(2.0), F.col("_near") + 1), 1).otherwise(0)
+    fraction = ((F.col("_size") / F.pow(F.lit(2.0), F.col("_power")) - 1) * 2.0**FRACTION).cast("long")
+    bits = F.when(F.col("_size") < NORMAL, (F.col("_size") / F.lit(LEAST)).cast("long")).otherwise((F.col("_power") + OFFSET).cast("long") * (1 << FRACTION) + fraction)
+    steps = rows.withColumn("_size", size).withColumn("_near", near).withColumn("_power", power).withColumn("_bits", F.coalesce(bits, F.lit(0)))
+    return steps.withColumn(out, F.when(F.col(value) < 0, -F.col("_bits")).otherwise(F.col("_bits"))).drop("_size", "_near", "_power", "_bits")
 
 
 def from_ordered(k: Column) -> Column:
-    """The double whose ordered() is k."""
+    """The double whose with_ordered() is k."""
     size = F.abs(k)
     fraction = 1 + size.bitwiseAND((1 << FRACTION) - 1) / F.lit(2.0**FRACTION)
     value = F.when(size < (1 << FRACTION), size * F.lit(LEAST)).otherwise(fraction * F.pow(F.lit(2.0), F.shiftright(size, FRACTION) - OFFSET))
@@ -38,7 +42,7 @@ def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
     each prefix, however many values there are and however they lie; the rows are read once a pass.
     """
     finite = F.col(value).isNotNull() & (F.abs(F.col(value)) < float("inf"))
-    keyed = rows.where(finite).select(F.col(by), ordered(F.col(value).cast("double")).bitwiseXOR(F.lit(SIGN)).alias("_key"))
+    keyed = with_ordered(rows.where(finite).select(by, value), value, "_key").select(by, F.col("_key").bitwiseXOR(F.lit(SIGN)).alias("_key"))
     prefix = lambda left: F.shiftrightunsigned("_key", left)
     found = None
     for at in range(1, PASSES + 1):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,22 @@ BUCKETS: list[tuple[str, str, str, list[str]]] = [
     ("clerical", "Clerical or data entry difference", "defensible", ["clerical", "data entry", "typo", "rounding", "keying error", "posting error", "duplicate"]),
     ("unreconciled", "Not yet reconciled", "weak", []),
 ]
+# What is argued of each bucket, and what the reply does with it.
+POSITIONS: dict[str, tuple[str, str]] = {
+    "rcm": ("Tax paid under reverse charge is self-assessed and discharged by the recipient. It appears in GSTR-3B by design and has no counterpart in GSTR-2A. It is not a mismatch and its inclusion in the notice is an error of comparison.", "Excluded from the demand at the threshold."),
+    "import_igst": ("IGST paid on import of goods is availed on the strength of the Bill of Entry and is reflected in GSTR-2A only through ICEGATE. Absence from GSTR-2A does not bear on eligibility.", "Excluded from the demand at the threshold."),
+    "isd": ("Credit distributed by an Input Service Distributor is availed on an ISD invoice and reported separately. It is not expected to appear in the recipient's GSTR-2A as a supplier invoice.", "Excluded from the demand at the threshold."),
+    "timing": ("GSTR-2A is a dynamic statement that updates as suppliers furnish GSTR-1. Where the supplier has since filed and the credit now appears, the conditions in section 16(2) were satisfied at the material time and no reversal arises. The subsequent GSTR-2A is produced in support.", "Contested with documentary proof of the later filing."),
+    "amendment": ("The difference arises from amendments or credit notes reflected in one statement and not the other for the period under comparison. Reconciled on the documents.", "Contested with the amendment trail."),
+    "supplier_error": ("The supplier has reported the supply incorrectly — against another GSTIN, or as B2C. The recipient has satisfied every condition within its control under section 16(2), and cannot be visited with the consequence of the supplier's reporting error.", "Contested; supplier confirmation to be obtained."),
+    "non_filer": ("This is the exposed category. Section 16(2)(c) requires the tax to have been paid to the Government. Where the supplier has not filed, the department will press this and the recipient's answer rests on having satisfied the conditions within its control — a genuine transaction, an invoice, receipt of the supply, and payment through banking channels. Establish each on the documents, and consider whether contesting this portion is commercially worthwhile.", "Weakest limb. Documentary proof essential; consider the arithmetic of contesting versus reversing."),
+    "ineligible": ("Credit blocked under section 17(5) is not available. Where it has been availed it should be reversed voluntarily with interest, which both closes the exposure and supports a plea against penalty.", "Reverse voluntarily. Do not contest."),
+    "clerical": ("A recording difference rather than a credit issue. Reconciled on the books and corrected.", "Explained with the corrected working."),
+    "unreconciled": ("This portion has not been explained. Until it is traced to a category it must be treated as unsupported, and the reply should not assert a position on it.", "Trace before filing, or concede this portion."),
+}
+# The text around a register's brief.
+BRIEF_HEAD = "RECONCILIATION OF THE DIFFERENCE (from the taxpayer's own records):"
+BRIEF_FOOT = "HOW TO USE THIS:\nArgue each category on its own footing and quantify it. A reply that meets the difference as a single figure concedes ground it need not concede — the mechanical categories fall away at the threshold, the timing difference is answered on documents, and only the residue is genuinely in issue. Where a category is weak or unreconciled, say so to the signing partner rather than papering over it."
 #: Buckets that the supplier's name and invoice number may show when the status says nothing.
 BY_NAME = ("rcm", "import_igst", "isd")
 
@@ -78,23 +95,27 @@ NOTICE_TYPES: list[tuple[str, str, str | None]] = [
 
 @dataclass(frozen=True)
 class Pack:
-    """The rules of a domain that jobs on registers take as a parameter: buckets in the order in which they are tried, those that a name may show, the bucket of the rest."""
+    """The rules of a domain that jobs take as a parameter: buckets in the order in which they are tried, those that a name may show, the bucket of the rest, what is argued of each and done with it, penalty stages, and notices' form codes."""
 
     buckets: tuple[tuple[str, str, str, list[str]], ...] = tuple(BUCKETS)
     by_name: tuple[str, ...] = BY_NAME
     rest: str = "unreconciled"
+    positions: Mapping[str, tuple[str, str]] = field(default_factory=lambda: POSITIONS)
+    penalty_stages: tuple[tuple[str, int, str, int, bool, int | None], ...] = tuple(PENALTY_STAGES)
+    notice_types: tuple[tuple[str, str, str | None], ...] = tuple(NOTICE_TYPES)
 
 
 GST = Pack()
 
 
 def buckets(spark: SparkSession, pack: Pack = GST) -> DataFrame:
-    return spark.createDataFrame([(i, k, label, strength) for i, (k, label, strength, _) in enumerate(pack.buckets)], "ordinal int, bucket string, label string, strength string")
+    rows = [(i, k, label, strength, *pack.positions.get(k, (None, None))) for i, (k, label, strength, _) in enumerate(pack.buckets)]
+    return spark.createDataFrame(rows, "ordinal int, bucket string, label string, strength string, position string, action string")
 
 
-def penalty_stages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PENALTY_STAGES, "scheme string, ordinal int, stage string, percent int, floored boolean, window int")
+def penalty_stages(spark: SparkSession, pack: Pack = GST) -> DataFrame:
+    return spark.createDataFrame(list(pack.penalty_stages), "scheme string, ordinal int, stage string, percent int, floored boolean, window int")
 
 
-def notice_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICE_TYPES, "code string, statute string, reply_form string")
+def notice_types(spark: SparkSession, pack: Pack = GST) -> DataFrame:
+    return spark.createDataFrame(list(pack.notice_types), "code string, statute string, reply_form string")

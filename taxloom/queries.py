@@ -16,7 +16,7 @@ from .operators import matters as T
 from .operators import notices as N
 from .operators import reconcile as R
 from .operators import talk as K
-from .plans.dimensions import BUCKETS, BY_NAME, NOTICE_TYPES, PENALTY_STAGES
+from .plans.dimensions import BRIEF_FOOT, BRIEF_HEAD, BUCKETS, BY_NAME, NOTICE_TYPES, PENALTY_STAGES, POSITIONS
 from .plans.limb_types import LIMB_TYPES
 from .plans.places import PLACES
 from .sources.views import AS_ON, FIRST, HEAD, OFF, SECOND, view, view_sql
@@ -95,6 +95,18 @@ def running_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("recon_id", "bucket", "b.amount", "b.lines", "b.share", "total", "counted", "skipped", "suppliers", "mostly_open", "no_status")
 
 
+_rupees = lambda e: f"'Rs. ' || format('{{:,}}', CAST(round_even(CAST({e} AS DOUBLE), 0) AS BIGINT))"
+POSED = "pos AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', {_quoted(n)}, '{s}', {_quoted(POSITIONS[b][0])})" for b, n, s, _ in BUCKETS) + ") v(bucket, label, strength, position))"
+
+
+@query(f"""WITH {LINES}, {POSED}, sums AS (SELECT recon_id, bucket, sum(amount) AS amount, count(*) AS n FROM lines WHERE amount >= 1 GROUP BY ALL), whole AS (SELECT recon_id, sum(amount) AS total, sum(n) AS lines FROM sums GROUP BY recon_id),
+    told AS (SELECT recon_id, string_agg('- ' || label || ': ' || {_rupees('amount')} || ' (' || n || ' line(s), ' || CAST(round_even(CAST(amount AS DOUBLE) / CAST(total AS DOUBLE) * 100, 0) AS BIGINT) || '% of the difference) — position: ' || upper(strength) || chr(10) || '    ' || position || chr(10) || chr(10), '' ORDER BY amount DESC, bucket) AS body
+        FROM sums JOIN whole USING (recon_id) JOIN pos USING (bucket) GROUP BY recon_id)
+    SELECT recon_id, {_quoted(BRIEF_HEAD)} || chr(10) || chr(10) || 'Total difference analysed: ' || {_rupees('total')} || ' across ' || CAST(lines AS BIGINT) || ' line(s).' || chr(10) || chr(10) || body || {_quoted(BRIEF_FOOT)} AS brief FROM told JOIN whole USING (recon_id)""")
+def register_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.briefs(view(spark, sf_dir, "register_lines"))
+
+
 MATTERS = f"m AS ({view_sql('matters')})"
 _s = "replace(upper(trim(section)), ' ', '')"
 SCHEME = f"CASE WHEN starts_with({_s}, '74A') THEN CASE WHEN fraud THEN '74A_fraud' ELSE '74A_non_fraud' END WHEN starts_with({_s}, '74') THEN '74' WHEN starts_with({_s}, '73') THEN '73' END"
@@ -256,10 +268,10 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.aggregate_rankings(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("review_id"), arrays.alias("ranking"), models.alias("models")))
 
 
-@query("""WITH RECURSIVE t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS at, event_type = 'signup' AS success, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'signup') AS n FROM events WHERE event_type IN ('error', 'signup')),
+@query("""WITH RECURSIVE t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS moment, event_type = 'signup' AS success, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'signup') AS n FROM events WHERE event_type IN ('error', 'signup')),
     f AS (SELECT key, CAST(0 AS BIGINT) AS n, 0 AS failures, CAST(0 AS DOUBLE) AS until, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS locks FROM t WHERE n = 1
-        UNION ALL SELECT key, n, CASE WHEN shut THEN failures WHEN success THEN 0 ELSE counted + 1 END, CASE WHEN shut THEN until WHEN NOT success AND counted + 1 >= 5 THEN at + 900 ELSE 0 END, refused + CAST(shut AS INT), locks + CAST(NOT shut AND NOT success AND counted + 1 >= 5 AS INT)
-        FROM (SELECT t.key, t.n, t.at, t.success, failures, until, refused, locks, until > 0 AND t.at < until AS shut, CASE WHEN until > 0 THEN 0 ELSE failures END AS counted FROM f JOIN t ON t.key = f.key AND t.n = f.n + 1))
+        UNION ALL SELECT key, n, CASE WHEN shut THEN failures WHEN success THEN 0 ELSE counted + 1 END, CASE WHEN shut THEN until WHEN NOT success AND counted + 1 >= 5 THEN moment + 900 ELSE 0 END, refused + CAST(shut AS INT), locks + CAST(NOT shut AND NOT success AND counted + 1 >= 5 AS INT)
+        FROM (SELECT t.key, t.n, t.moment, t.success, failures, until, refused, locks, until > 0 AND t.moment < until AS shut, CASE WHEN until > 0 THEN 0 ELSE failures END AS counted FROM f JOIN t ON t.key = f.key AND t.n = f.n + 1))
     SELECT key, n AS attempts, refused, locks, failures, until AS locked_until FROM f QUALIFY n = max(n) OVER (PARTITION BY key)""")
 def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors are failures and sign-ups successes of a user."""

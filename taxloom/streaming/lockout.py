@@ -132,7 +132,7 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, int,
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1), len(batch)] if len(batch) else [0]
         for low, high in pairwise(cuts):
             if held and (key[low], part[low]) != head:
-                yield *head, pd.concat(held)
+                yield *head, held[0] if len(held) == 1 else pd.concat(held)
                 held = []
             head = (key[low], part[low])
             held.append(batch.iloc[low:high])
@@ -159,26 +159,36 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _rows(each())
 
 
-def lockouts_batch(attempts: DataFrame, span: float = 3600.0) -> DataFrame:
+def lockouts_batch(attempts: DataFrame, span: float = 3600.0, light: int = 100_000) -> DataFrame:
     """attempts (key, at double, success): the last state of each key and its attempts by outcome. Rows without a time or an outcome take no part; a null key is a key.
 
-    A key's history is cut into spans of seconds, each on a task of its own that finds what the span does to any
-    state. FAN neighbours are then joined into one, level by level, until a key is one stretch: a task holds a span,
-    or what FAN stretches tell of a lock's length from their beginning, never a whole history.
+    A key of at most `light` attempts is one stretch. The history of any other is cut into spans of seconds, each on
+    a task of its own that finds what the span does to any state. FAN neighbours are then joined into one, level by
+    level, until a key is one stretch: a task holds a light key, a span, or what FAN stretches tell of a lock's
+    length from their beginning, never a long history.
     """
     known = attempts.select("key", F.col("at").cast("double").alias("at"), "success").where("at is not null and success is not null and not isnan(at)")
-    cut = known.withColumn("part", F.floor(F.col("at") / span).cast("long"))
     kind = "key string, part long, n long, first double, last double, upto array<double>, failures array<int>, until array<double>, refused array<long>, locks array<long>"
-    parts = cut.repartition("key", "part").sortWithinPartitions("key", "part", "at", "success").mapInPandas(_read, kind)
-    ends = known.agg(F.floor(F.min("at") / span).cast("long").alias("low"), F.floor(F.max("at") / span).cast("long").alias("high")).first()
-    low, high = ends.low or 0, ends.high or 0
-    parts = parts.withColumn("part", F.col("part") - low)
-    while high > low:
-        low, high = 0, (high - low) // FAN
-        parts = parts.withColumn("child", F.col("part")).withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
-        parts = parts.repartition("key", "part").sortWithinPartitions("key", "part", "child").drop("child").mapInPandas(_joined, kind)
+    read = lambda rows: rows.repartition("key", "part").sortWithinPartitions("key", "part", "at", "success").mapInPandas(_read, kind)
+    heavy = known.groupBy("key").agg(F.count("*").alias("_n"), F.min("at").alias("low"), F.max("at").alias("high")).where(F.col("_n") > light)
+    ends = heavy.agg(F.floor(F.min("low") / span).cast("long").alias("low"), F.floor(F.max("high") / span).cast("long").alias("high")).first()
+    if ends.low is None:
+        return _ends(read(known.withColumn("part", F.lit(0).cast("long"))))
+    told = known.join(heavy.select(F.col("key").alias("_key"), F.lit(True).alias("_heavy")), F.col("key").eqNullSafe(F.col("_key")), "left")
+    whole = read(told.where("_heavy is null").select("key", "at", "success", F.lit(0).cast("long").alias("part")))
+    parts = read(told.where("_heavy").select("key", "at", "success", (F.floor(F.col("at") / span) - ends.low).cast("long").alias("part")))
+    width = ends.high - ends.low
+    while width:
+        width //= FAN
+        nested = parts.withColumn("child", F.col("part")).withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+        parts = nested.repartition("key", "part").sortWithinPartitions("key", "part", "child").drop("child").mapInPandas(_joined, kind)
+    return _ends(whole.unionByName(parts))
+
+
+def _ends(stretches: DataFrame) -> DataFrame:
+    """What each stretch does to a key that was never seen."""
     fresh = lambda c: F.col(c)[0]
-    return parts.select("key", F.col("n").alias("attempts"), fresh("refused").alias("refused"), fresh("locks").alias("locks"), fresh("failures").alias("failures"), fresh("until").alias("locked_until"))
+    return stretches.select("key", F.col("n").alias("attempts"), fresh("refused").alias("refused"), fresh("locks").alias("locks"), fresh("failures").alias("failures"), fresh("until").alias("locked_until"))
 
 
 def lockouts(attempts: DataFrame, watermark: str = "1 hour") -> DataFrame:

@@ -17,18 +17,18 @@ def keep_totals(lines: DataFrame, pack: Pack = GST) -> DataFrame:
 def keep_registers(lines: DataFrame, pack: Pack = GST, ts: str | None = None) -> DataFrame:
     """What reconcile.registers() and summary() tell of each register, of a stream (in update or complete mode) or a table: total, counted, skipped, suppliers, mostly_open, no_status, and buckets (bucket: amount, lines, share; those with material lines).
 
-    Two stateful operators: the first lets a supplier's first material line in a register pass, the second sums
-    lines and first sights together. State is a flag for each supplier of a register, on tasks by both, and a row
-    for each register. With ts (a timestamp column that has a watermark) a flag goes when the watermark passes its
+    Two stateful operators: the first lets a supplier's first material line (and first immaterial one, which counts
+    for nothing) in a register pass, the second sums lines and first sights together. State is a flag or two for each
+    supplier of a register, on tasks by both, and a row for each register. With ts (a timestamp column that has a watermark) a flag goes when the watermark passes its
     first line's time by the watermark's delay; a supplier that comes back later counts again. Without it flags stay.
     """
     flagged = classified(lines, pack).withColumn("_in", material())
-    named = flagged.where(F.col("_in") & (F.trim("supplier_gstin") != ""))
-    sights = ["recon_id", "supplier_gstin"]
-    first = named.select(*sights, *([ts] if ts else []))
+    # No filter on what is worked out: it would be pushed below the patterns and work them out twice.
+    sights = ["recon_id", "supplier_gstin", "_in"]
+    first = flagged.where(F.trim("supplier_gstin") != "").select(*sights, *([ts] if ts else []))
     first = first.dropDuplicatesWithinWatermark(sights) if ts else first.dropDuplicates(sights)
     kept = flagged.select("recon_id", "bucket", F.when(F.col("_in"), F.col("amount")).alias("amount"), F.col("_in").cast("int").alias("lines"), F.coalesce((F.trim("status") != ""), F.lit(False)).cast("int").alias("told"), F.lit(0).alias("supplier"), F.lit(1).alias("line"))
-    seen = first.select("recon_id", F.lit(1).alias("supplier"), F.lit(0).alias("line"))
+    seen = first.select("recon_id", F.col("_in").cast("int").alias("supplier"), F.lit(0).alias("line"))
     keys = [b for b, *_ in pack.buckets]
     of = lambda b, c: F.sum(F.when(F.col("bucket") == b, F.col(c)))
     sums = kept.unionByName(seen, allowMissingColumns=True).groupBy("recon_id").agg(

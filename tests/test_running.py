@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from taxloom.operators import reconcile
-from taxloom.operators.selection import from_ordered, medians, ordered
+from taxloom.operators.selection import from_ordered, medians, with_ordered
 from taxloom.sources.views import view
 from taxloom.streaming.lockout import fold, joined, lockouts_batch, stretch_of
 from taxloom.streaming.totals import keep_registers
@@ -23,7 +23,7 @@ def test_ordered_is_the_bit_pattern(spark):
     rng = random.Random(1)
     values = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.0, 0.1, 1.7976931348623157e308, 2.0**52, math.nextafter(8, 0), 8.0, math.nextafter(8, 9)]
     values += [x for x in (struct.unpack("<d", rng.randbytes(8))[0] for _ in range(2000)) if math.isfinite(x)]
-    df = spark.createDataFrame([(x,) for x in values], "x double").withColumn("k", ordered(F.col("x"))).withColumn("back", from_ordered(F.col("k")))
+    df = with_ordered(spark.createDataFrame([(x,) for x in values], "x double"), "x", "k").withColumn("back", from_ordered(F.col("k")))
     for x, k, back in df.collect():
         bits = struct.unpack("<q", struct.pack("<d", abs(x)))[0]
         assert k == (-bits if x < 0 else bits) and back == x
@@ -69,9 +69,11 @@ def test_a_hot_key_is_split(spark, span):
     rows += [(None, float(rng.randrange(5000)), rng.random() < 0.3) for _ in range(300)] + [("lone", 7.0, False)] * 9
     extra = [("hot", None, True), ("lone", 8.0, None), ("unread", None, None)]
     df = spark.createDataFrame(rows + extra, "key string, at double, success boolean").withColumn("part", F.lit("clash"))
-    got = {r.key: (r.failures, r.locked_until, r.refused, r.locks, r.attempts) for r in lockouts_batch(df, span).collect()}
+    got = {r.key: (r.failures, r.locked_until, r.refused, r.locks, r.attempts) for r in lockouts_batch(df, span, 100).collect()}
     of = {k: sorted((t, ok) for key, t, ok in rows if key == k) for k in ("hot", None, "lone")}
-    assert got == {k: (*_folded(r), len(r)) for k, r in of.items()}
+    want = {k: (*_folded(r), len(r)) for k, r in of.items()}
+    assert got == want
+    assert {r.key: (r.failures, r.locked_until, r.refused, r.locks, r.attempts) for r in lockouts_batch(df, span).collect()} == want
 
 
 def _told(rows):
@@ -106,3 +108,27 @@ def test_first_sights_expire_with_the_watermark(spark, tmp_path):
         stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in")).withWatermark("ts", "3 days")
         keep_registers(stream, ts="ts").writeStream.foreachBatch(lambda b, _: got.update({r.recon_id: (r.counted, r.suppliers) for r in b.collect()})).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert got[1][0] == 5 and 1 < got[1][1] < 5
+
+
+def test_a_register_is_told_by_its_buckets(spark):
+    from taxloom.plans.dimensions import POSITIONS, Pack
+
+    kind = "recon_id string, status string, supplier_name string, invoice_no string, difference string, amount_books string, amount_2a string, tax_amount string, supplier_gstin string"
+    rows = [("r", "rcm", None, "1", "1,234.50", None, None, None, "g1"), ("r", "", "x", "2", "(3,703.50)", None, None, None, "g2"), ("r", None, None, None, "0.5", None, None, None, None), ("small", "rcm", None, None, "0.2", None, None, None, None)]
+    lines = spark.createDataFrame(rows, kind)
+    got = {r.recon_id: r.brief.split("\n") for r in reconcile.briefs(lines).collect()}
+    assert list(got) == ["r"] and got["r"][2] == "Total difference analysed: Rs. 4,938 across 2 line(s)."
+    assert got["r"][4:6] == ["- Not yet reconciled: Rs. 3,704 (1 line(s), 75% of the difference) — position: WEAK", "    " + POSITIONS["unreconciled"][0]]
+    assert got["r"][7] == "- Reverse charge — not expected in GSTR-2A: Rs. 1,234 (1 line(s), 25% of the difference) — position: STRONG"
+    assert "g1" not in "".join(got["r"]) and got["r"][-2] == "HOW TO USE THIS:"
+    pack = Pack(buckets=(("open", "Open", "weak", []),), rest="open", positions={})
+    assert "- Open: Rs. 4,938 (2 line(s), 100% of the difference) — position: WEAK" in reconcile.briefs(lines, pack).first().brief
+    assert reconcile.briefs(lines.limit(0)).count() == 0
+
+
+def test_another_packs_penalty_stages(spark):
+    from taxloom.operators.matters import penalty_stages
+    from taxloom.plans.dimensions import Pack
+
+    matters = spark.createDataFrame([(1, "73", None, 100, None)], "matter_id int, section string, fraud boolean, tax int, notice_date date")
+    assert [(r.stage, r.amount) for r in penalty_stages(matters, Pack(penalty_stages=(("73", 0, "any", 50, False, None),))).collect()] == [("any", 50.0)]
