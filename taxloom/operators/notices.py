@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
-from ..plans.dimensions import NOTICE_TYPES, notice_types
+from ..plans.dimensions import GST, Pack, notice_types
 from ..plans.places import PLACES, places
 from ..plans.limb_types import catalogue as known_types
 from ..plans.limb_types import limb_types
@@ -137,10 +137,10 @@ def with_jurisdiction(df: DataFrame) -> DataFrame:
     return df.drop("state").withColumn("code", F.left("gstin", F.lit(2))).join(F.broadcast(places(df.sparkSession)), "code", "left").drop("code")
 
 
-def with_reply_form(df: DataFrame) -> DataFrame:
-    """Adds statute and reply_form of the notice's form; a form that isn't known has those of OTHER."""
-    known = F.broadcast(notice_types(df.sparkSession))
-    other = next(x for x in NOTICE_TYPES if x[0] == "OTHER")
+def with_reply_form(df: DataFrame, pack: Pack = GST) -> DataFrame:
+    """Adds statute and reply_form of the notice's form; a form that the pack doesn't know has those of its OTHER, or nulls without one."""
+    known = F.broadcast(notice_types(df.sparkSession, pack))
+    other = next((x for x in pack.notice_types if x[0] == "OTHER"), (None, None, None))
     hit = F.col("code").isNotNull()
     joined = df.join(known, F.col("form") == F.col("code"), "left")
     return joined.withColumns({"statute": F.when(hit, F.col("statute")).otherwise(other[1]), "reply_form": F.when(hit, F.col("reply_form")).otherwise(other[2])}).drop("code")

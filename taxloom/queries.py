@@ -817,3 +817,54 @@ def client_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of four plain letters of each document stands for the client whose name mustn't be in it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text")).withColumn("client", F.regexp_extract("text", "[a-z]{4,}", 0))
     return K.audit_leaks(docs, "doc_id", "text", "client").where("label = 'CLIENT'")
+
+
+_docs = "list_transform(range(1, CAST(total % 9 AS BIGINT) + 1), lambda x: 'doc ' || x)"
+_held = "list_transform(range(1, CAST(total % 9 AS BIGINT) + 1, 2), lambda x: 'doc ' || x)"
+_gap = f"CASE WHEN payment_ref = 'DRC-03' THEN list_filter({_docs}, lambda x: NOT list_contains({_held}, x)) ELSE {_docs} END"
+
+
+@query(f"""WITH {SHEETS} SELECT matter_id, index, CASE index % 3 WHEN 0 THEN 'Was it filed?;When?' WHEN 1 THEN 'Who supplied?' ELSE 'What is disputed?' END AS questions,
+    array_to_string(CASE WHEN annexure IS NOT NULL THEN [annexure] ELSE {_docs}[:6] END, ';') AS carry, array_to_string(({_gap})[:6], ';') AS gaps FROM h""")
+def hearing_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = F.when(F.col("total") % 9 > 0, F.transform(F.sequence(F.lit(1), (F.col("total") % 9).cast("int")), lambda x: F.concat(F.lit("doc "), x.cast("string")))).otherwise(F.array().cast("array<string>"))
+    held = F.when(F.col("payment_ref") == "DRC-03", F.filter("evidence_required", lambda x: F.right(x, F.lit(1)).cast("int") % 2 == 1))
+    limbs = view(spark, sf_dir, "sheets").withColumns({"type": F.expr("CASE index % 3 WHEN 0 THEN 'filing' WHEN 1 THEN 'supply' ELSE 'other' END"), "annexures": F.array_compact(F.array("annexure")), "evidence_required": docs}).withColumn("evidence_held", held)
+    questions = spark.createDataFrame([("filing", ["Was it filed?", "When?"]), ("supply", ["Who supplied?"])], "type string, questions array<string>")
+    return D.hearing_brief(limbs, questions, ["What is disputed?"]).select("matter_id", "index", *[F.array_join(c, ";").alias(c) for c in ("questions", "carry", "gaps")])
+
+
+@query(f"""WITH {SHEETS}, l AS (SELECT matter_id, index, index || '. ' || coalesce(annexure, 'untitled') || ': ' || coalesce(CAST(CASE WHEN accepted IS NOT NULL THEN total END AS VARCHAR), 'not read') || ' [' || CASE WHEN coalesce(posture, 'undecided') IN ('contested', 'partial', 'undecided') THEN 'ARGUE' ELSE 'settled' END || ']' AS line FROM h)
+    SELECT matter_id, string_agg(line, chr(10) ORDER BY index, line) AS brief FROM l GROUP BY matter_id""")
+def matter_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.briefs(view(spark, sf_dir, "sheets").select("matter_id", "index", F.col("annexure").alias("heading"), "posture", F.when(F.col("accepted").isNotNull(), F.col("total")).alias("total")))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS matter_id, ['limitation', o_orderpriority, o_orderstatus] AS expected, CASE o_orderkey % 3 WHEN 0 THEN ['limitation'] WHEN 1 THEN [o_orderstatus, 'din'] END AS chairman, CASE o_custkey % 3 WHEN 0 THEN [o_orderpriority, 'din'] WHEN 1 THEN CAST([] AS VARCHAR[]) END AS counsel FROM orders),
+    c AS (SELECT matter_id, expected, coalesce(chairman, []) AS a, coalesce(counsel, []) AS b FROM p)
+    SELECT matter_id, array_to_string(list_filter(expected, lambda x: list_contains(a, x) OR list_contains(b, x)), ';') AS found, array_to_string(list_filter(expected, lambda x: NOT list_contains(a, x) AND NOT list_contains(b, x)), ';') AS missed, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ';') AS dropped FROM c""")
+def procedural_catches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("matter_id"), F.expr("array('limitation', o_orderpriority, o_orderstatus) AS expected"),
+        F.expr("CASE o_orderkey % 3 WHEN 0 THEN array('limitation') WHEN 1 THEN array(o_orderstatus, 'din') END AS chairman"), F.expr("CASE o_custkey % 3 WHEN 0 THEN array(o_orderpriority, 'din') WHEN 1 THEN CAST(array() AS array<string>) END AS counsel"),
+    )
+    return E.procedural_points(points).select("matter_id", *[F.array_join(c, ";").alias(c) for c in ("found", "missed", "dropped")])
+
+
+_wanted = "'Ledger of the ' || p_name || ' and ' || p_type || ' for each ' || p_brand"
+_shown = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'LEDGER,  ' || p_type WHEN 2 THEN p_brand END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_filter(regexp_extract_all(lower({_wanted}), '[a-z0-9/()\\-]{{2,}}'), lambda w: NOT list_contains([{', '.join(_quoted(w) for w in E.STOP)}], w))[:{E.TERMS}] AS terms, regexp_replace(lower(coalesce({_shown}, '')), '\\s+', ' ', 'g') AS shown FROM part)
+    SELECT p_partkey, array_to_string(terms, ';') AS terms, len(list_filter(terms, lambda w: contains(shown, w))) >= greatest(1, len(terms) // 2) AS caught FROM t""")
+def gap_catches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an evidence text speaks of the document that is wanted."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_wanted).alias("document"), F.expr(_shown).alias("evidence"))
+    return rows.select("p_partkey", F.array_join(E.terms(F.col("document")), ";").alias("terms"), E.gap_caught(F.col("document"), F.col("evidence")).alias("caught"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def restored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its identifiers numbered, then put back, as a digest: that of the text itself."""
+    scrubbed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", W.numbered(F.col("text")).alias("s"))
+    return scrubbed.select("doc_id", F.sha2(K.restore(F.col("s.text"), F.col("s.tokens")).cast("binary"), 256).alias("sha256"))
