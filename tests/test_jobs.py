@@ -104,5 +104,13 @@ def test_against_sql(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["collected_citations", "judged_citations", "cited_sources", "matched_limbs"])
+def test_columns_are_those_of_the_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert sorted(QUERIES[name](spark, SF).columns) == sorted(r[0] for r in c.execute(f"DESCRIBE {ORACLES[name]}").fetchall())
+
+
 def _plain(v):
     return round(float(v), 4) if isinstance(v, (float, int, Decimal)) and not isinstance(v, bool) else str(v)
