@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,22 @@ def snippet(turns: DataFrame, n: int = 3, most: int = 1500, marker: str = " [cut
 
 
 def scrub(text: Column) -> Column:
-    """Identifiers replaced by their labels, unnumbered."""
+    """Identifiers replaced by their labels, unnumbered. A text is searched only for what may be in it; see may_hold()."""
+    may, of = may_hold(text), text
     for label, pattern in IDENTIFIERS:
-        text = F.regexp_replace(text, pattern, f"[{label}]")
-    return text
+        of = F.regexp_replace(of, pattern, f"[{label}]")
+    return F.when(may["ACCOUNT"], of).when(may["EMAIL"], F.regexp_replace(text, dict(IDENTIFIERS)["EMAIL"], "[EMAIL]")).otherwise(text)
+
+
+def may_hold(text: Column) -> dict[str, Column]:
+    """Of each label, whether a text may hold it: e-mail addresses have an @, all others four digits in a row."""
+    return {label: F.contains(text, F.lit("@")) if label == "EMAIL" else text.rlike("[0-9]{4}") for label, _ in IDENTIFIERS}
+
+
+def leaking(text: Column) -> Column:
+    """Whether a text holds an identifier; false if it is null."""
+    may = may_hold(text)
+    return F.coalesce(reduce(lambda a, b: a | b, [may[label] & text.rlike(p) for label, p in IDENTIFIERS]), F.lit(False))
 
 
 def audit_leaks(texts: DataFrame, id_col: str, text_col: str, client_col: str | None = None, labels: list[str] | None = None) -> DataFrame:
@@ -46,7 +60,7 @@ def audit_leaks(texts: DataFrame, id_col: str, text_col: str, client_col: str |
 
     The counts are combined before the shuffle. All kinds but e-mail addresses hold four digits in a row, so only texts with these are searched for them.
     """
-    may = {label: F.contains(text_col, F.lit("@")) if label == "EMAIL" else F.col(text_col).rlike("[0-9]{4}") for label, _ in IDENTIFIERS}
+    may = may_hold(F.col(text_col))
     found = [F.struct(F.lit(label).alias("label"), F.when(may[label], F.regexp_count(text_col, F.lit(p))).otherwise(0).alias("n")) for label, p in IDENTIFIERS if labels is None or label in labels]
     if client_col:
         name = F.trim(client_col)
@@ -58,10 +72,8 @@ def audit_leaks(texts: DataFrame, id_col: str, text_col: str, client_col: str |
 def guarded(texts: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(clean, quarantine): rows whose scrubbed text holds no identifier, and those that still leak."""
     done = texts.withColumn("scrubbed", scrub(F.col(text_col)))
-    leaks = F.lit(False)
-    for _, pattern in IDENTIFIERS:
-        leaks = leaks | F.col("scrubbed").rlike(pattern)
-    leaks = F.coalesce(leaks, F.lit(False))
+    # as an element, the scrubbed text is worked out once for all patterns, also where a filter is put below the column
+    leaks = F.exists(F.array("scrubbed"), leaking)
     return done.where(~leaks), done.where(leaks)
 
 
@@ -70,7 +82,7 @@ def write_guarded(texts: DataFrame, text_col: str, path: str) -> tuple[int, int]
 
     The text of a row that leaks is replaced by nothing, so that what is quarantined can't be read.
     """
-    leaks = F.coalesce(F.exists(F.array(*[F.col("scrubbed").rlike(p) for _, p in IDENTIFIERS]), lambda x: x), F.lit(False))
+    leaks = F.exists(F.array("scrubbed"), leaking)
     done = texts.withColumn("scrubbed", scrub(F.col(text_col))).withColumn("leaks", leaks).withColumn("scrubbed", F.when(~F.col("leaks"), F.col("scrubbed"))).drop(text_col)
     seen = Observation()
     done.observe(seen, F.count_if(~F.col("leaks")).alias("clean"), F.count_if("leaks").alias("leaking")).write.mode("overwrite").partitionBy("leaks").parquet(path)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxloom.operators import intake, notices
+from taxloom.operators import citations, evaluate, filing, intake, notices, talk
 from taxloom.queries import QUERIES
 from taxloom.sources import views
 
@@ -30,3 +30,38 @@ def test_a_place_is_tried_by_its_first_characters(spark):
     text = "REF NO ZD330226255583F; Ref. Date by which reply to be submitted 01.02.2020, rs 5 INR 6 ₹ 7, FY2019-20, F.Y. 2018-19, u/s 16 sec 5 Sec.6, MOV-07 drc 01A"
     x = notices.fields(spark.createDataFrame([(1, text)], "notice_id int, text string")).first()
     assert (x.reference, str(x.due_date), [int(a) for a in x.amounts], x.period, x.sections, x.form) == ("ZD330226255583F", "2020-02-01", [5, 6, 7], "2019-20", ["16", "5", "6"], "DRC-01A")
+
+
+def test_one_type_does_not_gather_hearing_briefs(spark):
+    plan = QUERIES["hearing_briefs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(type" not in plan
+
+
+def test_guarded_scrubs_once(spark):
+    texts = ["mail a.b@c.in", "GSTIN 27AAPFU0939F1ZV, 9876543210", "no digits", "a 1234 @ b", None, ""]
+    clean, leaks = talk.guarded(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    assert sorted(str(r.scrubbed) for r in clean.collect()) == sorted(["mail [EMAIL]", "GSTIN [GSTIN], [PHONE]", "no digits", "a 1234 @ b", "None", ""]) and leaks.count() == 0
+    plan = QUERIES["scrubbed_clean"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[GSTIN]") == 1
+
+
+def test_limbs_with_the_same_tags_share_a_list(spark):
+    library = spark.createDataFrame([(i, "filed", "case", [f"t{i % 3}"]) for i in range(9)], "authority_id int, certainty string, kind string, tags array<string>")
+    limbs = spark.createDataFrame([(1, 1, ["t1", "t1"]), (1, 1, ["t0"]), (2, 1, ["t0", "t1"]), (3, 1, ["t2", None]), (4, 1, []), (5, 1, None)], "matter_id int, index int, tags array<string>")
+    df = citations.authorities_for(limbs, library, 2)
+    assert sorted((r.matter_id, r["rank"], r.authority_id) for r in df.collect()) == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 2, 1), (3, 1, 2), (3, 2, 5)]
+    assert "Aggregate [set" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contention_stops_at_its_limit(spark):
+    text = "• " + "x" * 400 + ". " + "y" * 300 + ". 1 2 3 4 5 6. " + "z" * 9 + ".\t\n" + "w" * 50 + ". end"
+    got = spark.range(1).select(filing.contention(F.lit(text)).alias("c"), filing.opening(F.lit(text)).alias("o")).first()
+    assert got.c == "x" * 400 + ". " + "y" * 300 + "." and got.o == ("• " + "x" * 400 + ". " + "y" * 300 + ". 1 2 3 4 5 6.")[:800]
+
+
+def test_extraction_reads_notices_once(spark):
+    expected = spark.createDataFrame([(1, 1, "a", 5.0, None, False), (1, 2, "b", 7.0, None, False), (2, 1, "a", 0.0, None, True)], "notice_id int, index int, type string, total double, declared double, may_be_unread boolean")
+    read = spark.createDataFrame([(1, 1, "a", 7.0), (1, 2, "b", None), (2, 1, "a", 3.0)], "notice_id int, index int, type string, total double")
+    df = evaluate.extraction_scores(expected, read)
+    assert {r.notice_id: (r.found, r.off, r.unread) for r in df.collect()} == {1: (2, 2, 1), 2: (1, 0, 0)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
