@@ -76,11 +76,11 @@ def annexures(limbs: DataFrame) -> DataFrame:
 
 
 def hearing_brief(limbs: DataFrame, questions: DataFrame, default: list[str]) -> DataFrame:
-    """limbs: matter_id, index, type, annexures, evidence_required, evidence_held; questions: type, questions. What a limb's hearing asks, six documents to carry and six gaps."""
+    """limbs: matter_id, index, type, annexures, evidence_required, evidence_held; questions: type, questions (a row for each type of the catalogue, so it is broadcast: few types must not decide where limbs go). What a limb's hearing asks, six documents to carry and six gaps."""
     have = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     carry = F.when(F.size(have("annexures")) > 0, have("annexures")).otherwise(have("evidence_required"))
     asked = F.coalesce("questions", F.array(*[F.lit(q) for q in default]))
-    return limbs.join(questions, "type", "left").select("matter_id", "index", asked.alias("questions"), F.slice(carry, 1, 6).alias("carry"), F.slice(F.array_except(have("evidence_required"), have("evidence_held")), 1, 6).alias("gaps"))
+    return limbs.join(F.broadcast(questions), "type", "left").select("matter_id", "index", asked.alias("questions"), F.slice(carry, 1, 6).alias("carry"), F.slice(F.array_except(have("evidence_required"), have("evidence_held")), 1, 6).alias("gaps"))
 
 
 def estimates(matters: DataFrame, rates: DataFrame) -> DataFrame:
