@@ -122,12 +122,15 @@ def prose_gaps(texts: DataFrame, judged: DataFrame) -> DataFrame:
 def authorities_for(limbs: DataFrame, library: DataFrame, k: int = 8) -> DataFrame:
     """limbs: matter_id, index, tags; library: authority_id, certainty, kind, tags. The first k authorities that share a tag with a limb: filed ones first, of these statutes.
 
-    That order doesn't hang on the limb, so each tag keeps its k best (cut before the shuffle, where a tag is popular), and a limb merges the lists of its tags: it
-    meets k rows a tag at most, however many the library has.
+    That order doesn't hang on the limb, so each tag keeps its k best (cut before the shuffle, where a tag is popular), and each set of tags
+    that limbs have merges the lists of its tags once: it meets k rows a tag at most, however many the library has, and limbs with the same tags share the list.
     """
     order = F.struct((F.col("certainty") != "filed").alias("later"), (F.col("kind") != "statute").alias("softer"), "authority_id", "certainty", "kind").alias("a")
     held = library.select(F.explode(F.array_distinct("tags")).alias("tag"), order).distinct()
     best = held.withColumn("n", F.row_number().over(Window.partitionBy("tag").orderBy("a"))).where(F.col("n") <= k)
     lists = best.groupBy("tag").agg(F.collect_list("a").alias("list"))
-    met = limbs.select("matter_id", "index", F.explode(F.array_distinct("tags")).alias("tag")).join(lists, "tag").groupBy("matter_id", "index").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("list")))), 1, k).alias("list"))
-    return met.select("matter_id", "index", F.posexplode("list").alias("at", "a")).select("matter_id", "index", "a.authority_id", "a.certainty", "a.kind", (F.col("at") + 1).alias("rank"))
+    # a limb may have several rows; its tags meet, not the longer lists
+    tagged = limbs.groupBy("matter_id", "index").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("set"))
+    sets = tagged.select("set").distinct()
+    met = sets.select("set", F.explode("set").alias("tag")).join(lists, "tag").groupBy("set").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("list")))), 1, k).alias("list"))
+    return tagged.join(met, "set").select("matter_id", "index", F.posexplode("list").alias("at", "a")).select("matter_id", "index", "a.authority_id", "a.certainty", "a.kind", (F.col("at") + 1).alias("rank"))
