@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taxloom.operators import citations, evaluate, filing, intake, notices, talk
+from taxloom.operators import citations, evaluate, filing, intake, limbs, notices, talk
 from taxloom.queries import QUERIES
 from taxloom.sources import views
 
@@ -65,3 +65,10 @@ def test_extraction_reads_notices_once(spark):
     df = evaluate.extraction_scores(expected, read)
     assert {r.notice_id: (r.found, r.off, r.unread) for r in df.collect()} == {1: (2, 2, 1), 2: (1, 0, 0)}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_rows_of_figures_at_their_limits(spark):
+    """The sum may be off by 2 rupees and by half a percent, exactly; figures too long for money are none."""
+    said = ["100 100 100 100 402", "100 100 100 100 402.02", "100 100 100 0 301.50", "100 100 100 0 301.51", "1 2 3 3 9", "1 2 3 4 10", "9999999999999999 0 0 0 9999999999999999", "99999999999999999 0 0 0 99999999999999999"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", F.size(limbs.head_rows(F.col("t"))).alias("n")).collect()
+    assert [r.n for r in rows] == [1, 0, 1, 0, 0, 1, 1, 0]
