@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables, and brute force."""
 
 import base64
+import functools
 import gzip
 import hashlib
 import random
@@ -525,6 +526,28 @@ def test_chroma_pairs(spark, tmp_path):
     assert next(x.n_aligned for x in got if x.doc_id == 0) == len(pairs) and all(x.offset == 0 and x.votes > 1 and x.bit_error <= 0.15 for x in pairs)
 
 
+def test_chroma_blocks_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Many blocks find what one does, and items are shuffled once however many there are."""
+    base = [words(i, 400) for i in range(40)]
+    texts = [*base, *[t + " " + words(100 + i, 20) for i, t in enumerate(base)], base[0], "ab", None]
+    docs(spark, texts, [*range(0, 2000, 50), *range(1, 44)]).write.parquet(f"{tmp_path}/documents.parquet")
+    context = spark._jsc.sc()
+
+    def run(**parameters):
+        def shuffled():
+            context.listenerBus().waitUntilEmpty(30_000)
+            return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+        monkeypatch.setattr(queries, "alignments", functools.partial(chroma.alignments, **parameters))
+        before = shuffled()
+        rows = queries.QUERIES["op1_chroma"](spark, str(tmp_path)).collect()
+        return sorted(map(tuple, rows), key=repr), shuffled() - before, sum(4 * x.n_items for x in rows if x.doc_id is not None), sum(x.doc_id is None for x in rows)
+
+    (one, _, items, pairs), (many, shuffled, *_) = run(), run(row_items=4_000, query_items=2_000)
+    assert one == many and len(one) == 83 + pairs and pairs >= 40
+    assert shuffled < 1.5 * items
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Each stage on what the one before kept, odd and repeated rows included."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
