@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -548,6 +549,12 @@ def test_chroma_blocks_are_not_shuffled(spark, tmp_path, monkeypatch):
     assert shuffled < 1.5 * items
 
 
+def test_chroma_items_are_kept_compressed(spark):
+    media = spark.createDataFrame([(i, bytearray(words(i, 400).encode())) for i in range(40)], "media_id long, audio binary")
+    recordings = chroma.catalogue(chroma.fingerprints(media, rate=2_756, frame=64), F.lit(True))[1]
+    assert {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in recordings.inputFiles()} == {"ZSTD"}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Each stage on what the one before kept, odd and repeated rows included."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
