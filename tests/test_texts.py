@@ -44,6 +44,15 @@ def test_fields_are_read_in_batches(spark):
     assert [x.reference for x in got[:3]] == ["ZD123456789012A", None, "ZD330226255583F"] and str(got[2].notice_date) == "2026-06-14" and [str(a) for a in got[1].amounts] == ["5.00", "6.00", "7.00", "8000.50"]
 
 
+def test_sources_are_read_with_their_snippets(spark):
+    df = QUERIES["field_sources"](spark, SF)
+    assert "truncated_start" not in df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0] and plan(df).count("ArrowEvalPython") == 1
+    long = "x " * 100 + "DIN : 20260659XY0000111AB2 " + "y " * 100
+    row = notices.sourced(spark.createDataFrame([(1, long)], "notice_id int, text string"), ("din",)).first()
+    want = notices.fields(spark.createDataFrame([(1, long)], "notice_id int, text string")).select("snippets").first().snippets["din"]
+    assert row.snippet == want and want.truncated_start and want.truncated_end
+
+
 def test_lines_end_as_in_spark():
     begins = lambda t: [a for a, _ in Lines(r"(?=.{1}b$)").spans(t)]
     assert begins("ab\nab\rab\r\nab ab") == [0, 3, 6, 10, 13] and begins("ab\n\nab\nabc") == [0, 4] and begins("\x85b\nab") == [3]
