@@ -62,3 +62,11 @@ def test_lines_end_as_in_spark():
 def test_money():
     assert [paise(x) for x in ("1,00,000.5", "7", "0.05", ",", "9999999999999999", "10000000000000000", "00000000000000000007")] == [10000050, 700, 5, None, 999999999999999900, None, 700]
     assert [str(x) for x in rupees([123, None, -5, 999999999999999999]).to_pylist()] == ["1.23", "None", "-0.05", "9999999999999999.99"]
+
+
+def test_checks_read_figures_in_batches(spark):
+    text = plan(QUERIES["notice_checks"](spark, SF))
+    assert "ArrowEvalPython" in text and "regexp_extract_all" not in text
+    told = "1. A point is made\nDifference 5 5 0 0 10\n2. Another point\nDifference 1 9 10 0 20\nProper officer\nTotal demand 6 14 10 0 30"
+    rows = notices.checked(spark.createDataFrame([(1, None), (2, told), (3, told.replace("\n", "\r\n"))], "notice_id int, text string")).orderBy("notice_id").collect()
+    assert [(r.limbs, r.limb_sum, r.unread, r.printed, r.reconciles) for r in rows] == [(0, None, 0, None, None), *[(2, 30, 0, 30, True)] * 2]
