@@ -70,3 +70,9 @@ def test_checks_read_figures_in_batches(spark):
     told = "1. A point is made\nDifference 5 5 0 0 10\n2. Another point\nDifference 1 9 10 0 20\nProper officer\nTotal demand 6 14 10 0 30"
     rows = notices.checked(spark.createDataFrame([(1, None), (2, told), (3, told.replace("\n", "\r\n"))], "notice_id int, text string")).orderBy("notice_id").collect()
     assert [(r.limbs, r.limb_sum, r.unread, r.printed, r.reconciles) for r in rows] == [(0, None, 0, None, None), *[(2, 30, 0, 30, True)] * 2]
+
+
+def test_the_report_reads_no_fields(spark):
+    text = plan(QUERIES["corpus_report"](spark, SF))
+    arrow = next(line for line in text.splitlines() if "ArrowEvalPython" in line)
+    assert text.count("ArrowEvalPython") == 1 and arrow.count("batch(") == 1
