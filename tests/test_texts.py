@@ -3,7 +3,7 @@
 import re
 
 from taxloom.functions.texts import Lines, paise, pattern, rupees
-from taxloom.operators import intake, notices
+from taxloom.operators import filing, intake, notices
 from taxloom.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,12 @@ def test_the_report_reads_no_fields(spark):
     text = plan(QUERIES["corpus_report"](spark, SF))
     arrow = next(line for line in text.splitlines() if "ArrowEvalPython" in line)
     assert text.count("ArrowEvalPython") == 1 and arrow.count("batch(") == 1
+
+
+def test_prose_is_read_in_batches(spark):
+    text = plan(QUERIES["contentions"](spark, SF))
+    assert text.count("ArrowEvalPython") == 1 and "lambda" not in text.replace("lambdafunction(", "")
+    said = ["•  First :\tit  is so.\n1 2 3 4 5. ok. no\xa0end. x", "a.b: c. ddd", " . : x", "", None, "1,2 , , 3 4 and 5", "x" * 699 + ". " + "y" * 5 + ": zzz. more"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select(filing.contention("t").alias("c"), filing.opening("t").alias("o")).collect()
+    assert [r.c for r in rows] == ["First : it is so. ok. no\xa0end.", "a.b: ddd", "", "", "", "", "x" * 699 + ". yyyyy:"]
+    assert [r.o for r in rows[:5]] == ["• First : it is so. 1 2 3 4 5.", "a.b: c. ddd", ". : x", "", ""]
